@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, media, packing, sharding
+from . import bpe, media, packing, quality, sharding, toxicity
 from .common import read_table
 
 #: Bytes of text in a shard of the query's tables.
 SHARD_BYTES = 1 << 20
 
 
+def op3_ordinal_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -21,9 +27,13 @@ def op7_bpe_automaton(spark, sf_dir):
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_kneser_ney_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_extendible_sharding(spark, sf_dir):
     return sharding.shard(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op9_extendible_sharding)}
+QUERIES = {f.__name__: f for f in (op3_ordinal_quality, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op9_extendible_sharding, op10_kneser_ney_toxicity)}
 ORACLES = {"op9_extendible_sharding": sharding.shard_sql(SHARD_BYTES)}
