@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, media, packing, quality, sharding, toxicity
+from . import bpe, media, packing, pii, quality, sharding, toxicity
 from .common import read_table
 
 #: Bytes of text in a shard of the query's tables.
 SHARD_BYTES = 1 << 20
 
 
+def op2_bootstrapped_pii(spark, sf_dir):
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ordinal_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -35,5 +39,5 @@ def op9_extendible_sharding(spark, sf_dir):
     return sharding.shard(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op3_ordinal_quality, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op9_extendible_sharding, op10_kneser_ney_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_bootstrapped_pii, op3_ordinal_quality, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op9_extendible_sharding, op10_kneser_ney_toxicity)}
 ORACLES = {"op9_extendible_sharding": sharding.shard_sql(SHARD_BYTES)}
