@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, packing, pii, quality, sharding, toxicity
+from . import bpe, jaccard, media, packing, pii, quality, sharding, toxicity
 from .common import read_table
 
 #: Bytes of text in a shard of the query's tables.
@@ -35,9 +35,13 @@ def op10_kneser_ney_toxicity(spark, sf_dir):
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_partenum_jaccard(spark, sf_dir):
+    return jaccard.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_extendible_sharding(spark, sf_dir):
     return sharding.shard(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op2_bootstrapped_pii, op3_ordinal_quality, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op9_extendible_sharding, op10_kneser_ney_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_bootstrapped_pii, op3_ordinal_quality, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op8_partenum_jaccard, op9_extendible_sharding, op10_kneser_ney_toxicity)}
 ORACLES = {"op9_extendible_sharding": sharding.shard_sql(SHARD_BYTES)}
