@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, media, packing, pii, quality, sharding, toxicity
+from . import bpe, chat, jaccard, media, packing, pii, quality, sharding, topk, toxicity
 from .common import read_table
 
 #: Bytes of text in a shard of the query's tables.
 SHARD_BYTES = 1 << 20
 
 
+def op1_chat_hmm(spark, sf_dir):
+    raw = chat.as_transcripts(read_table(spark, sf_dir, "conversations"))
+    return chat.parse(raw, chat.fit(raw, role="true_role"))
+
+
 def op2_bootstrapped_pii(spark, sf_dir):
     return pii.find(read_table(spark, sf_dir, "documents"))
 
@@ -19,6 +24,10 @@ def op3_ordinal_quality(spark, sf_dir):
     return quality.score(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op4_norm_bucket_topk(spark, sf_dir):
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -43,5 +52,5 @@ def op9_extendible_sharding(spark, sf_dir):
     return sharding.shard(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op2_bootstrapped_pii, op3_ordinal_quality, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op8_partenum_jaccard, op9_extendible_sharding, op10_kneser_ney_toxicity)}
-ORACLES = {"op9_extendible_sharding": sharding.shard_sql(SHARD_BYTES)}
+QUERIES = {f.__name__: f for f in (op1_chat_hmm, op2_bootstrapped_pii, op3_ordinal_quality, op4_norm_bucket_topk, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op8_partenum_jaccard, op9_extendible_sharding, op10_kneser_ney_toxicity)}
+ORACLES = {"op4_norm_bucket_topk": topk.TOP_K_SQL, "op9_extendible_sharding": sharding.shard_sql(SHARD_BYTES)}
