@@ -261,3 +261,21 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
     least = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = comp.join(least, "comp").select("node", "component_id")
     return docs.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", broadcast_ids: int = 2_000_000) -> DataFrame:
+    """The rows of ``df``, with all their columns, that have the least id of their component.
+
+    Rows with equal ids and texts count as one. Rows without an id stay. Up to ``broadcast_ids`` ids that go are sent to
+    the tasks; beyond that the rows are shuffled by id.
+    """
+    found = materialize(classes(df, key, text), "classes")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    few = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    kept = df.join(few(materialize(gone, "gone")), F.col(key) == F.col("_id"), "left_anti")
+    twice = materialize(twice, "twice")
+    if not twice.limit(1).count():
+        return kept
+    alone = kept.join(few(twice), F.col(key) == F.col("_id"), "left_anti")
+    return alone.unionByName(kept.join(few(twice), F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key, text]))

@@ -117,6 +117,25 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", key: str =
     return fit_rows([np.frombuffer(r[1], np.int32) for r in found], [np.frombuffer(r[2], np.float32) for r in found], grades, int(grades.max()) + 1 if len(grades) else 2, bits)
 
 
+def _tails(df: DataFrame, model: Model, at: int):
+    """A function from record batches, with texts in column ``at``, to batches and P(grade >= k) of their rows."""
+    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.bits))
+
+    def run(batches):
+        weights, thresholds, bits = shared.value
+        mask, table = (1 << bits) - 1, weights.tolist()
+        value = BoundedCache(lambda w: table[xxhash.xxh3_64_intdigest("w" + w.lower()) & mask] + table[xxhash.xxh3_64_intdigest("s" + shape(w)) & mask])
+        local, again = Model(weights, thresholds, bits), table[_again(bits)]
+        for batch in sliced(batches):
+            linear = np.zeros(batch.num_rows)
+            for i, body in enumerate(batch.column(at).to_pylist()):
+                words = (body or "").split()
+                linear[i] = (sum(map(value.__getitem__, words)) + again * repeats(words)) / len(words) if words else 0.0
+            yield batch, local.probabilities(linear)
+
+    return run
+
+
 NEW = ("expected_grade", "tail_probability", "keep")
 
 
@@ -128,20 +147,22 @@ def score(df: DataFrame, model: Model, at_least: int = 1, threshold: float = 0.5
     kept = [f for f in df.schema.fields if f.name not in NEW]
     schema = StructType([*kept]).add("expected_grade", DoubleType()).add("tail_probability", DoubleType()).add("keep", IntegerType())
     names, at = [f.name for f in kept], next(i for i, f in enumerate(kept) if f.name == text)
-    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds, model.bits))
+    tails = _tails(df, model, at)
 
     def run(batches):
-        weights, thresholds, bits = shared.value
-        mask, table = (1 << bits) - 1, weights.tolist()
-        value = BoundedCache(lambda w: table[xxhash.xxh3_64_intdigest("w" + w.lower()) & mask] + table[xxhash.xxh3_64_intdigest("s" + shape(w)) & mask])
-        local = Model(weights, thresholds, bits)
-        for batch in sliced(batches):
-            linear = np.zeros(batch.num_rows)
-            for i, body in enumerate(batch.column(at).to_pylist()):
-                words = (body or "").split()
-                linear[i] = (sum(map(value.__getitem__, words)) + table[_again(bits)] * repeats(words)) / len(words) if words else 0.0
-            p = local.probabilities(linear)
+        for batch, p in tails(batches):
             tail = p[:, min(at_least, p.shape[1]) - 1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(tail), pa.array((tail >= threshold).astype(np.int32))], names=[*names, *NEW])
 
     return df.select(*names).mapInArrow(run, schema)
+
+
+def select(df: DataFrame, model: Model, at_least: int = 1, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose probability of a grade from ``at_least`` reaches ``threshold``."""
+    tails = _tails(df, model, df.columns.index(text))
+
+    def run(batches):
+        for batch, p in tails(batches):
+            yield batch.filter(pa.array(p[:, min(at_least, p.shape[1]) - 1] >= threshold))
+
+    return df.mapInArrow(run, df.schema)
