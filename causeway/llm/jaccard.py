@@ -4,13 +4,18 @@ A document's set holds the 64-bit hashes of its distinct word shingles. A set of
 more differ in at most k = floor(a (1 - g)/g) features. The feature domain is partitioned by hash, as finely as the size
 band asks. A difference touches one partition, so of any k + 1 non-empty partitions of a set at least one is equal in
 the other. A signature is a band, a partition and the hash of its features (subsets of one partition, for which the
-method needs fewest signatures). Every set signs its first k + 1 partitions in a common order: the first equal one
-stands among them in both sets, so similar sets of a band always share a signature. A set signs for its own band, and
-for the next if a partner may lie there; two sets meet in the band of the larger.
+method needs fewest signatures). Partitions are ordered by what they hold, those with most rare features first. An
+equal partition has the same place in the order of both sets' equal partitions, and at most k others can stand before
+the first, so every set signs its first k + 1, and similar sets of a band always share a signature. A set signs for its
+own band, and for the next if a partner may lie there; two sets meet in the band of the larger.
 
 Partitions that hold frequent shingles alone would gather unrelated documents. Frequent shingles are found over all
 documents; a set with more than k partitions that hold a rarer shingle signs the first k + 1 of those. Two sets without
 (mostly copies of one another) sign their first k + 1 partitions for each other. Either way no pair is lost.
+
+In a group of equal signatures every set is first compared with one other, so that copies become components. Only pairs
+of different components are looked at further, in tiles of bounded size, by sketches: counts of features in a few
+buckets, whose distance is never more than that of the sets. What the sketches leave is verified on the sets.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ WORDS = 5
 SIMILAR = (3, 4)
 #: A frequent shingle is one in at least so many documents of a batch and of all; the list has a bound, and any list gives the same pairs.
 FREQUENT_BATCH, FREQUENT, FREQUENT_MOST = 3, 48, 300_000
-#: Sets up to this size have a partition for every feature.
-SMALL = 32
+#: Bands of sets up to this size have a partition for every feature.
+SMALL = 128
+#: Sets of a signature group that are compared in one tile.
+TILE = 512
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -50,10 +57,10 @@ def shingles(text: str, lookup, words: int = WORDS) -> np.ndarray:
     ids = np.fromiter(map(lookup.__getitem__, found), np.uint64, len(found))
     if len(ids) < words:
         return mixed(np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64))
-    total = np.zeros(len(ids) - words + 1, np.uint64)
-    for i in range(words):
-        total = mixed(total + ids[i : len(ids) - words + 1 + i] * _MULTIPLIERS[i % len(_MULTIPLIERS)] + np.uint64(i))
-    return np.unique(total)
+    total = ids[: len(ids) - words + 1] * _MULTIPLIERS[0]
+    for i in range(1, words):
+        total += ids[i : len(ids) - words + 1 + i] * (_MULTIPLIERS[i % len(_MULTIPLIERS)] + np.uint64(i << 1))
+    return np.unique(mixed(total))
 
 
 def word_hashes() -> BoundedCache:
@@ -66,51 +73,70 @@ def allowed(size: int, similar=SIMILAR) -> int:
     return size * (q - p) // p
 
 
-def band(size: int) -> int:
-    """Size bands: powers of four."""
-    return (max(1, size).bit_length() + 1) // 2
+class Frequent:
+    """A sorted list of hashes with a quick test."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.bits = hashes, np.zeros(1 << 20, bool)
+        self.bits[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-def partitions_of(level: int, most: int = 1 << 40) -> int:
-    """How many partitions the domain has in a band: as many as its largest size, and one a feature in small bands."""
-    largest = 4**level
-    return most if largest <= SMALL else largest
+    def rare(self, features: np.ndarray) -> np.ndarray:
+        """Which features are not in the list."""
+        maybe = np.flatnonzero(self.bits[(features & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        out = np.ones(len(features), bool)
+        if len(maybe):
+            some = features[maybe]
+            at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+            out[maybe] = self.hashes[at] != some
+        return out
 
 
-def signatures(features: np.ndarray, frequent: np.ndarray, similar=SIMILAR) -> list[tuple[np.ndarray, bool]]:
-    """Signatures of a set, each array for one band: those that count among all sets, or (True) among weak sets alone."""
-    size = len(features)
-    k, out = allowed(size, similar), []
+def bands(size: int, similar=SIMILAR) -> set[int]:
+    """The size bands (by powers of two) in which a set may meet a partner: its own, and that of the largest partner."""
     p, q = similar
-    place = mixed(features ^ np.uint64(0x5851F42D4C957F2D))
-    rare = np.ones(size, bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, features), len(frequent) - 1)
-        rare = frequent[at] != features
-    for level in {band(size), band(size * q // p)}:
-        parts = place % np.uint64(partitions_of(level))
-        order = np.argsort(parts, kind="stable")
-        part = parts[order]
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        if len(first) <= k:  # practically never: then every feature is a partition, for which all sets would have to agree
-            raise ValueError("too few partitions")
-        content = np.add.reduceat(place[order], first)
-        strong = np.logical_or.reduceat(rare[order], first)
-        sign = mixed(content + mixed(part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)))
-        chosen = np.flatnonzero(strong)
-        out.append((sign[chosen[: k + 1]], False))
-        if len(chosen) <= k:
-            out.append((mixed(sign[: k + 1] ^ np.uint64(0xD6E8FEB86659FD93)), True))
+    return {size.bit_length(), (size * q // p).bit_length()}
+
+
+def signatures(features: np.ndarray, frequent: Frequent, similar=SIMILAR) -> list[np.ndarray]:
+    """Signatures of a set (its sorted hashes): for each band those for all sets, and of a weak set those for weak sets.
+
+    The partition of a feature is its leading bits: half as many partitions as the band's largest size, of which sets of
+    over 64 features leave too few to sign with probability below 1e-12.
+    """
+    k, out = allowed(len(features), similar), []
+    rare = frequent.rare(features).astype(np.int64)
+    for level in bands(len(features), similar):
+        if 1 << level <= SMALL:
+            part, first, content, count = features, None, features, rare
+        else:
+            part = features >> np.uint64(65 - level)
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            part, content, count = part[first], np.add.reduceat(features, first), np.add.reduceat(rare, first)
+        sign = mixed(content + part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
+        order = np.argsort(-count, kind="stable")
+        strong = int((count > 0).sum())
+        out.append(sign[order[: min(strong, k + 1)]])
+        if strong <= k:
+            out.append(mixed(sign[: k + 1] ^ np.uint64(0xD6E8FEB86659FD93)))
     return out
 
 
+def sketch_of(features: np.ndarray) -> np.ndarray:
+    """Numbers of features (255 at most) by their low bits, in an eighth to a quarter as many buckets as features."""
+    buckets = 1 << max(3, len(features).bit_length() - 3)
+    return np.minimum(np.bincount((features & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+
+
 def node_of(features: np.ndarray) -> int:
     """The identity of a set, a signed 64-bit hash of all its features."""
     return int(mixed(np.array([features.sum(dtype=np.uint64) + np.uint64(len(features))], np.uint64)).view(np.int64)[0])
 
 
+SURVEY = ["doc_id", "node", "n", "sketch", "shingle", "count"]
+
+
 def _surveyed(batches):
-    """Rows (doc_id, node, n) of every document, and rows (shingle, count) of shingles that are frequent in a batch."""
+    """Rows (doc_id, node, n, sketch) of every document, and rows (shingle, count) of shingles that are frequent in a batch."""
     lookup, held, size = word_hashes(), {}, 0
 
     def frequent():
@@ -121,28 +147,29 @@ def _surveyed(batches):
     kind = None
     for batch in sliced(batches):
         kind = batch.schema.field(0).type
-        nodes, sizes = [], []
+        nodes, sizes, sketches = [], [], []
         for body in batch.column(1).to_pylist():
             features = shingles(body, lookup)
             node = node_of(features) if len(features) else None
             nodes.append(node)
             sizes.append(len(features))
+            sketches.append(sketch_of(features).tobytes() if len(features) else None)
             if node is not None and node not in held:
                 held[node] = features
                 size += len(features)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=["doc_id", "node", "n", "shingle", "count"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=SURVEY)
         if size > 2_000_000:
             values, n = frequent()
             held, size = {}, 0
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64()), pa.array(values), pa.array(n)], names=["doc_id", "node", "n", "shingle", "count"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.binary()), pa.array(values), pa.array(n)], names=SURVEY)
     if held:
         values, n = frequent()
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64()), pa.array(values), pa.array(n)], names=["doc_id", "node", "n", "shingle", "count"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.binary()), pa.array(values), pa.array(n)], names=SURVEY)
 
 
 def _sign(shared, similar):
     def run(batches):
-        lookup, frequent, done = word_hashes(), shared.value, set()
+        lookup, frequent, done = word_hashes(), Frequent(shared.value), set()
         for batch in sliced(batches):
             sigs, nodes, sizes = [], [], []
             for body in batch.column(0).to_pylist():
@@ -151,7 +178,7 @@ def _sign(shared, similar):
                     continue
                 if len(done) < 200_000:
                     done.add(node)
-                for sign, _ in signatures(features, frequent, similar):
+                for sign in signatures(features, frequent, similar):
                     sigs.append(sign)
                     nodes.append(np.full(len(sign), node, np.int64))
                     sizes.append(np.full(len(sign), len(features), np.int32))
@@ -212,6 +239,72 @@ def _verify(pairs: DataFrame, features: DataFrame, similar) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
+def _sketched(pairs: DataFrame, sketches: DataFrame, similar) -> DataFrame:
+    """The pairs (a, b) whose sketches allow similarity."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            good = [close(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), m, n, similar) for x, y, m, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("m"))
+    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), "n")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "m", "n").mapInArrow(run, "a long, b long")
+
+
+def close(x: np.ndarray, y: np.ndarray, m: int, n: int, similar=SIMILAR) -> bool:
+    """May sets of m and n features with these sketches be similar?"""
+    p, q = similar
+    while len(x) < len(y):
+        y = y[: len(y) // 2].astype(np.int32) + y[len(y) // 2 :]
+    while len(y) < len(x):
+        x = x[: len(x) // 2].astype(np.int32) + x[len(x) // 2 :]
+    return int(np.abs(x.astype(np.int32) - y).sum()) * (q + p) <= (m + n) * (q - p)
+
+
+def _resolve(similar):
+    """Over rows (sig, tile, other, mine, node, n, comp, sketch) sorted by the first three: pairs of different components whose sketches allow similarity.
+
+    A tile holds at most twice TILE rows; of two tiles only pairs across them are compared.
+    """
+    p, q = similar
+
+    def compare(rows, seen):
+        rows.sort(key=lambda r: r[2])
+        sketches = [np.frombuffer(r[4], np.uint8).astype(np.int32) for r in rows]
+        across = len({r[0] for r in rows}) > 1
+        for i, (mine, node, n, comp, _) in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                other = rows[j]
+                if p * other[2] > q * n:
+                    break
+                if other[3] == comp or other[1] == node or across and other[0] == mine:
+                    continue
+                pair = (node, other[1]) if node < other[1] else (other[1], node)
+                if pair not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(pair)
+                    if close(sketches[i], sketches[j], n, other[2], similar):
+                        yield pair
+
+    def run(batches):
+        seen, held, key = set(), [], None
+        for batch in sliced(batches, 5000):
+            out = []
+            for sig, tile, other, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (sig, tile, other) != key:
+                    out += compare(held, seen)
+                    held, key = [], (sig, tile, other)
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = list(compare(held, seen))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMILAR, broadcast_ids: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that similarity links reach) of every row of ``df``.
 
@@ -223,40 +316,42 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
     p, q = similar
     texts = df.select(F.col(key).alias("doc_id"), whole_text(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    survey = materialize(texts.mapInArrow(_surveyed, f"doc_id {kind}, node long, n long, shingle long, count long"), "survey")
+    survey = materialize(texts.mapInArrow(_surveyed, f"doc_id {kind}, node long, n long, sketch binary, shingle long, count long"), "survey")
     docs = survey.where("shingle is null").select("doc_id", "node", "n")
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
     signed = texts.select("text").mapInArrow(_sign(frequent, similar), "sig long, node long, n int")
-    groups = signed.selectExpr("sig", "node", "n", "min(node) over (partition by sig) as low", "max(node) over (partition by sig) as high").where("low <> high").select("sig", "node", "n", "low").distinct()
-    members = materialize(groups, "signature-groups")
-
-    fits = lambda m, n: (q * F.least(m, n) >= p * F.greatest(m, n))
-    sizes = members.select("node", "n").distinct()
-    to_low = members.where("node <> low").groupBy("node", "n", "low").count().join(sizes.select(F.col("node").alias("low"), F.col("n").alias("m")), "low").where(fits(F.col("n"), F.col("m")))
-    pairs = materialize(to_low.groupBy(F.col("node").alias("b")).agg(F.max_by("low", F.struct("count", "low")).alias("a")).select("a", "b"), "pairs")
+    # sets of a group that have another of fitting size beside them, when ordered by size
+    near = signed.selectExpr("sig", "node", "n", "lag(struct(n, node)) over (partition by sig order by n, node) as before", "lead(struct(n, node)) over (partition by sig order by n, node) as after")
+    near = near.where(f"({q} * before.n >= {p} * n and before.node <> node) or ({q} * n >= {p} * after.n and after.node <> node)").select("sig", "node", "n")
+    members = materialize(near, "signature-groups")
 
     first = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    needed = materialize(sizes.select("node").join(first, "node").select("doc_id"), "needed")
-    if needed.count() <= broadcast_ids:
-        needed = F.broadcast(needed)
-    features = materialize(texts.join(needed, "doc_id", "left_semi").select("text").mapInArrow(_features, "node long, features binary").dropDuplicates(["node"]), "features")
+    sketches = survey.where("node is not null").select("node", "n", "sketch").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sketches = materialize(sketches, "sketches")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar; the sets of their nodes alone are made again."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        needed = materialize(nodes.join(first, "node").select("doc_id"), "needed")
+        needed = F.broadcast(needed) if needed.count() <= broadcast_ids else needed
+        features = materialize(texts.join(needed, "doc_id", "left_semi").select("text").mapInArrow(_features, "node long, features binary"), "features").dropDuplicates(["node"])
+        return materialize(_verify(pairs, features, similar), "verified")
+
+    low = members.groupBy("sig").agg(F.min("node").alias("low"))
+    to_low = members.join(low, "sig").where("node <> low").groupBy("node", "low").count()
+    pairs = to_low.groupBy(F.col("node").alias("b")).agg(F.max_by("low", F.struct("count", "low")).alias("a")).select("a", "b")
+    links = verified(materialize(_sketched(pairs, sketches, similar), "pairs"))
+
+    labels = components(links)
+    grouped = members.distinct().join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = grouped.selectExpr("*", "min(comp) over (partition by sig) as lo", "max(comp) over (partition by sig) as hi", "count(*) over (partition by sig) as size", "row_number() over (partition by sig order by n, node) as nth").where("lo <> hi")
+    tiles = grouped.selectExpr("sig", "node", "comp", f"cast((nth - 1) div {TILE} as int) as mine", f"cast((size - 1) div {TILE} as int) as most").withColumn("with", F.explode(F.expr("sequence(0, most)")))
+    tiles = tiles.selectExpr("sig", "least(mine, with) as tile", "greatest(mine, with) as other", "mine", "node", "comp").join(sketches, "node").select("sig", "tile", "other", "mine", "node", "n", "comp", "sketch")
+    left = tiles.repartition("sig", "tile", "other").sortWithinPartitions("sig", "tile", "other").mapInArrow(_resolve(similar), "a long, b long").distinct()
+    more = verified(materialize(left, "pairs"))
+    labels = components(links.unionByName(more))
 
-    links = materialize(_verify(pairs, features, similar), "verified")
-    tried, rank = pairs, 0
-    while True:
-        labels = components(links)
-        open_groups = members.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_groups = open_groups.selectExpr("*", "min(comp) over (partition by sig) as lo", "max(comp) over (partition by sig) as hi").where("lo <> hi")
-        # pivots: the next nodes of each group in their order, twice as many each round; all others of other components meet them
-        ranked = materialize(open_groups.selectExpr("sig", "node", "n", "comp", "row_number() over (partition by sig order by node) as nth"), "open")
-        pivots = ranked.where((F.col("nth") > rank) & (F.col("nth") <= 2 * rank + 1)).select("sig", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca"), F.col("nth").alias("at"))
-        if pivots.limit(1).count() == 0:
-            break
-        met = ranked.join(pivots, "sig").where((F.col("nth") > F.col("at")) & (F.col("comp") != F.col("ca")) & fits(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b")).distinct()
-        met = materialize(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(_verify(met, features, similar)), "verified")
-        tried, rank = tried.unionByName(met), 2 * rank + 1
     comp = first.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     least = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = comp.join(least, "comp").select("node", "component_id")
