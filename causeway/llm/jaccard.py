@@ -13,9 +13,10 @@ Partitions that hold frequent shingles alone would gather unrelated documents. F
 documents; a set with more than k partitions that hold a rarer shingle signs the first k + 1 of those. Two sets without
 (mostly copies of one another) sign their first k + 1 partitions for each other. Either way no pair is lost.
 
-In a group of equal signatures every set is first compared with one other, so that copies become components. Only pairs
-of different components are looked at further, in tiles of bounded size, by sketches: counts of features in a few
-buckets, whose distance is never more than that of the sets. What the sketches leave is verified on the sets.
+In a group of equal signatures every set is first compared with one other, the one that stands in most and largest
+groups, so that copies meet their original and become components. Only pairs of different components are looked at
+further, in tiles of bounded size, by sketches: the parities of the numbers of features in some buckets, whose distance
+is never more than that of the sets. What the sketches leave is verified on the sets.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from .common import BoundedCache, materialize, sliced, whole_text
 WORDS = 5
 #: Similarity as a fraction.
 SIMILAR = (3, 4)
-#: A frequent shingle is one in at least so many documents of a batch and of all; the list has a bound, and any list gives the same pairs.
-FREQUENT_BATCH, FREQUENT, FREQUENT_MOST = 3, 48, 300_000
+#: Shingles count in a batch if so many sets of it hold them, and are frequent from so many in all batches. The list has a
+#: bound, and any list gives the same pairs.
+FREQUENT_BATCH, FREQUENT, FREQUENT_MOST = 2, 8, 300_000
+BATCH_FEATURES = 4_000_000
 #: Bands of sets up to this size have a partition for every feature.
 SMALL = 128
 #: Sets of a signature group that are compared in one tile.
@@ -107,24 +110,40 @@ def signatures(features: np.ndarray, frequent: Frequent, similar=SIMILAR) -> lis
     rare = frequent.rare(features).astype(np.int64)
     for level in bands(len(features), similar):
         if 1 << level <= SMALL:
-            part, first, content, count = features, None, features, rare
+            part, content, count, held = features, features, rare, np.ones(len(features), np.int64)
         else:
             part = features >> np.uint64(65 - level)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            part, content, count = part[first], np.add.reduceat(features, first), np.add.reduceat(rare, first)
+            part, content, count, held = part[first], np.add.reduceat(features, first), np.add.reduceat(rare, first), np.diff(first, append=len(features))
         sign = mixed(content + part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
         order = np.argsort(-count, kind="stable")
         strong = int((count > 0).sum())
         out.append(sign[order[: min(strong, k + 1)]])
         if strong <= k:
-            out.append(mixed(sign[: k + 1] ^ np.uint64(0xD6E8FEB86659FD93)))
+            out.append(mixed(sign[np.argsort(-held, kind="stable")[: k + 1]] ^ np.uint64(0xD6E8FEB86659FD93)))
     return out
 
 
 def sketch_of(features: np.ndarray) -> np.ndarray:
-    """Numbers of features (255 at most) by their low bits, in an eighth to a quarter as many buckets as features."""
-    buckets = 1 << max(3, len(features).bit_length() - 3)
-    return np.minimum(np.bincount((features & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+    """Parities of the numbers of features by their low bits, in two to four times as many buckets as features; as 64-bit words."""
+    buckets = 1 << max(6, len(features).bit_length() + 1)
+    return np.packbits(np.bincount((features & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def halved(sketch: np.ndarray) -> np.ndarray:
+    """The sketch, or sketches as rows, of half as many buckets."""
+    n = sketch.shape[-1] // 2
+    return sketch[..., :n] ^ sketch[..., n:]
+
+
+def close(x: np.ndarray, y: np.ndarray, m: int, n: int, similar=SIMILAR) -> bool:
+    """May sets of m and n features with these sketches be similar?"""
+    p, q = similar
+    while len(x) < len(y):
+        y = halved(y)
+    while len(y) < len(x):
+        x = halved(x)
+    return int(np.bitwise_count(x ^ y).sum()) * (q + p) <= (m + n) * (q - p)
 
 
 def node_of(features: np.ndarray) -> int:
@@ -158,7 +177,7 @@ def _surveyed(batches):
                 held[node] = features
                 size += len(features)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int64())], names=SURVEY)
-        if size > 2_000_000:
+        if size > BATCH_FEATURES:
             values, n = frequent()
             held, size = {}, 0
             yield pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.binary()), pa.array(values), pa.array(n)], names=SURVEY)
@@ -244,7 +263,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, similar) -> DataFrame:
 
     def run(batches):
         for batch in sliced(batches):
-            good = [close(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), m, n, similar) for x, y, m, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            good = [close(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), m, n, similar) for x, y, m, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -253,16 +272,6 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, similar) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "m", "n").mapInArrow(run, "a long, b long")
 
 
-def close(x: np.ndarray, y: np.ndarray, m: int, n: int, similar=SIMILAR) -> bool:
-    """May sets of m and n features with these sketches be similar?"""
-    p, q = similar
-    while len(x) < len(y):
-        y = y[: len(y) // 2].astype(np.int32) + y[len(y) // 2 :]
-    while len(y) < len(x):
-        x = x[: len(x) // 2].astype(np.int32) + x[len(x) // 2 :]
-    return int(np.abs(x.astype(np.int32) - y).sum()) * (q + p) <= (m + n) * (q - p)
-
-
 def _resolve(similar):
     """Over rows (sig, tile, other, mine, node, n, comp, sketch) sorted by the first three: pairs of different components whose sketches allow similarity.
 
@@ -271,22 +280,31 @@ def _resolve(similar):
     p, q = similar
 
     def compare(rows, seen):
+        if len({r[3] for r in rows}) < 2:
+            return
         rows.sort(key=lambda r: r[2])
-        sketches = [np.frombuffer(r[4], np.uint8).astype(np.int32) for r in rows]
-        across = len({r[0] for r in rows}) > 1
-        for i, (mine, node, n, comp, _) in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                other = rows[j]
-                if p * other[2] > q * n:
-                    break
-                if other[3] == comp or other[1] == node or across and other[0] == mine:
+        mine, node, n, comp = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        raw = [np.frombuffer(r[4], np.uint64) for r in rows]
+        ends = np.searchsorted(n, q * n // p, "right")  # the first row that is too large for each
+        across = len(set(mine.tolist())) > 1
+        words = np.array([len(x) for x in raw])
+        for length in sorted(set(words.tolist())):
+            start, stop, beyond = (int(np.searchsorted(words, w)) for w in (length, length + 1, 2 * length + 1))
+            level = np.stack([*raw[start:stop], *map(halved, raw[stop:beyond])])
+            for i in range(start, min(stop, len(rows) - 1)):
+                end = min(int(ends[i]), beyond)
+                if end <= i + 1:
                     continue
-                pair = (node, other[1]) if node < other[1] else (other[1], node)
-                if pair not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(pair)
-                    if close(sketches[i], sketches[j], n, other[2], similar):
+                far = np.bitwise_count(level[i + 1 - start : end - start] ^ level[i - start]).sum(1, dtype=np.int64)
+                good = (far * (q + p) <= (n[i] + n[i + 1 : end]) * (q - p)) & (comp[i + 1 : end] != comp[i]) & (node[i + 1 : end] != node[i])
+                if across:
+                    good &= mine[i + 1 : end] != mine[i]
+                for j in (np.flatnonzero(good) + i + 1).tolist():
+                    pair = (int(node[i]), int(node[j])) if node[i] < node[j] else (int(node[j]), int(node[i]))
+                    if pair not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(pair)
                         yield pair
 
     def run(batches):
@@ -330,6 +348,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
     sketches = survey.where("node is not null").select("node", "n", "sketch").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sketches = materialize(sketches, "sketches")
 
+    fits = lambda m, n: q * F.least(m, n) >= p * F.greatest(m, n)
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar; the sets of their nodes alone are made again."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -338,18 +358,29 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
         features = materialize(texts.join(needed, "doc_id", "left_semi").select("text").mapInArrow(_features, "node long, features binary"), "features").dropDuplicates(["node"])
         return materialize(_verify(pairs, features, similar), "verified")
 
-    low = members.groupBy("sig").agg(F.min("node").alias("low"))
-    to_low = members.join(low, "sig").where("node <> low").groupBy("node", "low").count()
-    pairs = to_low.groupBy(F.col("node").alias("b")).agg(F.max_by("low", F.struct("count", "low")).alias("a")).select("a", "b")
-    links = verified(materialize(_sketched(pairs, sketches, similar), "pairs"))
+    # hubs: nodes by how many others their groups hold
+    sized = members.distinct().selectExpr("*", "count(*) over (partition by sig) as size")
+    score = sized.groupBy("node").agg(F.sum("size").alias("score"))
+    hubs = sized.join(score, "node").selectExpr("sig", "node", "n", "size", "score", "first_value(struct(score, node, n)) over (partition by sig order by score desc, node) as hub")
+    hubs = materialize(hubs.selectExpr("sig", "node", "n", "size", "score", "hub.node as hub", "hub.n as m", "hub.score as hub_score"), "hubs")
+    met = hubs.where((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("m")))
+    pairs = met.groupBy(F.col("node").alias("b")).agg(F.max_by("hub", F.struct("hub_score", "hub")).alias("a")).select("a", "b")
+    pairs = materialize(_sketched(pairs, sketches, similar), "pairs")
+    links = verified(pairs)
+    labels = components(links)
+    of = lambda name, comp: labels.select(F.col("node").alias(name), F.col("comp").alias(comp))
+    apart = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second = materialize(_sketched(apart.join(pairs, ["a", "b"], "left_anti"), sketches, similar), "pairs")
+    links = materialize(links.unionByName(verified(second)), "verified")
+    tried = pairs.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     labels = components(links)
-    grouped = members.distinct().join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grouped = grouped.selectExpr("*", "min(comp) over (partition by sig) as lo", "max(comp) over (partition by sig) as hi", "count(*) over (partition by sig) as size", "row_number() over (partition by sig order by n, node) as nth").where("lo <> hi")
+    grouped = hubs.select("sig", "node", "n", "size").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = grouped.selectExpr("*", "min(comp) over (partition by sig) as lo", "max(comp) over (partition by sig) as hi", "row_number() over (partition by sig order by n, node) as nth").where("lo <> hi")
     tiles = grouped.selectExpr("sig", "node", "comp", f"cast((nth - 1) div {TILE} as int) as mine", f"cast((size - 1) div {TILE} as int) as most").withColumn("with", F.explode(F.expr("sequence(0, most)")))
     tiles = tiles.selectExpr("sig", "least(mine, with) as tile", "greatest(mine, with) as other", "mine", "node", "comp").join(sketches, "node").select("sig", "tile", "other", "mine", "node", "n", "comp", "sketch")
     left = tiles.repartition("sig", "tile", "other").sortWithinPartitions("sig", "tile", "other").mapInArrow(_resolve(similar), "a long, b long").distinct()
-    more = verified(materialize(left, "pairs"))
+    more = verified(materialize(left.join(tried, ["a", "b"], "left_anti"), "pairs"))
     labels = components(links.unionByName(more))
 
     comp = first.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
