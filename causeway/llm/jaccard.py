@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialize, sliced, whole_text
+from .common import materialize, sliced, whole_text
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -52,12 +52,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def shingles(text: str, lookup, words: int = WORDS) -> np.ndarray:
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a text: A-Z in lower case, words between ASCII white space."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(lookup.__getitem__, found), np.uint64, len(found))
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     if len(ids) < words:
         return mixed(np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64))
     total = ids[: len(ids) - words + 1] * _MULTIPLIERS[0]
@@ -66,10 +66,6 @@ def shingles(text: str, lookup, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def word_hashes() -> BoundedCache:
-    return BoundedCache(xxhash.xxh3_64_intdigest)
-
-
 def allowed(size: int, similar=SIMILAR) -> int:
     """The most features in which a set of ``size`` can differ from a similar one (of at most size/g features)."""
     p, q = similar
@@ -156,7 +152,7 @@ SURVEY = ["doc_id", "node", "n", "sketch", "shingle", "count"]
 
 def _surveyed(batches):
     """Rows (doc_id, node, n, sketch) of every document, and rows (shingle, count) of shingles that are frequent in a batch."""
-    lookup, held, size = word_hashes(), {}, 0
+    held, size = {}, 0
 
     def frequent():
         every, n = np.unique(np.concatenate([*held.values(), np.empty(0, np.uint64)]), return_counts=True)
@@ -168,7 +164,7 @@ def _surveyed(batches):
         kind = batch.schema.field(0).type
         nodes, sizes, sketches = [], [], []
         for body in batch.column(1).to_pylist():
-            features = shingles(body, lookup)
+            features = shingles(body)
             node = node_of(features) if len(features) else None
             nodes.append(node)
             sizes.append(len(features))
@@ -188,11 +184,11 @@ def _surveyed(batches):
 
 def _sign(shared, similar):
     def run(batches):
-        lookup, frequent, done = word_hashes(), Frequent(shared.value), set()
+        frequent, done = Frequent(shared.value), set()
         for batch in sliced(batches):
             sigs, nodes, sizes = [], [], []
             for body in batch.column(0).to_pylist():
-                features = shingles(body, lookup)
+                features = shingles(body)
                 if not len(features) or (node := node_of(features)) in done:
                     continue
                 if len(done) < 200_000:
@@ -209,11 +205,10 @@ def _sign(shared, similar):
 
 def _features(batches):
     """(node, features) of texts, one row a distinct set of a batch."""
-    lookup = word_hashes()
     for batch in sliced(batches, 500):
         found = {}
         for body in batch.column(0).to_pylist():
-            features = shingles(body, lookup)
+            features = shingles(body)
             if len(features):
                 found[node_of(features)] = features.tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "features"])
@@ -375,8 +370,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
     tried = pairs.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     labels = components(links)
-    grouped = hubs.select("sig", "node", "n", "size").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grouped = grouped.selectExpr("*", "min(comp) over (partition by sig) as lo", "max(comp) over (partition by sig) as hi", "row_number() over (partition by sig order by n, node) as nth").where("lo <> hi")
+    # every fitting pair with a hub has been looked at: a group needs two other nodes of different components
+    grouped = hubs.where((F.col("size") > 2) & (F.col("node") != F.col("hub"))).select("sig", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = grouped.selectExpr("*", "min(comp) over (partition by sig) as lo", "max(comp) over (partition by sig) as hi", "count(*) over (partition by sig) as size", "row_number() over (partition by sig order by n, node) as nth").where("lo <> hi")
     tiles = grouped.selectExpr("sig", "node", "comp", f"cast((nth - 1) div {TILE} as int) as mine", f"cast((size - 1) div {TILE} as int) as most").withColumn("with", F.explode(F.expr("sequence(0, most)")))
     tiles = tiles.selectExpr("sig", "least(mine, with) as tile", "greatest(mine, with) as other", "mine", "node", "comp").join(sketches, "node").select("sig", "tile", "other", "mine", "node", "n", "comp", "sketch")
     left = tiles.repartition("sig", "tile", "other").sortWithinPartitions("sig", "tile", "other").mapInArrow(_resolve(similar), "a long, b long").distinct()
