@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Spark's reader resolves the path, wherever it is stored."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +39,17 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in a record batch that Spark hands to Python; long texts make large batches.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a record batch to ARROW_ROWS, so a batch of long texts fits in a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def whole_text(col="text"):
     """The text column as a string, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -49,7 +62,7 @@ class BoundedCache(dict):
     A worker's memory stays bounded, and frequent keys stay known.
     """
 
-    def __init__(self, make, limit: int = 200_000):
+    def __init__(self, make, limit: int = 100_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -66,6 +79,9 @@ class BoundedCache(dict):
 
 def sliced(batches, rows: int = 1000):
     """Smaller record batches: long rows (texts, media) of many rows are never expanded at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:  # workers serve many tasks: what this one took goes back
+        pa.default_memory_pool().release_unused()
