@@ -235,7 +235,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
     kept = [f for f in df.schema.fields if f.name not in ("frames", "samples", "duration_us", "crc_bad", "skipped", "feature", "frame_offsets", media)]
-    schema = StructType(kept)
+    schema = StructType([*kept])
     for name in ("frames", "samples", "duration_us", "crc_bad", "skipped"):
         schema = schema.add(name, LongType())
     schema = schema.add("feature", StringType()).add("frame_offsets", ArrayType(LongType()))
