@@ -111,7 +111,8 @@ def xlsx_rows(content: bytes) -> list[list[str]]:
 def uploads(spark: SparkSession, path: str, limit: int = 20, max_bytes: int = MAX_BYTES, pdf_text=None) -> DataFrame:
     """Name, text, error of uploaded files, the first ``limit`` by path.
 
-    Errors: an unknown ending, an empty or too large file, a file that cannot be read, or a blank text. ``pdf_text`` is a
+    Errors: an unknown ending, a too large file, a file that cannot be read, or a blank text; Spark lists no row for a file
+    of no bytes. ``pdf_text`` is a
     function from bytes to text; without one, PDF files give an error.
     """
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
@@ -139,7 +140,7 @@ def uploads(spark: SparkSession, path: str, limit: int = 20, max_bytes: int = MA
                 out.append((None, f"unreadable: {type(e).__name__}"))
         return pd.DataFrame(out, columns=["text", "error"])
 
-    early = F.when(~F.col("ending").isin(*EXTENSIONS), "unsupported type").when(F.col("length") == 0, "empty file").when(F.col("length") > max_bytes, "too large")
+    early = F.when(~F.col("ending").isin(*EXTENSIONS), "unsupported type").when(F.col("length") > max_bytes, "too large")
     rows = files.withColumn("early", early).withColumn("r", F.when(F.col("early").isNull() & ~F.col("ending").isin("csv", "xlsx"), text_of("content", "ending")))
     late = F.when(T.blank_to_null("r.text").isNull() & F.col("r.error").isNull() & F.col("early").isNull() & ~F.col("ending").isin("csv", "xlsx"), "no text")
     return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "ending", F.col("r.text").alias("text"), F.coalesce("early", "r.error", late).alias("error"))
