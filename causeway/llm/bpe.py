@@ -134,8 +134,8 @@ class Codec:
         self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"])
         self.automaton.labels |= {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.chunks = BoundedCache(self._chunk)
-        self.words = BoundedCache(self._word)
+        self.chunks = BoundedCache(self._chunk, 200_000)
+        self.words = BoundedCache(self._word, 200_000)
 
     def _words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
