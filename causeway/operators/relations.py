@@ -22,6 +22,9 @@ def sentence_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("map_key", "doc_id", "chunk_no", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"), F.posexplode(T.sentences("text")).alias("sent_no", "sentence"))
 
 
+MATCH = "array<struct<cue:int,nth:int,base:double,span:string,cause:string,effect:string>>"
+
+
 def _match(cue: int, weight: float, cause: str, effect: str):
     return lambda z, i: F.struct(F.lit(cue).alias("cue"), i.alias("nth"), F.lit(weight).alias("base"), z["span"].alias("span"), z[cause].alias("cause"), z[effect].alias("effect"))
 
@@ -33,7 +36,8 @@ def mentions(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         pattern = F.lit(rf"(?i){T.FIRST}\s+{cue}\s+{T.LAST}")
         parts = F.arrays_zip(*(F.regexp_extract_all("sentence", pattern, F.lit(g)).alias(name) for g, name in enumerate(("span", "one", "two"))))
         cause, effect = ("two", "one") if reversed_ else ("one", "two")
-        found.append(F.transform(parts, _match(n, float(weight), cause, effect)))
+        # operands are sought only where the cue stands: the patterns backtrack over every word
+        found.append(F.when(F.col("sentence").rlike(rf"(?i)\s{cue}\s"), F.transform(parts, _match(n, float(weight), cause, effect))).otherwise(F.array().cast(MATCH)))
     rows = sentence_rows(chunks).withColumn("m", F.explode(F.concat(*found))).select("*", "m.*").drop("m")
     rows = T.with_concepts(rows, lexicon, source="cause", target="effect").where(T.valid_pair("source", "target", lexicon))
     rows = rows.withColumn("weight", T.modulated("base", "span", lexicon)).where(F.abs("weight") >= 0.10)
