@@ -53,7 +53,7 @@ m AS (SELECT map_key, doc_id, source, target, text, CASE flag WHEN 'A' THEN 0.75
   WHERE source NOT IN ('', 'Ring', 'Hot Rod', 'Red Rod') AND target NOT IN ('', 'Ring', 'Hot Rod', 'Red Rod') AND source <> target
     AND NOT list_has_all(string_split(source, ' '), string_split(target, ' ')) AND NOT list_has_all(string_split(target, ' '), string_split(source, ' ')))"""
 EDGES_SQL = f"""{MENTIONS_SQL},
-e AS (SELECT map_key, source, target, round(sum(weight) / count(*), 3) AS weight, count(*) AS n, round(least(0.98, 0.95 + least(0.15, 0.03 * (count(DISTINCT text) - 1))), 3) AS confidence FROM m GROUP BY ALL)"""
+e AS (SELECT map_key, source, target, round(sum(weight) / count(*), 3) AS weight, count(*) AS n, CAST(round(least(0.98, 0.95 + least(0.15, 0.03 * (count(DISTINCT text) - 1))), 3) AS DOUBLE) AS confidence FROM m GROUP BY ALL)"""
 
 
 @query("sentence_split", f"WITH {SENTENCES_SQL} SELECT map_key, count(*) AS sentences, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY ALL")
@@ -231,7 +231,7 @@ def confident_edges(spark, sf_dir):
     return B.confident(graph(spark, sf_dir), 0.42, 0.02, 100).select("map_key", "source", "target", "weight")
 
 
-@query("matrix_edges", f"WITH {GRAPH_SQL}, r AS (SELECT source, target, sum(weight) AS weight FROM b GROUP BY 1, 2) SELECT 'Uploaded Matrix' AS map_key, source, target, round(weight, 6) AS weight, 0.95 AS confidence FROM r WHERE weight <> 0")
+@query("matrix_edges", f"WITH {GRAPH_SQL}, r AS (SELECT source, target, sum(weight) AS weight FROM b GROUP BY 1, 2) SELECT 'Uploaded Matrix' AS map_key, source, target, round(weight, 6) AS weight, CAST(0.95 AS DOUBLE) AS confidence FROM r WHERE weight <> 0")
 def matrix_edges(spark, sf_dir):
     """J13, B19, section 3.2."""
     return M.maps_from_matrices(graph(spark, sf_dir).select("map_key", "source", "target", "weight")).select("map_key", "source", "target", F.round("weight", 6).alias("weight"), "confidence")
@@ -633,3 +633,162 @@ def answers(spark, sf_dir):
     edges = graph(spark, sf_dir)
     maps = edges.select("map_key").distinct().withColumn("query", F.lit("what drives what?"))
     return A.build_answer(maps, edges).select("map_key", F.size(F.split("answer", "\n")).alias("lines"))
+
+
+# ---- more of the inventory, one operator each -----------------------------------------------------------------------
+
+
+LEMMA_SQL = "CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN concat(left(w, length(w) - 3), 'y') WHEN length(w) > 4 AND w LIKE '%es' AND NOT regexp_matches(w, '(ses|ches|shes|xes|zes)$') THEN left(w, length(w) - 2) WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END"
+NAMES_SQL = "n AS (SELECT DISTINCT concat(p_name, CASE p_partkey % 4 WHEN 0 THEN 's' WHEN 1 THEN '' WHEN 2 THEN 'es' ELSE concat(' ', lower(p_type), 'ies') END) AS concept FROM part)"
+
+
+def _names(spark, sf_dir):
+    end = F.when(F.col("p_partkey") % 4 == 0, "s").when(F.col("p_partkey") % 4 == 1, "").when(F.col("p_partkey") % 4 == 2, "es").otherwise(F.concat(F.lit(" "), F.lower("p_type"), F.lit("ies")))
+    return table(spark, sf_dir, "part").select(F.concat("p_name", end).alias("concept")).distinct()
+
+
+@query("lemma_keys", f"WITH {NAMES_SQL}, w AS (SELECT concept, unnest(string_split(lower(concept), ' ')) AS w FROM n) SELECT concept, string_agg({LEMMA_SQL}, ' ' ORDER BY {LEMMA_SQL}) AS lemma FROM w GROUP BY concept")
+def lemma_keys(spark, sf_dir):
+    """I6."""
+    return _names(spark, sf_dir).select("concept", T.lemma_key("concept").alias("lemma"))
+
+
+@query("lemma_heads", f"WITH {NAMES_SQL}, w AS (SELECT concept, unnest(string_split(lower(concept), ' ')) AS w FROM n), k AS (SELECT concept, string_agg({LEMMA_SQL}, ' ' ORDER BY {LEMMA_SQL}) AS lemma FROM w GROUP BY concept) SELECT concept, first_value(concept) OVER (PARTITION BY lemma ORDER BY length(concept) DESC, concept) AS head FROM k")
+def lemma_heads(spark, sf_dir):
+    """J9, the bucket step: the longest name of each lemma key; ties by first mention, here by name."""
+    names = _names(spark, sf_dir).select(F.lit("m").alias("map_key"), "concept", F.col("concept").alias("first_seen"))
+    return E.lemma_heads(names).select("concept", "head")
+
+
+@query("absorbed_subsets", """WITH a AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT concat(p_name, ' ', lower(p_type)) FROM part WHERE p_partkey % 23 = 0), t AS (SELECT name, list_distinct(string_split(lower(name), ' ')) AS w FROM a),
+p AS (SELECT x.name AS short, y.name AS long FROM t x JOIN t y ON x.name <> y.name AND len(x.w) < len(y.w) AND list_has_all(y.w, x.w)) SELECT short, min(long) AS long FROM p GROUP BY short HAVING count(*) = 1""")
+def absorbed_subsets(spark, sf_dir):
+    """Names whose words are a strict subset of exactly one other's."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("head")).union(part.where("p_partkey % 23 = 0").select(F.concat("p_name", F.lit(" "), F.lower("p_type")))).distinct()
+    return E.absorb_subsets(names.withColumn("map_key", F.lit("m"))).select("short", "long")
+
+
+@query("sentence_polarity", "SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '(?i)\\b(?:the|was\\w*)\\b')) > len(regexp_extract_all(text, '(?i)\\b(?:of|that)\\b')) THEN -1 ELSE 1 END AS polarity FROM conversations")
+def sentence_polarity(spark, sf_dir):
+    """E8, with test markers."""
+    import dataclasses
+
+    lexicon = dataclasses.replace(L.DEFAULT, negative=r"\b(?:the|was\w*)\b", positive=r"\b(?:of|that)\b")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sentence_polarity("text", lexicon).alias("polarity"))
+
+
+@query("modulated_weights", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 10 AS w, CASE l_returnflag WHEN 'A' THEN 'may rise' WHEN 'N' THEN 'strongly rises' ELSE 'might sharply rise' END AS span FROM lineitem WHERE l_quantity >= 48),
+f AS (SELECT *, CASE WHEN regexp_matches(span, 'strongly|sharply') THEN 1.18 ELSE 1.0 END::DOUBLE * CASE WHEN regexp_matches(span, 'may|might') THEN 0.62 ELSE 1.0 END::DOUBLE AS k FROM s) SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(-0.98, least(0.98, w * k)), 3) AS weight FROM f""")
+def modulated_weights(spark, sf_dir):
+    """I7."""
+    span = F.when(F.col("l_returnflag") == "A", "may rise").when(F.col("l_returnflag") == "N", "strongly rises").otherwise("might sharply rise")
+    return table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_linenumber", "l_partkey", T.modulated(F.col("l_discount") * 10, span).alias("weight"))
+
+
+@query("edges_meta", f"WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY confidence * abs(weight) DESC, source, target) AS rank FROM b) SELECT map_key, CAST(rank AS INTEGER) AS rank, source, target, round(weight, 3) AS weight, round(confidence, 3) AS confidence FROM r")
+def edges_meta(spark, sf_dir):
+    """C5, unfolded."""
+    rows = A.edges_meta(R.ranked(graph(spark, sf_dir))).select("map_key", F.explode("edges_meta").alias("e"))
+    return rows.select("map_key", "e.rank", "e.source", "e.target", "e.weight", "e.confidence")
+
+
+@query("degree_centrality", f"WITH {GRAPH_SQL}, {STRENGTH}, z AS (SELECT map_key, count(*) AS k FROM n GROUP BY 1) SELECT map_key, concept, round((od + id) / (k - 1), 6) AS degree FROM n JOIN z USING (map_key)")
+def degree_centrality(spark, sf_dir):
+    """J14's degree part."""
+    return G.importance(graph(spark, sf_dir)).select("map_key", "concept", F.round("degree", 6).alias("degree"))
+
+
+@query("centroid_proximity", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 4), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM v GROUP BY 1)
+SELECT a.label AS i, b.label AS j, round(1 - list_distance(a.c, b.c) / (2 * sqrt(list_inner_product(a.c, a.c)) + 1e-6), 6) AS proximity FROM c a JOIN c b ON a.label <> b.label""")
+def centroid_proximity(spark, sf_dir):
+    """J4."""
+    v = table(spark, sf_dir, "embeddings").where("label < 4")
+    means = v.groupBy("label").agg(*(F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"e{i}") for i in range(64))).select(F.col("label").alias("cluster"), F.array(*(f"e{i}" for i in range(64))).alias("centre"))
+    return K.proximity(means).withColumn("proximity", F.round("proximity", 6))
+
+
+@query("thread_texts", """SELECT conv_id, md5(concat('# ', conv_id, chr(10), 'u', chr(10), chr(10), string_agg(concat('--- ', role, ' | ', turn, ' ---', chr(10), CASE WHEN turn % 5 = 4 THEN '[empty body]' ELSE trim(text) END), concat(chr(10), chr(10)) ORDER BY turn))) AS digest FROM conversations GROUP BY conv_id""")
+def thread_texts(spark, sf_dir):
+    """K3: conversations as threads, every fifth body empty."""
+    from ..sources import writers as W
+
+    post = F.struct("turn", F.col("role").alias("author"), F.col("turn").cast("string").alias("date"), F.when(F.col("turn") % 5 == 4, " ").otherwise(F.trim("text")).alias("body"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(post)).alias("posts"))
+    t = W.thread_text(c.select(F.col("conv_id").alias("thread_id"), F.col("conv_id").cast("string").alias("title"), F.lit("u").alias("url"), "posts"))
+    return t.select(F.col("thread_id").alias("conv_id"), F.md5("value").alias("digest"))
+
+
+@query("rendered_documents", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(concat('Document_ID: ', doc_id, chr(10), 'Source_Name: ', source, chr(10), repeat('=', 60), chr(10), text)) AS digest FROM documents""")
+def rendered_documents(spark, sf_dir):
+    """K2, C1."""
+    from ..sources import writers as W
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Document_ID"), F.lit("").alias("Source_Type"), F.col("source").alias("Source_Name"), *(F.lit("").alias(c) for c in ("URL", "Title", "Published_Date", "Location")), "text")
+    return W.rendered(d).select(F.col("Document_ID").alias("doc_id"), F.md5(F.regexp_replace("value", r"^((?:[A-Za-z_]+: [^\n]*\n)+)\n", "$1")).alias("digest"))
+
+
+@query("graph_lines", f"""WITH {GRAPH_SQL}, a AS (SELECT map_key, row_number() OVER (PARTITION BY map_key ORDER BY source, target) AS n, source, target FROM b) SELECT map_key, n, concat('<edge id="', n, '" source="', source, '" target="', target, '" ') AS head FROM a""")
+def graph_lines(spark, sf_dir):
+    """K5: the edge lines of the GEXF form, up to the weight."""
+    from ..sources import writers as W
+
+    return W.gexf_rows(graph(spark, sf_dir)).where("part = 3").select("map_key", "n", F.regexp_extract("value", "^(.*)weight=", 1).alias("head"))
+
+
+@query("scanned_bodies", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest FROM documents WHERE trim(text) <> ''")
+def scanned_bodies(spark, sf_dir):
+    """A2: documents written as JSON lines under one of the body keys and read back."""
+    from ..shared import shared_dir
+    from ..sources import readers as S
+
+    import uuid
+
+    path = f"{shared_dir(spark)}/causeway/bodies-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Document_ID"), F.lit(" ").alias("text"), F.col("text").alias("transcript")).write.json(path)
+    return S.bodies(spark, path).select(F.col("Document_ID").alias("doc_id"), F.md5("text").alias("digest"))
+
+
+@query("streamed_documents", "SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source")
+def streamed_documents(spark, sf_dir):
+    """Section 2.10, A25: the documents as a file stream, each once, taken in two runs of one checkpoint."""
+    import uuid
+
+    from ..shared import shared_dir
+
+    base = f"{shared_dir(spark)}/causeway/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema
+    docs = table(spark, sf_dir, "documents")
+    for half in (0, 1):
+        docs.where(F.col("doc_id") % 2 == half).union(docs.where("doc_id < 10")).write.mode("append").parquet(f"{base}/in")
+        ingest.run(ingest.documents(spark, f"{base}/in", schema), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("allowed_sources", "SELECT source, count(*) AS n FROM documents WHERE source IN ('src1', 'src7') GROUP BY source")
+def allowed_sources(spark, sf_dir):
+    """Exact names; prefixes need a '-'."""
+    return B.allowed(table(spark, sf_dir, "documents"), ["src1", "src7"], "source").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("display_sources", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source ELSE 'unknown' END AS shown, concat(upper(left(lang, 1)), substr(lang, 2), ' ', upper(left(source, 1)), substr(source, 2)) AS place FROM documents")
+def display_sources(spark, sf_dir):
+    """C3, I20."""
+    k = F.col("doc_id") % 3
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_truthy(F.when(k == 0, F.col("lang")).otherwise(" "), F.when(k == 1, F.col("source")).otherwise("")).alias("shown"), T.location_of(F.concat("lang", F.lit("-"), "source", F.lit("-"), F.col("doc_id").cast("string"))).alias("place"))
+
+
+@query("run_summary", "SELECT lang, count(*) AS total, count(*) FILTER (length(text) < 400) AS short FROM documents GROUP BY lang")
+def run_summary(spark, sf_dir):
+    """E16, K11."""
+    o = table(spark, sf_dir, "documents").withColumn("outcome", F.when(F.length("text") < 400, "short").otherwise("saved"))
+    return B.funnel(o, "lang").groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("outcome") == "short", F.col("n")).otherwise(0)).alias("short"))
+
+
+@query("question_bundles", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(q::DOUBLE[], embedding::DOUBLE[]) DESC, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query_id)
+SELECT query_id AS map_key, concat('Question: q', query_id, chr(10), chr(10), 'Answer: ', chr(10), chr(10), 'Context:', chr(10), string_agg(concat('passage ', vec_id), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS text FROM s WHERE rank <= 6 GROUP BY query_id""")
+def question_bundles(spark, sf_dir):
+    """C8, section 3.1: questions with their six nearest passages as the text of a map."""
+    v = table(spark, sf_dir, "embeddings").withColumn("text", F.concat(F.lit("passage "), F.col("vec_id").cast("string")))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("question"))
+    return M.question_chunks(q, v, 6).select("map_key", "text")
