@@ -26,8 +26,8 @@ def let(value: Column, body) -> Column:
 
 
 def blank_to_null(c) -> Column:
-    """Empty and blank strings as null."""
-    return F.nullif(F.trim(_col(c)), F.lit(""))
+    """Empty and blank strings as null, others without white space at their ends."""
+    return F.nullif(F.trim(_col(c), F.lit(" \t\n\r\f\x0b")), F.lit(""))
 
 
 def first_truthy(*columns, default: str = "unknown") -> Column:
