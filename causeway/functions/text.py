@@ -59,33 +59,31 @@ def matches_keyword(keyword: str, words: Column, joined: Column) -> Column:
     return F.array_contains(words, parts[0]) if len(parts) == 1 else F.contains(joined, F.lit("-".join(parts)))
 
 
+def _keyword_arrays(keywords) -> tuple[Column, Column]:
+    """One-word keywords by themselves, longer ones joined by '-': arrays of (form, keyword)."""
+    forms = sorted({("-".join(_key_tokens(k)), k) for k in keywords if _key_tokens(k)})
+    pick = lambda many: [F.struct(F.lit(f).alias("form"), F.lit(k).alias("keyword")) for f, k in forms if ("-" in f) == many]
+    return tuple(F.array(*pick(many)).cast("array<struct<form:string,keyword:string>>") for many in (False, True))
+
+
+def _found(words: Column, joined: Column, keywords) -> Column:
+    single, several = _keyword_arrays(keywords)
+    return F.concat(F.filter(single, lambda k: F.array_contains(words, k["form"])), F.filter(several, lambda k: F.contains(joined, k["form"])))
+
+
 def keyword_hits(c, keywords, exclude=()) -> Column:
     """The sorted keywords that match a text; none if an excluded one does."""
-    words = tokens(c)
-    single = sorted({k for k in keywords if len(_key_tokens(k)) == 1})
-    several = sorted({k for k in keywords if len(_key_tokens(k)) > 1})
-    joined = F.array_join(words, "-")
-    found = F.array_sort(
-        F.concat(
-            F.filter(F.array(*map(F.lit, single)).cast("array<string>"), lambda k: F.array_contains(words, F.regexp_replace(F.lower(k), "[^a-z0-9]+", ""))),
-            F.filter(F.array(*map(F.lit, several)).cast("array<string>"), lambda k: F.contains(joined, F.regexp_replace(F.lower(k), "[^a-z0-9]+", "-"))),
-        )
-    )
-    if not exclude:
-        return found
-    return F.when(any_keyword(c, exclude), F.array().cast("array<string>")).otherwise(found)
+
+    def hits(words: Column, joined: Column) -> Column:
+        found = F.array_sort(F.transform(_found(words, joined, keywords), lambda k: k["keyword"]))
+        return F.when(F.size(_found(words, joined, exclude)) > 0, F.array().cast("array<string>")).otherwise(found) if exclude else found
+
+    return let(tokens(c), lambda words: let(F.array_join(words, "-"), lambda joined: hits(words, joined)))
 
 
 def any_keyword(c, keywords) -> Column:
     """Does any keyword match?"""
-    words = tokens(c)
-    single = sorted({_key_tokens(k)[0] for k in keywords if len(_key_tokens(k)) == 1})
-    several = sorted({"-".join(_key_tokens(k)) for k in keywords if len(_key_tokens(k)) > 1})
-    hit = F.arrays_overlap(words, F.array(*map(F.lit, single))) if single else F.lit(False)
-    if several:
-        joined = F.array_join(words, "-")
-        hit = hit | F.exists(F.array(*map(F.lit, several)), lambda k: F.contains(joined, k))
-    return F.coalesce(hit, F.lit(False))
+    return let(tokens(c), lambda words: let(F.array_join(words, "-"), lambda joined: F.size(_found(words, joined, keywords)) > 0))
 
 
 def meaningful_query(c, lexicon: Lexicon = DEFAULT, noise=()) -> Column:

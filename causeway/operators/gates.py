@@ -41,21 +41,26 @@ def funnel(df: DataFrame, *keys: str) -> DataFrame:
 
 def dominant_state(df: DataFrame, states=L.STATES, default: str = "Gulf Council", text: str = "text") -> DataFrame:
     """``state`` with most distinct signals; ties to the one that is named first; ``default`` for none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
 
-    def place(signal):
-        spaced = F.locate(signal.replace("-", " "), low)
-        return F.when(spaced > 0, spaced).otherwise(F.nullif(F.locate(signal, low), F.lit(0)))
-
-    words, scored = T.tokens(text), []
-    joined = F.array_join(words, "-")
-    for order, (name, signals) in enumerate(states.items()):
-        hit = [T.matches_keyword(s, words, joined) for s in signals]
-        n = F.size(F.filter(F.array(*hit), lambda x: x))
-        first = F.array_min(F.array(*(F.when(h, place(s)) for h, s in zip(hit, signals))))
-        scored.append(F.struct((-n).alias("n"), F.coalesce(first, F.lit(0)).alias("at"), F.lit(order).alias("order"), F.lit(name).alias("name")))
-    best = F.array_min(F.array(*scored))
-    return df.withColumn("state", F.when(best["n"] < 0, best["name"]).otherwise(default))
+    def best(low, words, joined):
+        def place(signal):
+            spaced = F.locate(signal.replace("-", " "), low)
+            return F.when(spaced > 0, spaced).otherwise(F.nullif(F.locate(signal, low), F.lit(0)))
+
+        scored = []
+        for order, (name, signals) in enumerate(states.items()):
+            # the place of each signal that matches, 0 if it is not in the text as such, else null
+            hits = F.array(*(F.when(T.matches_keyword(s, words, joined), F.coalesce(place(s), F.lit(0))) for s in signals))
+            scored.append(T.let(F.filter(hits, lambda x: x.isNotNull()), _score(order, name)))
+        return F.array_min(F.array(*scored))
+
+    def _score(order, name):
+        return lambda hits: F.struct((-F.size(hits)).alias("n"), F.coalesce(F.array_min(F.filter(hits, lambda x: x > 0)), F.lit(0)).alias("at"), F.lit(order).alias("order"), F.lit(name).alias("name"))
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = T.let(low, lambda a: T.let(T.tokens(a), lambda w: T.let(F.array_join(w, "-"), lambda j: best(a, w, j))))
+    named = T.let(found, lambda b: F.when(b["n"] < 0, b["name"]).otherwise(default))
+    return df.withColumn("state", named)
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:

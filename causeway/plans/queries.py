@@ -19,6 +19,7 @@ from ..operators import relations as R
 from ..operators import resolve as E
 from ..operators import retrieve as V
 from ..operators import simulate as Z
+from ..shared import written
 from ..streaming import ingest
 from . import maps as M
 from .registry import query
@@ -554,7 +555,7 @@ def _english(spark, sf_dir):
 @query("tfidf_weights", f"WITH {TFIDF_SQL} SELECT doc_id, count(*) AS grams, round(sum(x / norm), 5) AS total, round(max(x / norm), 6) AS top FROM x JOIN s USING (doc_id) GROUP BY doc_id")
 def tfidf_weights(spark, sf_dir):
     """E18."""
-    index = V.tfidf(V.grams(_english(spark, sf_dir), ("the", "of")))
+    index = V.tfidf(written(V.grams(_english(spark, sf_dir), ("the", "of")), "grams"))
     return index.groupBy("doc_id").agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
@@ -565,7 +566,8 @@ sc AS (SELECT qx.item_id, x.doc_id, sum(x.x / s.norm * qx.x / qn.norm) AS score
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id DESC) AS rank FROM sc WHERE score > 0) SELECT item_id AS query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def tfidf_search(spark, sf_dir):
     """The first twenty benchmark items as questions."""
-    index = V.tfidf(V.grams(_english(spark, sf_dir), ("the", "of")))
+    index = V.tfidf(written(V.grams(_english(spark, sf_dir), ("the", "of")), "grams"))
+    index = written(index, "tfidf")
     q = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
     return V.search(index, q, 5, ("the", "of")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
