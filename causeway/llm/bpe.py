@@ -135,7 +135,7 @@ class Codec:
         self.automaton.labels |= {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.chunks = BoundedCache(self._chunk, 200_000)
-        self.words = BoundedCache(self._word, 200_000)
+        self.words = BoundedCache(self._word, 300_000)
 
     def _words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
@@ -158,7 +158,8 @@ class Codec:
             found = list(map(self.chunks.__getitem__, regex.split(r"\s+", text)))
         else:
             found = list(map(self.chunks.__getitem__, text.split()))
-        return " ".join([a for a, _ in found if a]), " ".join([b for a, b in found if a])
+        ids, labels = zip(*found) if found else ((), ())
+        return " ".join(filter(None, ids)), " ".join(filter(None, labels))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.strings(text)[0].split()]
