@@ -13,8 +13,6 @@ from ..functions import text as T
 from ..functions.lexicons import DEFAULT, Lexicon
 
 EDGE = ["map_key", "source", "target", "weight", "polarity", "confidence", "evidence", "evidence_doc_id", "edge_type", "hops", "seen"]
-#: Evidence sentences that an edge carries; more of them still count for its confidence.
-EVIDENCE = 64
 
 
 def sentence_rows(chunks: DataFrame) -> DataFrame:
@@ -52,17 +50,29 @@ def boost(distinct):
     return F.least(F.lit(0.15), 0.03 * F.greatest(F.lit(0), distinct - 1))
 
 
-def merge_mentions(rows: DataFrame, evidence_limit: int = EVIDENCE) -> DataFrame:
+def _said(rows: DataFrame) -> DataFrame:
+    """map_key, source, target, evidence, at: every distinct sentence of every edge and its first place."""
+    return rows.groupBy("map_key", "source", "target", "evidence").agg(F.min("at").alias("at"))
+
+
+def evidence_rows(rows: DataFrame) -> DataFrame:
+    """map_key, source, target, nth, evidence: every distinct sentence of every edge, the earliest first (from 1), ties by text."""
+    return _said(rows).selectExpr("map_key", "source", "target", "row_number() over (partition by map_key, source, target order by at, evidence) as nth", "evidence")
+
+
+def merge_mentions(rows: DataFrame, evidence_limit: int | None = None) -> DataFrame:
     """One edge for each (source, target) of a map; weights by confidence, distinct sentences raise confidence.
 
-    Sentences are made distinct before they are gathered, and at most ``evidence_limit`` of the earliest are.
+    ``evidence`` joins all distinct sentences; for display, ``evidence_limit`` keeps the earliest. :func:`evidence_rows` has
+    them a row each.
     """
     keys = ["map_key", "source", "target"]
     numbers = rows.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("confidence")).alias("wc"), F.sum("confidence").alias("c"), F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("evidence_doc_id", "at").alias("evidence_doc_id"))
-    said = rows.groupBy(*keys, "evidence").agg(F.min("at").alias("at"))
-    window = "partition by map_key, source, target"
-    said = said.selectExpr("*", f"row_number() over ({window} order by at) as nth", f"count(*) over ({window}) as distinct_n").where(F.col("nth") <= evidence_limit)
-    said = said.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]), " | ").alias("evidence"), F.max("distinct_n").alias("distinct_n"))
+    said = _said(rows).withColumn("distinct_n", F.lit(1))
+    if evidence_limit is not None:
+        window = "partition by map_key, source, target"
+        said = said.selectExpr("* except (distinct_n)", f"row_number() over ({window} order by at, evidence) as nth", f"count(*) over ({window}) as every").where(F.col("nth") <= evidence_limit).withColumn("distinct_n", F.when(F.col("nth") == 1, F.col("every")).otherwise(0))
+    said = said.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]), " | ").alias("evidence"), F.sum("distinct_n").alias("distinct_n"))
     mean = F.col("wc") / F.col("c")
     return numbers.join(said, keys).select(
         *keys, F.round(mean, 3).alias("weight"), F.when(mean >= 0, "positive").otherwise("negative").alias("polarity"),

@@ -141,3 +141,14 @@ def test_whole_map(spark):
     e = M.build_maps(spark.createDataFrame([("v", "d", 0, V6, 1.0)], CHUNK), limit=4)
     rows = e.orderBy("rank").collect()
     assert len(rows) == 4 and all(r.edge_type == "pattern" for r in rows) and e.where(F.col("rank") > 4).count() == 0
+
+
+def test_all_evidence_is_kept(spark):
+    """An edge of 90 distinct sentences, each said twice, carries all of them; a limit is for display and changes no number."""
+    said = [f"In year {i} climate change increases ocean temperature." for i in range(1000, 1090)]
+    rows = R.mentions(spark.createDataFrame([("m", str(n), n, t, 0.1) for n, t in enumerate(said + said)], CHUNK)).where("target = 'Ocean Temperature'").cache()
+    assert rows.select("source").distinct().count() == 1
+    whole, short = R.merge_mentions(rows).collect(), R.merge_mentions(rows, 64).collect()
+    assert [r.evidence.split(" | ") for r in whole] == [said] and [r.evidence.split(" | ") for r in short] == [said[:64]]
+    assert [r.confidence for r in whole] == [r.confidence for r in short] == [0.8]
+    assert [(r.nth, r.evidence) for r in R.evidence_rows(rows).orderBy("nth").collect()] == [*enumerate(said, 1)]
