@@ -5,6 +5,8 @@ Texts and graphs come from the star-schema tables, where the truth is known, and
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from ..operators import simulate as Z
 from ..shared import written
 from ..streaming import ingest
 from . import maps as M
-from .registry import query
+from .registry import ORACLES, query
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,22 @@ def sentences(spark, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_brand").alias("map_key"), F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("chunk_no"), F.concat("p_name", verb, "b", F.lit(".")).alias("text"), F.lit(1.0).alias("score"))
 
 
+WHOLE_SENTENCES_SQL = """
+s AS (SELECT p.p_brand AS map_key, l.l_orderkey AS doc_id, concat(p.p_name, CASE l.l_returnflag WHEN 'A' THEN ' increases ' WHEN 'N' THEN ' affects ' ELSE ' reduces ' END, q.p_name, '.') AS text, p.p_name AS a, q.p_name AS b, l.l_returnflag AS flag
+  FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN part q ON q.p_partkey = (l.l_partkey * 7 + l.l_suppkey) % (SELECT max(p_partkey) + 1 FROM part))"""
+
+
+def whole_sentences(spark, sf_dir: str) -> DataFrame:
+    """The sentences of every line, whose second part may be any part."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    other = part.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("b"))
+    parts = part.agg((F.max("p_partkey") + 1).alias("parts"))
+    line = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(parts)).select("l_orderkey", "l_partkey", "l_returnflag", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("parts")).alias("k2"))
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(other, "k2")
+    verb = F.when(F.col("l_returnflag") == "A", " increases ").when(F.col("l_returnflag") == "N", " affects ").otherwise(" reduces ")
+    return rows.select(F.col("p_brand").alias("map_key"), F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("chunk_no"), F.concat("p_name", verb, "b", F.lit(".")).alias("text"), F.lit(1.0).alias("score"))
+
+
 # a part name as a concept: small, large, new and old are stripped; a bare 'ring' and names without a word of four letters are no concepts
 CONCEPT = "CASE WHEN split_part({0}, ' ', 1) IN ('small', 'large', 'new', 'old') THEN CASE WHEN length(split_part({0}, ' ', 2)) < 4 THEN '' ELSE concat(upper(substr(split_part({0}, ' ', 2), 1, 1)), substr(split_part({0}, ' ', 2), 2)) END ELSE concat(upper(substr({0}, 1, 1)), substr(split_part({0}, ' ', 1), 2), ' ', upper(substr(split_part({0}, ' ', 2), 1, 1)), substr(split_part({0}, ' ', 2), 2)) END"
 MENTIONS_SQL = f"""{SENTENCES_SQL},
@@ -58,27 +76,27 @@ e AS (SELECT map_key, source, target, round(sum(weight) / count(*), 3) AS weight
 
 
 @query("sentence_split", f"WITH {SENTENCES_SQL} SELECT map_key, count(*) AS sentences, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY ALL")
-def sentence_split(spark, sf_dir):
+def sentence_split(spark, sf_dir, texts=sentences):
     """I1."""
-    return R.sentence_rows(sentences(spark, sf_dir)).groupBy("map_key").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
+    return R.sentence_rows(texts(spark, sf_dir)).groupBy("map_key").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
 
 
 @query("causal_mentions", f"WITH {MENTIONS_SQL} SELECT map_key, source, target, weight, count(*) AS n FROM m GROUP BY ALL")
-def causal_mentions(spark, sf_dir):
+def causal_mentions(spark, sf_dir, texts=sentences):
     """I2, I3, I5 to I8, B12 to B14."""
-    return R.mentions(sentences(spark, sf_dir)).groupBy("map_key", "source", "target", "weight").agg(F.count("*").alias("n"))
+    return R.mentions(texts(spark, sf_dir)).groupBy("map_key", "source", "target", "weight").agg(F.count("*").alias("n"))
 
 
 @query("merged_edges", f"WITH {EDGES_SQL} SELECT map_key, source, target, weight, confidence FROM e")
-def merged_edges(spark, sf_dir):
+def merged_edges(spark, sf_dir, texts=sentences):
     """E1, E3."""
-    return R.merge_mentions(R.mentions(sentences(spark, sf_dir))).select("map_key", "source", "target", "weight", "confidence")
+    return R.merge_mentions(R.mentions(texts(spark, sf_dir))).select("map_key", "source", "target", "weight", "confidence")
 
 
 @query("strongest_edges", f"WITH {EDGES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY confidence * abs(weight) DESC, source, target) AS rank FROM e) SELECT map_key, CAST(rank AS INTEGER) AS rank, source, target, weight, confidence FROM r WHERE rank <= 6")
-def strongest_edges(spark, sf_dir):
+def strongest_edges(spark, sf_dir, texts=sentences):
     """The flagship: the six strongest causal edges of every map (J6's pattern part, G1, F1)."""
-    edges = R.ranked(R.merge_mentions(R.mentions(sentences(spark, sf_dir))))
+    edges = R.ranked(R.merge_mentions(R.mentions(texts(spark, sf_dir))))
     return edges.where("rank <= 6").select("map_key", "rank", "source", "target", "weight", "confidence")
 
 
@@ -251,9 +269,9 @@ def centrality(spark, sf_dir):
 
 
 @query("canonical_names")
-def canonical_names(spark, sf_dir):
+def canonical_names(spark, sf_dir, texts=sentences):
     """J9, I6, I12, D10 to D12."""
-    return E.canonical_names(R.merge_mentions(R.mentions(sentences(spark, sf_dir))))
+    return E.canonical_names(R.merge_mentions(R.mentions(texts(spark, sf_dir))))
 
 
 # ---- simulation on a matrix of regions and segments ------------------------------------------------------------
@@ -491,9 +509,10 @@ def page_addresses(spark, sf_dir):
 
 
 @query("reachable_pages", """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey % 500 AS s, l_partkey % 500 AS t FROM lineitem WHERE l_quantity >= 49), r AS (SELECT 1::BIGINT AS page, 0 AS depth UNION SELECT l.t, r.depth + 1 FROM r JOIN l ON l.s = r.page WHERE r.depth < 3) SELECT page, min(depth) AS depth FROM r GROUP BY page""")
-def reachable_pages(spark, sf_dir):
+def reachable_pages(spark, sf_dir, which="l_quantity >= 49", ids=500):
     """Breadth-first traversal of a landed link table."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select((F.col("l_orderkey") % 500).alias("source"), (F.col("l_partkey") % 500).alias("target")).distinct()  # noqa: E741
+    source, target = (F.col(c) % ids if ids else F.col(c) for c in ("l_orderkey", "l_partkey"))
+    l = table(spark, sf_dir, "lineitem").where(which).select(source.alias("source"), target.alias("target")).distinct()  # noqa: E741
     return C.reachable(l, spark.range(1, 2).select(F.col("id").alias("page")), 3)
 
 
@@ -564,21 +583,21 @@ qg AS (SELECT item_id, unnest(list_concat(w, [concat(w[i], ' ', w[i + 1]) FOR i
 qx AS (SELECT item_id, qt.gram, tf * idf AS x FROM qt JOIN (SELECT DISTINCT gram, idf FROM x) USING (gram)), qn AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM qx GROUP BY 1),
 sc AS (SELECT qx.item_id, x.doc_id, sum(x.x / s.norm * qx.x / qn.norm) AS score FROM qx JOIN qn USING (item_id) JOIN x ON x.gram = qx.gram JOIN s ON s.doc_id = x.doc_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id DESC) AS rank FROM sc WHERE score > 0) SELECT item_id AS query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def tfidf_search(spark, sf_dir):
+def tfidf_search(spark, sf_dir, which="item_id < 20"):
     """The first twenty benchmark items as questions."""
     index = V.tfidf(written(V.grams(_english(spark, sf_dir), ("the", "of")), "grams"))
     index = written(index, "tfidf")
-    q = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
+    q = table(spark, sf_dir, "benchmark").where(which).select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
     return V.search(index, q, 5, ("the", "of")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("cluster_relationship", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 3), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label AS cluster, list(x ORDER BY i) AS centre FROM v GROUP BY 1),
 d AS (SELECT vec_id, cluster, list_distance(embedding::DOUBLE[], centre) AS d FROM embeddings, c), m AS (SELECT max(d) + 1e-6 AS top FROM d), n AS (SELECT vec_id, min(d) AS d, arg_min(cluster, d) AS cluster FROM d GROUP BY 1)
 SELECT vec_id, cluster, round(1 - d / top, 6) AS relationship FROM n, m""")
-def cluster_relationship(spark, sf_dir):
+def cluster_relationship(spark, sf_dir, which="label < 3"):
     """J2's assignment and relationship with given centres (the means of three labels)."""
     v = table(spark, sf_dir, "embeddings")
-    means = v.where("label < 3").groupBy("label").agg(*(F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"e{i}") for i in range(64))).select(F.col("label").alias("cluster"), F.array(*(f"e{i}" for i in range(64))).alias("centre"))
+    means = v.where(which).groupBy("label").agg(*(F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"e{i}") for i in range(64))).select(F.col("label").alias("cluster"), F.array(*(f"e{i}" for i in range(64))).alias("centre"))
     return K.relationship(v, means).select("vec_id", "cluster", F.round("relationship", 6).alias("relationship"))
 
 
@@ -605,9 +624,9 @@ def kmeans_clusters(spark, sf_dir):
 # ---- whole plans, streams ------------------------------------------------------------------------------------------
 
 @query("causal_maps")
-def causal_maps(spark, sf_dir):
+def causal_maps(spark, sf_dir, texts=sentences):
     """J6, J7, J9, J12 together on the synthetic sentences; goldens hold it."""
-    return M.build_maps(sentences(spark, sf_dir)).select("map_key", "rank", "source", "target", "weight", "confidence", "edge_type")
+    return M.build_maps(texts(spark, sf_dir)).select("map_key", "rank", "source", "target", "weight", "confidence", "edge_type")
 
 
 @query("cooccurrence_hits", """WITH p AS (SELECT conv_id AS map_key, turn AS pos, list_distinct(regexp_extract_all(lower(text), '\\b(that|with|from|this)\\b', 1)) AS k, CASE WHEN regexp_matches(text, '(?i)\\bwas\\b') THEN -1 ELSE 1 END AS pol FROM conversations),
@@ -664,10 +683,10 @@ def lemma_heads(spark, sf_dir):
 
 @query("absorbed_subsets", """WITH a AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT concat(p_name, ' ', lower(p_type)) FROM part WHERE p_partkey % 23 = 0), t AS (SELECT name, list_distinct(string_split(lower(name), ' ')) AS w FROM a),
 p AS (SELECT x.name AS short, y.name AS long FROM t x JOIN t y ON x.name <> y.name AND len(x.w) < len(y.w) AND list_has_all(y.w, x.w)) SELECT short, min(long) AS long FROM p GROUP BY short HAVING count(*) = 1""")
-def absorbed_subsets(spark, sf_dir):
+def absorbed_subsets(spark, sf_dir, which="p_partkey % 23 = 0"):
     """Names whose words are a strict subset of exactly one other's."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_name").alias("head")).union(part.where("p_partkey % 23 = 0").select(F.concat("p_name", F.lit(" "), F.lower("p_type")))).distinct()
+    names = part.select(F.col("p_name").alias("head")).union(part.where(which).select(F.concat("p_name", F.lit(" "), F.lower("p_type")))).distinct()
     return E.absorb_subsets(names.withColumn("map_key", F.lit("m"))).select("short", "long")
 
 
@@ -682,10 +701,10 @@ def sentence_polarity(spark, sf_dir):
 
 @query("modulated_weights", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 10 AS w, CASE l_returnflag WHEN 'A' THEN 'may rise' WHEN 'N' THEN 'strongly rises' ELSE 'might sharply rise' END AS span FROM lineitem WHERE l_quantity >= 48),
 f AS (SELECT *, CASE WHEN regexp_matches(span, 'strongly|sharply') THEN 1.18 ELSE 1.0 END::DOUBLE * CASE WHEN regexp_matches(span, 'may|might') THEN 0.62 ELSE 1.0 END::DOUBLE AS k FROM s) SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(-0.98, least(0.98, w * k)), 3) AS weight FROM f""")
-def modulated_weights(spark, sf_dir):
+def modulated_weights(spark, sf_dir, which="l_quantity >= 48"):
     """I7."""
     span = F.when(F.col("l_returnflag") == "A", "may rise").when(F.col("l_returnflag") == "N", "strongly rises").otherwise("might sharply rise")
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_linenumber", "l_partkey", T.modulated(F.col("l_discount") * 10, span).alias("weight"))
+    return table(spark, sf_dir, "lineitem").where(which).select("l_orderkey", "l_linenumber", "l_partkey", T.modulated(F.col("l_discount") * 10, span).alias("weight"))
 
 
 @query("edges_meta", f"WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY confidence * abs(weight) DESC, source, target) AS rank FROM b) SELECT map_key, CAST(rank AS INTEGER) AS rank, source, target, round(weight, 3) AS weight, round(confidence, 3) AS confidence FROM r")
@@ -703,9 +722,9 @@ def degree_centrality(spark, sf_dir):
 
 @query("centroid_proximity", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 4), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM v GROUP BY 1)
 SELECT a.label AS i, b.label AS j, round(1 - list_distance(a.c, b.c) / (2 * sqrt(list_inner_product(a.c, a.c)) + 1e-6), 6) AS proximity FROM c a JOIN c b ON a.label <> b.label""")
-def centroid_proximity(spark, sf_dir):
+def centroid_proximity(spark, sf_dir, which="label < 4"):
     """J4."""
-    v = table(spark, sf_dir, "embeddings").where("label < 4")
+    v = table(spark, sf_dir, "embeddings").where(which)
     means = v.groupBy("label").agg(*(F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"e{i}") for i in range(64))).select(F.col("label").alias("cluster"), F.array(*(f"e{i}" for i in range(64))).alias("centre"))
     return K.proximity(means).withColumn("proximity", F.round("proximity", 6))
 
@@ -794,3 +813,27 @@ def question_bundles(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("text", F.concat(F.lit("passage "), F.col("vec_id").cast("string")))
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("question"))
     return M.question_chunks(q, v, 6).select("map_key", "text")
+
+
+# ---- the same operators over every row of their tables ---------------------------------------------------------------
+
+def _whole(f, *cuts: tuple[str, str], **given) -> None:
+    """Register ``f`` as *_whole, without its filter, and its SQL, if it has any, without those parts that state the filter."""
+    sql = ORACLES.get(f.__name__)
+    for cut, instead in cuts if sql else ():
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+    query(f"{f.__name__}_whole", sql)(partial(f, **given))
+
+
+for _f in (sentence_split, causal_mentions, canonical_names, causal_maps):
+    _whole(_f, (SENTENCES_SQL, WHOLE_SENTENCES_SQL), texts=whole_sentences)
+# weights halfway between two thousandths go either way with the order of a sum: brute force with a tolerance holds these
+query("merged_edges_whole")(partial(merged_edges, texts=whole_sentences))
+query("strongest_edges_whole")(partial(strongest_edges, texts=whole_sentences))
+_whole(tfidf_search, (" WHERE item_id < 20", ""), which="true")
+_whole(modulated_weights, (" WHERE l_quantity >= 48", ""), which="true")
+_whole(centroid_proximity, (" WHERE label < 4", ""), which="true")
+_whole(cluster_relationship, (" WHERE label < 3", ""), which="true")
+_whole(absorbed_subsets, (" WHERE p_partkey % 23 = 0", ""), which="true")
+_whole(reachable_pages, (" WHERE l_quantity >= 49", ""), (" % 500", ""), which="true", ids=None)
