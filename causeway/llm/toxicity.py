@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from .common import BoundedCache, materialize, sliced, whole_text
+from .grams import Grams, hashes, points, rolled
 
 #: The classes' counts come from at most so many labelled documents of each class, those with the least hash of their id.
 MAX_DOCS = 3000
@@ -29,53 +30,107 @@ MAX_DOCS = 3000
 MAX_GRAMS = 250_000
 LOW, HIGH = 4, 6
 CACHE = 100_000
+#: Longer chunks are not kept in a cache; characters that are scored at a time; texts that are.
+LONG, PIECE, TEXTS = 256, 1 << 16, 200
 DISCOUNT, CLEAR, FEATURES = 0.75, (1.5, 2.5), 6
 START, END = "\x02", "\x03"
 EDGES = string.punctuation + "«»„“”‚‘’…–—¡¿·"
 
 
 def word_of(chunk: str) -> str:
-    return chunk.lower().strip(EDGES)
+    """A chunk without edges; the marks of start and end, which a text may hold, are blanks within a word."""
+    return chunk.lower().strip(EDGES).replace(START, " ").replace(END, " ")
+
+
+class Lookup(dict):
+    """Ratios by chunk: twice CACHE entries at most beside the chunks that are asked for; unknown ones are scored together."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.long = model, []
+
+    def fill(self, chunks: set[str]) -> None:
+        for c in self.long:
+            self.pop(c, None)
+        new = [c for c in chunks if c not in self]
+        if len(self) + len(new) > 2 * CACHE:
+            kept = {c: self[c] for c in chunks if c in self}
+            self.clear()
+            self.update(kept)
+        words = {c: word_of(c) for c in new}
+        once = list(set(words.values()))
+        ratio = dict(zip(once, self.model.words(once).tolist()))
+        self.update((c, ratio[w]) for c, w in words.items())
+        self.long = [c for c in new if len(c) > LONG]
 
 
 @dataclass
 class Model:
     """Log-likelihood ratios (toxic to ordinary) of n-grams and of the step below a context, and the calibration."""
 
-    ratio: dict[str, float]
-    backoff: dict[str, float]
+    ratio: Grams
+    backoff: Grams
     weights: np.ndarray
     prior: float = 0.01
 
     def word(self, word: str) -> float:
         """The log-likelihood ratio of one word."""
-        if not word:
-            return 0.0
-        s, total, ratio, backoff = START + word[:64] + END, 0.0, self.ratio, self.backoff
-        for end in range(2, len(s) + 1):
-            for at in range(max(0, end - HIGH), max(1, end - LOW + 1)):
-                below = backoff.get(s[at : end - 1])
-                if below is None:  # no n-gram of an unknown context is held
-                    continue
-                found = ratio.get(s[at:end])
-                if found is not None:
-                    total += found
-                    break
-                total += below
-        return total
-
-    def lookup(self):
-        words = BoundedCache(self.word, CACHE)
-        return BoundedCache(lambda chunk: words[word_of(chunk)], CACHE)
-
-    def features(self, text: str, lookup) -> np.ndarray:
-        """Ratios by length: of the document, and of what is clearly toxic in it at two levels, by length and in all."""
-        chunks = text.split()
-        if not chunks:
-            return np.zeros(FEATURES)
-        ratio = np.fromiter(map(lookup.__getitem__, chunks), np.float64, len(chunks))
-        clear = [np.maximum(ratio - level, 0) for level in CLEAR]
-        return np.array([ratio.mean(), *(math.sqrt(c.mean()) for c in clear), *(math.log1p(c.sum()) for c in clear), math.log1p(len(ratio))])
+        return float(self.words([word])[0])
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log-likelihood ratio of each word, whatever its length; 0 for an empty one."""
+        out, pieces, room = np.zeros(len(words)), [], PIECE
+        for i, word in enumerate(words):
+            if not word:
+                continue
+            s = START + word[:64] + END
+            for at in range(0, len(s), PIECE):  # a piece also has what the n-grams at its start begin with
+                first = max(0, at - HIGH + 1)
+                pieces.append((i, first, at - first, s[first : at + PIECE]))
+                room -= len(pieces[-1][3])
+                if room <= 0:
+                    self._add(out, pieces)
+                    pieces, room = [], PIECE
+        self._add(out, pieces)
+        return out
+
+    def _add(self, out: np.ndarray, pieces: list[tuple[int, int, int, str]]) -> None:
+        """Add to ``out`` the ratios of pieces (word, place in the word, characters scored before, text)."""
+        if not pieces:
+            return
+        word, first, before, texts = zip(*pieces)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        hashed = rolled(points("".join(texts)))
+        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        place = inner + np.repeat(first, length)
+        total = np.zeros(len(place))
+        open_ = np.flatnonzero((place > 0) & (inner >= np.repeat(before, length)))
+        for n in range(HIGH, 1, -1):
+            at_n = open_[place[open_] >= n - 1] if n >= LOW else open_[place[open_] == n - 1]
+            below, known = self.backoff.find(hashed[n - 1][at_n - n + 1])
+            at_n, below = at_n[known], below[known]  # no n-gram of an unknown context is held
+            found, held = self.ratio.find(hashed[n][at_n - n + 1])
+            total[at_n] += np.where(held, found, below)
+            done = np.zeros(len(place), bool)
+            done[at_n[held]] = True
+            open_ = open_[~done[open_]]
+        np.add.at(out, np.array(word), np.add.reduceat(total, np.cumsum(length) - length))
+
+    def lookup(self) -> Lookup:
+        return Lookup(self)
+
+    def features(self, texts: list[str], lookup: Lookup) -> np.ndarray:
+        """A row a text. Ratios by length: of the document, and of what is clearly toxic in it at two levels, by length and in all."""
+        rows = np.zeros((len(texts), FEATURES))
+        for first in range(0, len(texts), TEXTS):
+            split = [text.split() for text in texts[first : first + TEXTS]]
+            lookup.fill(set().union(*split))
+            for i, chunks in enumerate(split, first):
+                if chunks:
+                    ratio = np.fromiter(map(lookup.__getitem__, chunks), np.float64, len(chunks))
+                    clear = [np.maximum(ratio - level, 0) for level in CLEAR]
+                    rows[i] = [ratio.mean(), *(math.sqrt(c.mean()) for c in clear), *(math.log1p(c.sum()) for c in clear), math.log1p(len(ratio))]
+        return rows
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         """Calibrated scores; a text without words has the share of toxic documents among those of the calibration."""
@@ -108,33 +163,96 @@ def _grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[c].get(k, 0) for k in keys], pa.int64()) for c in (0, 1))], names=["g", "n0", "n1"])
 
 
-def _shared(docs: DataFrame, text: str) -> dict[str, int]:
-    """Trigrams of the whole corpus with the number of distinct words (of each task) that hold them."""
-
-    def tally(chunks: set[str]):
-        words = set(map(word_of, chunks))
-        joined = np.frombuffer((START + (END + START).join(words) + END).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        code = joined[:-2] << 42 | joined[1:-1] << 21 | joined[2:]
-        code = code[(joined[:-2] != ord(END)) & (joined[1:-1] != ord(END))]
-        return np.unique(code, return_counts=True)
-
-    def run(batches):
+@dataclass
+class Shared:
+    """What the shared backoff asks for: counts (n) and kinds of continuation (k) of one to three characters, by code."""
+
+    n3: Grams
+    n2: Grams
+    k2: Grams
+    n1: Grams
+    k1: Grams
+    last: Grams
+
+    @staticmethod
+    def of(trigrams: dict[str, int]) -> Shared:
+        """From trigrams with the number of words that hold them."""
+        code = np.array([_code(*map(ord, g)) for g in trigrams], np.int64)
+        n = np.array(list(trigrams.values()), np.int64)
+
+        def grouped(keys, n):
+            once, at, kinds = np.unique(keys, return_inverse=True, return_counts=True)
+            return once, np.bincount(at, n, len(once)), kinds
+
+        two, last = grouped(code >> 21, n), grouped(code & (1 << 21) - 1, n)
+        return Shared.packed((code, n), two, grouped(two[0] >> 21, two[1]), last[:2])
+
+    @staticmethod
+    def packed(three, two, one, last) -> Shared:
+        table = lambda t, i: Grams(t[0].astype(np.uint64), t[i])
+        return Shared(table(three, 1), table(two, 1), table(two, 2), table(one, 1), table(one, 2), table(last, 1))
+
+    def probability(self, texts: list[str]) -> np.ndarray:
+        """Of the last of one to three characters after the others."""
+        c = points("".join(x.rjust(3, END) for x in texts)).astype(np.uint64).reshape(-1, 3)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        p = (self.last.find(c[:, 2])[0] + 1) / (self.last.values.sum() + len(self.last) + 256)
+        one, two, bits = c[:, 1], c[:, 1] << np.uint64(21) | c[:, 2], np.uint64(21)
+        before = c[:, 0] << bits | c[:, 1]
+        for least, n, context, kinds in (
+            (2, self.n2.find(two)[0], self.n1.find(one)[0], self.k1.find(one)[0]),
+            (3, self.n3.find(before << bits | c[:, 2])[0], self.n2.find(before)[0], self.k2.find(before)[0]),
+        ):
+            seen = np.maximum(context, 1)
+            p = np.where((length >= least) & (context > 0), np.maximum(n - DISCOUNT, 0) / seen + DISCOUNT * kinds / seen * p, p)
+        return p
+
+
+def _code(one, two, three):
+    return one << 42 | two << 21 | three
+
+
+def _trigrams(docs: DataFrame, text: str) -> DataFrame:
+    """code, n: trigrams of the whole corpus with the number of its distinct words that hold them, by their places."""
+
+    def spelled(batches):
         chunks: set[str] = set()
         for batch in sliced(batches):
             for body in batch.column(0).to_pylist():
                 chunks.update(body.split())
             if len(chunks) > 200_000:
-                code, n = tally(chunks)
+                yield pa.RecordBatch.from_arrays([pa.array({*map(word_of, chunks)}, pa.string())], names=["w"])
                 chunks = set()
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
         if chunks:
-            code, n = tally(chunks)
+            yield pa.RecordBatch.from_arrays([pa.array({*map(word_of, chunks)}, pa.string())], names=["w"])
+
+    def tally(batches):
+        for batch in sliced(batches, 20_000):
+            joined = points(START + (END + START).join(batch.column(0).to_pylist()) + END).astype(np.int64)
+            code = _code(joined[:-2], joined[1:-1], joined[2:])
+            code, n = np.unique(code[(joined[:-2] != ord(END)) & (joined[1:-1] != ord(END))], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    summed = docs.select(whole_text(text).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    top = summed.orderBy(F.desc("n"), "code").limit(MAX_GRAMS).collect()  # trigrams of letters in use; bounded
-    mask = (1 << 21) - 1
-    return {chr(c >> 42) + chr(c >> 21 & mask) + chr(c & mask): n for c, n in top}
+    words = docs.select(whole_text(text).alias("text")).mapInArrow(spelled, "w string").distinct()
+    return words.mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _shared(docs: DataFrame, text: str, grams: list[str]) -> Shared:
+    """The shared counts of the whole corpus that the n-grams of the labelled sample ask for; the others stay in their table."""
+    spark, mask = docs.sparkSession, (1 << 21) - 1
+    c = points("".join(g[-3:] for g in grams if len(g) > 2)).astype(np.int64).reshape(-1, 3)
+    three = np.unique(_code(c[:, 0], c[:, 1], c[:, 2]))
+    two = np.unique(np.concatenate([three >> 21, three & (1 << 42) - 1]))
+    table = materialize(_trigrams(docs, text), "toxicity-shared")
+    pairs = table.groupBy(F.shiftright("code", 21).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+
+    def taken(df, codes=None):
+        if codes is not None:
+            df = df.join(F.broadcast(spark.createDataFrame(pa.table({"code": codes}))), "code", "left_semi")
+        return [column.to_numpy() for column in df.toArrow().columns]
+
+    ones = pairs.groupBy(F.shiftright("code", 21).alias("code")).agg(F.sum("n"), F.count("*"))
+    return Shared.packed(taken(table, three), taken(pairs, two), taken(ones), taken(table.groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n"))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 60) -> np.ndarray:
@@ -152,43 +270,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 60) ->
     return np.concatenate([[w[0] - (w[1:] * mean / dev).sum()], w[1:] / dev])
 
 
-def _ratios(grams: list, contexts: dict[str, tuple], shared: dict[str, int]) -> tuple[dict[str, float], dict[str, float]]:
-    """Interpolated Kneser-Ney probabilities of both classes as ratios: of n-grams, and of the weight below each context."""
-    counts, last = Counter(shared), Counter()
-    for g, n in shared.items():
-        counts[g[:2]] += n
-        counts[g[0]] += n
-        last[g[2]] += n
-    kinds, total = Counter(g[:-1] for g in counts), sum(last.values())
-
-    def base(g: str) -> float:
-        """The shared probability of the last of one to three characters after the others."""
-        if len(g) == 1:
-            return (last[g] + 1) / (total + len(last) + 256)
-        n, context = counts.get(g, 0), counts.get(g[:-1], 0)
-        return base(g[1:]) if not context else max(n - DISCOUNT, 0) / context + DISCOUNT * kinds[g[:-1]] / context * base(g[1:])
-
-    by_gram = {g: (n0, n1) for g, n0, n1 in grams}
-    memo: dict[tuple[int, str], float] = {}
-
-    def weight(c: int, context: str) -> float:
-        t = contexts.get(context)
-        return 1.0 if t is None or not t[c] else DISCOUNT * t[2 + c] / t[c]
-
-    def probability(c: int, g: str) -> float:
-        if len(g) < LOW and not (len(g) > 1 and g[0] == START):
-            return base(g)
-        found = memo.get((c, g))
-        if found is None:
-            t, n = contexts.get(g[:-1]), by_gram.get(g)
-            found = weight(c, g[:-1]) * probability(c, g[1:])
-            if n is not None and t is not None and t[c]:
-                found += max(n[c] - DISCOUNT, 0) / t[c]
-            memo[c, g] = found
-        return found
-
-    ratio = {g: math.log(probability(1, g) / probability(0, g)) for g in by_gram}
-    return ratio, {context: math.log(weight(1, context) / weight(0, context)) for context in contexts}
+def _ratios(grams, contexts, shared: Shared | dict[str, int]) -> tuple[Grams, Grams]:
+    """Interpolated Kneser-Ney probabilities of both classes as ratios: of n-grams, and of the weight below each context.
+
+    ``grams`` has an n-gram and both counts, ``contexts`` a context, its counts and its kinds, as rows or Arrow tables.
+    """
+    if isinstance(shared, dict):
+        shared = Shared.of(shared)
+    texts, n = _columns(grams, 2)
+    names, t = _columns([(c, *x) for c, x in contexts.items()] if isinstance(contexts, dict) else contexts, 4)
+    weight = np.where(t[:2] > 0, DISCOUNT * t[2:] / np.maximum(t[:2], 1), 1.0)
+    row, context = Grams(hashes(texts), np.arange(len(texts))), Grams(hashes(names), np.arange(len(names)))
+
+    def at(table: Grams, columns: np.ndarray, keys: list[str], missing: float) -> np.ndarray:
+        i, held = table.find(hashes(keys))
+        return np.where(held, columns[:, i.astype(np.int64)], missing) if len(table) else np.full((2, len(keys)), missing)
+
+    def probability(some: list[str]) -> np.ndarray:
+        """By class, of the last character of each n-gram after the others."""
+        plain = np.array([len(g) < LOW and not (len(g) > 1 and g[0] == START) for g in some], bool)
+        out = np.zeros((2, len(some)))
+        if plain.any():
+            out[:, plain] = shared.probability([g for g, p in zip(some, plain) if p])
+        if not plain.all():
+            rest = [g for g, p in zip(some, plain) if not p]
+            before = [g[:-1] for g in rest]
+            seen = at(context, t[:2], before, 0.0)
+            out[:, ~plain] = at(context, weight, before, 1.0) * probability([g[1:] for g in rest]) + np.where(seen > 0, np.maximum(at(row, n, rest, 0.0) - DISCOUNT, 0) / np.maximum(seen, 1), 0)
+        return out
+
+    p = probability(texts)
+    return Grams(hashes(texts), np.log(p[1] / p[0])), Grams(hashes(names), np.log(weight[1] / weight[0]))
+
+
+def _columns(rows, width: int) -> tuple[list[str], np.ndarray]:
+    """The strings and the numbers (a row a column) of rows or of an Arrow table."""
+    if isinstance(rows, pa.Table):
+        return rows.column(0).to_pylist(), np.array([c.to_numpy() for c in rows.columns[1:]], float).reshape(width, -1)
+    return [r[0] for r in rows], np.array([r[1:] for r in rows], float).reshape(-1, width).T
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS) -> Model:
@@ -215,15 +334,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     grams = materialize(grams, "toxicity-levels").withColumn("context", F.expr("substring(g, 1, length(g) - 1)"))
     held = materialize(grams.where("n0 + n1 >= 2").orderBy(F.desc(F.col("n0") + F.col("n1")), "g").limit(MAX_GRAMS), "toxicity-held")
     totals = grams.join(held.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.sum("n0"), F.sum("n1"), F.count(F.when(F.col("n0") > 0, 1)), F.count(F.when(F.col("n1") > 0, 1)))
-    contexts = {r[0]: tuple(r)[1:] for r in totals.collect()}  # at most MAX_GRAMS
-    ratio, backoff = _ratios([tuple(r) for r in held.select("g", "n0", "n1").collect()], contexts, _shared(docs, text))
+    held = held.select("g", "n0", "n1").toArrow()  # grows with the sample, of at most MAX_DOCS documents a class, alone
+    ratio, backoff = _ratios(held, totals.toArrow(), _shared(docs, text, held.column(0).to_pylist()))
     model = Model(ratio, backoff, np.zeros(FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches):
         lookup = shared.value.lookup()
         for batch in sliced(batches, 500):
-            found = np.array([shared.value.features(b, lookup) for b in batch.column(0).to_pylist()]).reshape(-1, FEATURES)
+            found = shared.value.features(batch.column(0).to_pylist(), lookup)
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(FEATURES)), batch.column(1)], names=[*map("f{}".format, range(FEATURES)), "toxic"])
 
     seen = np.array(sorted(tuple(r) for r in bodies.where("fold = 0").select("text", "toxic").mapInArrow(measured, ", ".join(f"f{i} double" for i in range(FEATURES)) + ", toxic int").collect()), float).reshape(-1, FEATURES + 1)
@@ -249,7 +368,7 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
         m = shared.value
         lookup = m.lookup()
         for batch in sliced(batches):
-            p = m.probability(np.array([m.features(b or "", lookup) for b in batch.column(at).to_pylist()]).reshape(-1, FEATURES))
+            p = m.probability(m.features([b or "" for b in batch.column(at).to_pylist()], lookup))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, *NEW])
 
     return df.select(*names).mapInArrow(run, schema)
@@ -269,7 +388,7 @@ def select(df: DataFrame, model: Model, text: str = "text", threshold: float = 0
         m = shared.value
         lookup = m.lookup()
         for batch in sliced(batches):
-            p = m.probability(np.array([m.features(b or "", lookup) for b in batch.column(at).to_pylist()]).reshape(-1, FEATURES))
+            p = m.probability(m.features([b or "" for b in batch.column(at).to_pylist()], lookup))
             yield batch.filter(pa.array(p < threshold))
 
     return df.mapInArrow(run, df.schema)

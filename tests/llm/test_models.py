@@ -140,3 +140,18 @@ def test_chat_query(spark):
     assert len(n) == true.select("conv_id").distinct().count() and np.mean([r["count"] == r["m"] for r in n]) > 0.7
     pairs = true.join(got.selectExpr("conv_id", "turn_no as turn", "role as found"), ["conv_id", "turn"]).collect()
     assert np.mean([r.role == r.found for r in pairs]) > 0.95
+
+
+def test_shared_counts_are_of_distinct_words(spark):
+    """However the rows lie in tasks, a trigram counts each word of the corpus once, and no row is cut."""
+    rows = [(i, "the lathe bathe, The (lathe) " + "x" * 80 + "qjv") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (1, 8):
+        got = {r.code: r.n for r in toxicity._trigrams(docs.repartition(parts), "text").collect()}
+        assert got[toxicity._code(*map(ord, "the"))] == 3 and got[toxicity._code(*map(ord, "qjv"))] == 1
+        found.append(got)
+    assert found[0] == found[1]
+    some = toxicity._shared(docs, "text", ["\x02the", "lathe", "\x02l"])
+    whole = toxicity.Shared.of({chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF): n for c, n in found[0].items()})
+    assert np.allclose(some.probability(["the", "the"[1:], "l"]), whole.probability(["the", "he", "l"]))
