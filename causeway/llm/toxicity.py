@@ -26,8 +26,6 @@ from .grams import Grams, hashes, points, rolled
 
 #: The classes' counts come from at most so many labelled documents of each class, those with the least hash of their id.
 MAX_DOCS = 3000
-#: N-grams that the models hold above the shared backoff, those with the highest counts.
-MAX_GRAMS = 250_000
 LOW, HIGH = 4, 6
 CACHE = 100_000
 #: Longer chunks are not kept in a cache; characters that are scored at a time; texts that are.
@@ -332,9 +330,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     for level in levels[1:]:
         grams = grams.unionByName(level)
     grams = materialize(grams, "toxicity-levels").withColumn("context", F.expr("substring(g, 1, length(g) - 1)"))
-    held = materialize(grams.where("n0 + n1 >= 2").orderBy(F.desc(F.col("n0") + F.col("n1")), "g").limit(MAX_GRAMS), "toxicity-held")
-    totals = grams.join(held.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.sum("n0"), F.sum("n1"), F.count(F.when(F.col("n0") > 0, 1)), F.count(F.when(F.col("n1") > 0, 1)))
-    held = held.select("g", "n0", "n1").toArrow()  # grows with the sample, of at most MAX_DOCS documents a class, alone
+    totals = grams.groupBy("context").agg(F.sum("n0"), F.sum("n1"), F.count(F.when(F.col("n0") > 0, 1)), F.count(F.when(F.col("n1") > 0, 1)))
+    held = grams.select("g", "n0", "n1").toArrow()  # grows with the sample, of at most MAX_DOCS documents a class, alone
     ratio, backoff = _ratios(held, totals.toArrow(), _shared(docs, text, held.column(0).to_pylist()))
     model = Model(ratio, backoff, np.zeros(FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -155,3 +155,13 @@ def test_shared_counts_are_of_distinct_words(spark):
     some = toxicity._shared(docs, "text", ["\x02the", "lathe", "\x02l"])
     whole = toxicity.Shared.of({chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF): n for c, n in found[0].items()})
     assert np.allclose(some.probability(["the", "the"[1:], "l"]), whole.probability(["the", "he", "l"]))
+
+
+def test_grams_seen_once_are_held(spark):
+    """The n-grams of a word that one toxic document holds once are in the model."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    words = {i: "".join(chr(97 + (i * 7 + k * k + k) % 26) for k in range(8)) for i in ids}
+    docs = spark.createDataFrame([(i, f"stone river {words[i]}") for i in ids], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in ids], LABEL))
+    alone = toxicity.hashes([words[i][1:7] for i in ids])
+    assert model.ratio.find(alone)[1].mean() > 0.5
