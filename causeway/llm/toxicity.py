@@ -81,7 +81,7 @@ class Model:
         for i, word in enumerate(words):
             if not word:
                 continue
-            s = START + word[:64] + END
+            s = START + word + END
             for at in range(0, len(s), PIECE):  # a piece also has what the n-grams at its start begin with
                 first = max(0, at - HIGH + 1)
                 pieces.append((i, first, at - first, s[first : at + PIECE]))
@@ -151,7 +151,7 @@ def _grams(batches):
     for batch in sliced(batches, 20_000):
         counts = ({}, {})
         for w, *n in zip(*(c.to_pylist() for c in batch.columns)):
-            s = START + w[:64] + END
+            s = START + w + END
             for end in range(2, len(s) + 1):
                 g = s[max(0, end - HIGH) : end]
                 for c in (0, 1):

@@ -142,6 +142,36 @@ def test_chat_query(spark):
     assert np.mean([r.role == r.found for r in pairs]) > 0.95
 
 
+def _spelled(word, ratio, backoff):
+    """The score of a word of any length, by its definition."""
+    s, total = toxicity.START + word + toxicity.END, 0.0
+    for end in range(2, len(s) + 1):
+        for at in range(max(0, end - toxicity.HIGH), max(1, end - toxicity.LOW + 1)):
+            if s[at : end - 1] in backoff:
+                if s[at:end] in ratio:
+                    total += ratio[s[at:end]]
+                    break
+                total += backoff[s[at : end - 1]]
+    return total
+
+
+def test_long_tokens_are_scored_whole(spark, monkeypatch):
+    """A toxic word after character 64 of a token without white space counts, and pieces of a token add up to it."""
+    rng = random.Random(9)
+    grams = {toxicity.START * (i % 2) + "".join(rng.choice("abß好") for _ in range(rng.randrange(2, 6))) for i in range(300)}
+    ratio = {g: rng.random() for g in grams if len(g) < 7 and (len(g) >= 4 or g[0] == toxicity.START)}
+    backoff = {g[:-1]: rng.random() for g in ratio}
+    model = toxicity.Model(*(toxicity.Grams(toxicity.hashes(d), np.array(list(d.values()))) for d in (ratio, backoff)), np.zeros(7))
+    words = ["", "a", "ab", *("".join(rng.choice("abß好z") for _ in range(n)) for n in (3, 4, 5, 6, 63, 65, 200, 1000))]
+    want = [_spelled(w, ratio, backoff) if w else 0.0 for w in words]
+    for piece in (1 << 16, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(model.words(words), want)
+    monkeypatch.undo()
+    late = "z" * 100
+    assert not np.isclose(model.word(late + max(ratio, key=len)), model.word(late + "zzzzz"))
+
+
 def test_shared_counts_are_of_distinct_words(spark):
     """However the rows lie in tasks, a trigram counts each word of the corpus once, and no row is cut."""
     rows = [(i, "the lathe bathe, The (lathe) " + "x" * 80 + "qjv") for i in range(40)]
