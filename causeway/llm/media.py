@@ -138,6 +138,16 @@ def _table(stream: Stream, data: bytes, at: int, h: Header) -> bool:
     return False
 
 
+def _ends(data: bytes, at: int) -> bool:
+    """Do whole frames, one after another from ``at``, fill the stream to its last byte?"""
+    while at < len(data):
+        h = header(data[at : at + 4])
+        if h is None:
+            return False
+        at += h.length
+    return at == len(data)
+
+
 def parse(data: bytes) -> Stream:
     """Frames, tags, table and checksums of a stream; bytes of no frame are counted as skipped, never an error."""
     stream, at, end, first = Stream(), 0, len(data), True
@@ -145,12 +155,13 @@ def parse(data: bytes) -> Stream:
         size = sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0)))
         stream.tags.append(f"ID3v2.{data[at + 3]}")
         at += 10 + size + 10 * bool(data[at + 5] & 0x10)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        stream.tags.append("ID3v1")
-        end -= 128
+    tagged = end - at >= 128 and data[end - 128 : end - 125] == b"TAG"
+    end -= 128 * tagged
     synced, checks = True, {}
     while at + 4 <= end:
         h = header(data[at : at + 4])
+        if tagged and h is not None and at + h.length > end and _ends(data, at):  # the tag's place is within a frame
+            tagged, end = False, len(data)
         if h is not None and at + h.length <= end and (synced or at + h.length == end or header(data[at + h.length : at + h.length + 4]) is not None):
             synced = True
             if first and h.layer == 3 and _table(stream, data, at, h):
@@ -171,6 +182,8 @@ def parse(data: bytes) -> Stream:
         stream.skipped += nearest - at
         at = nearest
     stream.skipped += max(0, end - at)
+    if tagged:
+        stream.tags.append("ID3v1")
     raw = np.frombuffer(data, np.uint8)
     for side, places in checks.items():
         at_all = np.array(places)[:, None]

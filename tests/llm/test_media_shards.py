@@ -85,3 +85,17 @@ def test_sharding_edges(spark, docs, tmp_path):
     assert sharding.shard(table.limit(0), 20).count() == 0
     sharding.write_shards(table, str(tmp_path / "out"), 1000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+@pytest.mark.parametrize("units", [1, 3])
+def test_tag_within_a_payload(units):
+    """'TAG' where an ID3v1 tag would begin, 128 bytes before the end, is payload; a real tag after it is still a tag."""
+    payload = bytearray(b"x" * 576 * units)
+    payload[-55:-52] = b"TAG"
+    data = media.encode(bytes(payload))
+    assert data[-128:-125] == b"TAG" and payload[576 * (units - 1) + 521 :][:3] == b"TAG"
+    stream = media.parse(data)
+    assert media.payload_of(data, stream) == payload and stream.tags == ["ID3v2.3"] and len(stream.offsets) == units and stream.skipped == 0
+    more = data + b"TAG" + bytes(125)
+    stream = media.parse(more)
+    assert media.payload_of(more, stream) == payload and stream.tags == ["ID3v2.3", "ID3v1"] and stream.skipped == 0
