@@ -35,6 +35,16 @@ def first_truthy(*columns, default: str = "unknown") -> Column:
     return F.coalesce(*map(blank_to_null, columns), F.lit(default))
 
 
+def rounded(c, places: int) -> Column:
+    """A number of nine places at most, to ``places``; halves go to the even digit."""
+    return F.bround(F.round(_col(c), 9), places)
+
+
+def exact_sum(c) -> Column:
+    """A sum in twelve places, the same in whatever order rows come."""
+    return F.sum(_col(c).cast("decimal(28,12)")).cast("double")
+
+
 def sentences(c) -> Column:
     """The sentences of a text; a boundary is white space after '.', '!' or '?'."""
     return F.split(F.coalesce(_col(c), F.lit("")), r"(?<=[.!?])\s+")
@@ -86,9 +96,9 @@ def any_keyword(c, keywords) -> Column:
     return let(tokens(c), lambda words: let(F.array_join(words, "-"), lambda joined: F.size(_found(words, joined, keywords)) > 0))
 
 
-def meaningful_query(c, lexicon: Lexicon = DEFAULT, noise=()) -> Column:
+def meaningful_query(c, lexicon: Lexicon = DEFAULT) -> Column:
     """B1: is there a word of three letters or more that is no filler?"""
-    fill = sorted(lexicon.stopwords | lexicon.modifiers | lexicon.vague | set(noise))
+    fill = sorted(lexicon.filler)
     words = F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"([a-z][a-z'\-]+)"), F.lit(1))
     return F.exists(words, lambda w: (F.length(w) >= 3) & ~w.isin(fill))
 
@@ -182,7 +192,7 @@ def modulated(weight, span, lexicon: Lexicon = DEFAULT) -> Column:
     w = _col(weight)
     strong, weak = _col(span).rlike("(?i)" + lexicon.intensifiers), _col(span).rlike("(?i)" + lexicon.hedges)
     factor = F.when(strong, 1.18).otherwise(1.0) * F.when(weak, 0.62).otherwise(1.0)
-    return F.when(strong | weak, F.round(F.greatest(F.lit(-0.98), F.least(F.lit(0.98), w * factor)), 3)).otherwise(w)
+    return F.when(strong | weak, rounded(F.greatest(F.lit(-0.98), F.least(F.lit(0.98), w * factor)), 3)).otherwise(w)
 
 
 def first_rule(c, rules, default) -> Column:

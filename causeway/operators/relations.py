@@ -67,7 +67,7 @@ def merge_mentions(rows: DataFrame, evidence_limit: int | None = None) -> DataFr
     them a row each.
     """
     keys = ["map_key", "source", "target"]
-    numbers = rows.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("confidence")).alias("wc"), F.sum("confidence").alias("c"), F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("evidence_doc_id", "at").alias("evidence_doc_id"))
+    numbers = rows.groupBy(*keys).agg(T.exact_sum(F.col("weight") * F.col("confidence")).alias("wc"), T.exact_sum("confidence").alias("c"), F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("evidence_doc_id", "at").alias("evidence_doc_id"))
     said = _said(rows).withColumn("distinct_n", F.lit(1))
     if evidence_limit is not None:
         window = "partition by map_key, source, target"
@@ -75,8 +75,8 @@ def merge_mentions(rows: DataFrame, evidence_limit: int | None = None) -> DataFr
     said = said.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]), " | ").alias("evidence"), F.sum("distinct_n").alias("distinct_n"))
     mean = F.col("wc") / F.col("c")
     return numbers.join(said, keys).select(
-        *keys, F.round(mean, 3).alias("weight"), F.when(mean >= 0, "positive").otherwise("negative").alias("polarity"),
-        F.round(F.least(F.lit(0.98), F.col("c") / F.col("n") + boost(F.col("distinct_n"))), 3).alias("confidence"), "evidence", "evidence_doc_id",
+        *keys, T.rounded(mean, 3).alias("weight"), F.when(mean >= 0, "positive").otherwise("negative").alias("polarity"),
+        T.rounded(F.least(F.lit(0.98), F.col("c") / F.col("n") + boost(F.col("distinct_n"))), 3).alias("confidence"), "evidence", "evidence_doc_id",
         F.lit("pattern").alias("edge_type"), F.lit(1).alias("hops"), F.concat_ws(".", F.lit("p"), F.format_string("%09d.%06d.%02d.%04d", F.col("at.chunk_no"), F.col("at.sent_no"), F.col("at.cue"), F.col("at.nth"))).alias("seen"),
     )
 
@@ -110,13 +110,13 @@ def cooccurrence(chunks: DataFrame, lexicon: Lexicon = DEFAULT, window: int = 3,
     """Edges between domain keywords near each other (E4 to E6, G4, I10); ties of the cap by name."""
     keys = ["map_key", "source", "target"]
     hits = window_pairs(keyword_rows(chunks, lexicon), window)
-    sums = hits.groupBy(*keys).agg(F.sum(F.when(F.col("negative"), F.col("proximity")).otherwise(0.0)).alias("neg"), F.sum(F.when(F.col("negative"), 0.0).otherwise(F.col("proximity"))).alias("pos"), F.min(F.struct("pos", "offset")).alias("at"))
+    sums = hits.groupBy(*keys).agg(T.exact_sum(F.when(F.col("negative"), F.col("proximity")).otherwise(0.0)).alias("neg"), T.exact_sum(F.when(F.col("negative"), 0.0).otherwise(F.col("proximity"))).alias("pos"), F.min(F.struct("pos", "offset")).alias("at"))
     said = hits.selectExpr(*keys, "pos", "offset", "evidence", "row_number() over (partition by map_key, source, target order by pos, offset) as nth").where("nth <= 2")
     said = said.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "offset", "evidence"))), lambda x: x["evidence"]), " || ").alias("evidence"))
     ranked = sums.withColumn("count", F.col("pos") + F.col("neg")).selectExpr("*", "max(count) over (partition by map_key) as top", "row_number() over (partition by map_key order by count desc, source, target) as nth")
     kept = ranked.where((F.col("nth") <= cap) & ((F.col("count") >= 0.5) | (F.col("top") < 0.5) & (F.col("nth") <= 8)))
     size = 0.3 + 0.4 * F.col("count") / F.col("top")
-    kept = kept.withColumn("weight", F.round(F.when(F.col("neg") > F.col("pos"), -size).otherwise(size), 3)).where((F.abs("weight") >= 0.10) & T.valid_pair("source", "target", lexicon))
+    kept = kept.withColumn("weight", T.rounded(F.when(F.col("neg") > F.col("pos"), -size).otherwise(size), 3)).where((F.abs("weight") >= 0.10) & T.valid_pair("source", "target", lexicon))
     return kept.join(said, keys).select(
         *keys, "weight", F.when(F.col("neg") > F.col("pos"), "negative").otherwise("positive").alias("polarity"), F.lit(0.40).alias("confidence"), "evidence", F.lit(None).cast("string").alias("evidence_doc_id"),
         F.lit("cooccurrence").alias("edge_type"), F.lit(1).alias("hops"), F.format_string("q.%09d.%d.%s", F.col("at.pos"), F.col("at.offset"), F.col("source")).alias("seen"),
@@ -139,7 +139,7 @@ def two_hops(edges: DataFrame, lexicon: Lexicon = DEFAULT, damping: float = 0.7,
     best = chains.selectExpr("*", "row_number() over (partition by map_key, source, target order by abs(w) desc, s1, s2, via) as nth").where("nth = 1").drop("nth")
     best = best.selectExpr("*", "row_number() over (partition by map_key order by abs(w) * c desc, source, target) as nth").where(F.col("nth") <= cap)
     return best.select(
-        "map_key", "source", "target", F.round("w", 3).alias("weight"), F.when(F.col("w") >= 0, "positive").otherwise("negative").alias("polarity"), F.round("c", 3).alias("confidence"),
+        "map_key", "source", "target", T.rounded("w", 3).alias("weight"), F.when(F.col("w") >= 0, "positive").otherwise("negative").alias("polarity"), T.rounded("c", 3).alias("confidence"),
         F.concat(F.lit("inferred via "), "via", F.lit(" :: "), "e1", F.lit(" → "), "e2").alias("evidence"), F.lit(None).cast("string").alias("evidence_doc_id"), F.lit("transitive").alias("edge_type"), F.lit(2).alias("hops"), F.format_string("t.%04d", "nth").alias("seen"),
     )
 

@@ -5,8 +5,6 @@ Texts and graphs come from the star-schema tables, where the truth is known, and
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ from ..operators import simulate as Z
 from ..shared import written
 from ..streaming import ingest
 from . import maps as M
-from .registry import ORACLES, query
+from .registry import query
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -34,26 +32,11 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 # ---- texts with known relations: part names joined by verbs, one map a brand -------------------------------------
 
 SENTENCES_SQL = """
-s AS (SELECT p.p_brand AS map_key, l.l_orderkey AS doc_id, concat(p.p_name, CASE l.l_returnflag WHEN 'A' THEN ' increases ' WHEN 'N' THEN ' affects ' ELSE ' reduces ' END, q.p_name, '.') AS text, p.p_name AS a, q.p_name AS b, l.l_returnflag AS flag
-  FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN part q ON q.p_partkey = (l.l_partkey * 7 + l.l_suppkey) % 200 WHERE l.l_quantity >= 45)"""
-
-
-def sentences(spark, sf_dir: str) -> DataFrame:
-    """map_key, doc_id, chunk_no, text, score: 'blue ring increases hot gear.'"""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    other = part.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("b"))
-    line = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_partkey", "l_returnflag", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 200).alias("k2"))
-    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(other, "k2")
-    verb = F.when(F.col("l_returnflag") == "A", " increases ").when(F.col("l_returnflag") == "N", " affects ").otherwise(" reduces ")
-    return rows.select(F.col("p_brand").alias("map_key"), F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("chunk_no"), F.concat("p_name", verb, "b", F.lit(".")).alias("text"), F.lit(1.0).alias("score"))
-
-
-WHOLE_SENTENCES_SQL = """
 s AS (SELECT p.p_brand AS map_key, l.l_orderkey AS doc_id, concat(p.p_name, CASE l.l_returnflag WHEN 'A' THEN ' increases ' WHEN 'N' THEN ' affects ' ELSE ' reduces ' END, q.p_name, '.') AS text, p.p_name AS a, q.p_name AS b, l.l_returnflag AS flag
   FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN part q ON q.p_partkey = (l.l_partkey * 7 + l.l_suppkey) % (SELECT max(p_partkey) + 1 FROM part))"""
 
 
-def whole_sentences(spark, sf_dir: str) -> DataFrame:
+def sentences(spark, sf_dir: str) -> DataFrame:
     """The sentences of every line, whose second part may be any part."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     other = part.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("b"))
@@ -71,32 +54,38 @@ c AS (SELECT map_key, doc_id, text, flag, {CONCEPT.format('a')} AS source, {CONC
 m AS (SELECT map_key, doc_id, source, target, text, CASE flag WHEN 'A' THEN 0.75 WHEN 'N' THEN 0.55 ELSE -0.75 END::DOUBLE AS weight FROM c
   WHERE source NOT IN ('', 'Ring', 'Hot Rod', 'Red Rod') AND target NOT IN ('', 'Ring', 'Hot Rod', 'Red Rod') AND source <> target
     AND NOT list_has_all(string_split(source, ' '), string_split(target, ' ')) AND NOT list_has_all(string_split(target, ' '), string_split(source, ' ')))"""
-EDGES_SQL = f"""{MENTIONS_SQL},
-e AS (SELECT map_key, source, target, round(sum(weight) / count(*), 3) AS weight, count(*) AS n, CAST(round(least(0.98, 0.95 + least(0.15, 0.03 * (count(DISTINCT text) - 1))), 3) AS DOUBLE) AS confidence FROM m GROUP BY ALL)"""
+def _even(x: str, places: int = 3) -> str:
+    """SQL for nine places, then ``places`` with halves to the even digit."""
+    m, unit = f"CAST(round(abs({x}) * 1e9) AS BIGINT)", 10 ** (9 - places)
+    return f"CAST(sign({x}) * ({m} // {unit} + CASE WHEN {m} % {unit} > {unit // 2} OR ({m} % {unit} = {unit // 2} AND {m} // {unit} % 2 = 1) THEN 1 ELSE 0 END) / {10**places}.0 AS DOUBLE)"
+
 
+EDGES_SQL = f"""{MENTIONS_SQL},
+z AS (SELECT map_key, source, target, CAST(sum(CAST(weight * 0.95::DOUBLE AS DECIMAL(28,12))) AS DOUBLE) / CAST(count(*) * CAST(0.95 AS DECIMAL(28,12)) AS DOUBLE) AS mean, count(*) AS n, count(DISTINCT text) AS d FROM m GROUP BY ALL),
+e AS (SELECT map_key, source, target, {_even('mean')} AS weight, n, {_even('least(0.98, 0.95 + least(0.15, 0.03 * (d - 1)))')} AS confidence FROM z)"""
 
 @query("sentence_split", f"WITH {SENTENCES_SQL} SELECT map_key, count(*) AS sentences, CAST(sum(length(text)) AS BIGINT) AS chars FROM s GROUP BY ALL")
-def sentence_split(spark, sf_dir, texts=sentences):
+def sentence_split(spark, sf_dir):
     """I1."""
-    return R.sentence_rows(texts(spark, sf_dir)).groupBy("map_key").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
+    return R.sentence_rows(sentences(spark, sf_dir)).groupBy("map_key").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
 
 
 @query("causal_mentions", f"WITH {MENTIONS_SQL} SELECT map_key, source, target, weight, count(*) AS n FROM m GROUP BY ALL")
-def causal_mentions(spark, sf_dir, texts=sentences):
+def causal_mentions(spark, sf_dir):
     """I2, I3, I5 to I8, B12 to B14."""
-    return R.mentions(texts(spark, sf_dir)).groupBy("map_key", "source", "target", "weight").agg(F.count("*").alias("n"))
+    return R.mentions(sentences(spark, sf_dir)).groupBy("map_key", "source", "target", "weight").agg(F.count("*").alias("n"))
 
 
 @query("merged_edges", f"WITH {EDGES_SQL} SELECT map_key, source, target, weight, confidence FROM e")
-def merged_edges(spark, sf_dir, texts=sentences):
+def merged_edges(spark, sf_dir):
     """E1, E3."""
-    return R.merge_mentions(R.mentions(texts(spark, sf_dir))).select("map_key", "source", "target", "weight", "confidence")
+    return R.merge_mentions(R.mentions(sentences(spark, sf_dir))).select("map_key", "source", "target", "weight", "confidence")
 
 
 @query("strongest_edges", f"WITH {EDGES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY confidence * abs(weight) DESC, source, target) AS rank FROM e) SELECT map_key, CAST(rank AS INTEGER) AS rank, source, target, weight, confidence FROM r WHERE rank <= 6")
-def strongest_edges(spark, sf_dir, texts=sentences):
+def strongest_edges(spark, sf_dir):
     """The flagship: the six strongest causal edges of every map (J6's pattern part, G1, F1)."""
-    edges = R.ranked(R.merge_mentions(R.mentions(texts(spark, sf_dir))))
+    edges = R.ranked(R.merge_mentions(R.mentions(sentences(spark, sf_dir))))
     return edges.where("rank <= 6").select("map_key", "rank", "source", "target", "weight", "confidence")
 
 
@@ -210,7 +199,7 @@ def one_direction(spark, sf_dir):
 c AS (SELECT x.map_key, x.source, y.target, x.target AS via, 0.7 * x.w * y.w AS w, 0.7 * least(x.confidence, y.confidence) AS c, x.seen AS s1, y.seen AS s2 FROM e x JOIN e y ON x.map_key = y.map_key AND x.target = y.source WHERE x.source <> y.target AND NOT EXISTS (SELECT 1 FROM e z WHERE z.map_key = x.map_key AND z.source = x.source AND z.target = y.target)),
 k AS (SELECT *, row_number() OVER (PARTITION BY map_key, source, target ORDER BY abs(w) DESC, s1, s2, via) AS nth FROM c WHERE abs(w) >= 0.2),
 r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY abs(w) * c DESC, source, target) AS place FROM k WHERE nth = 1)
-SELECT map_key, source, target, round(w, 3) AS weight, round(c, 3) AS confidence FROM r WHERE place <= 20""")
+SELECT map_key, source, target, {_even('w')} AS weight, {_even('c')} AS confidence FROM r WHERE place <= 20""")
 def two_hop_closure(spark, sf_dir):
     """J8, D7, D9, I11, G5, on weights x 5."""
     edges = graph(spark, sf_dir).withColumn("weight", F.col("weight") * 5)
@@ -269,9 +258,9 @@ def centrality(spark, sf_dir):
 
 
 @query("canonical_names")
-def canonical_names(spark, sf_dir, texts=sentences):
+def canonical_names(spark, sf_dir):
     """J9, I6, I12, D10 to D12."""
-    return E.canonical_names(R.merge_mentions(R.mentions(texts(spark, sf_dir))))
+    return E.canonical_names(R.merge_mentions(R.mentions(sentences(spark, sf_dir))))
 
 
 # ---- simulation on a matrix of regions and segments ------------------------------------------------------------
@@ -350,11 +339,11 @@ PHRASES = ("of the", "in the", "is-the", "de la", "que le")
 TOKENS_SQL = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 
 
-@query("tokens", f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS n, list_aggregate(list_sort(list_distinct(w)), 'string_agg', ' ')[1:40] AS head FROM t")
+@query("tokens", f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS n, list_aggregate(list_sort(list_distinct(w)), 'string_agg', ' ') AS head FROM t")
 def tokens(spark, sf_dir):
     """I15."""
     w = table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("w"))
-    return w.select("doc_id", F.size("w").alias("n"), F.substring(F.array_join(F.array_sort(F.array_distinct("w")), " "), 1, 40).alias("head"))
+    return w.select("doc_id", F.size("w").alias("n"), F.array_join(F.array_sort(F.array_distinct("w")), " ").alias("head"))
 
 
 def _hits_sql(words, phrases) -> str:
@@ -407,11 +396,20 @@ def dominant_state(spark, sf_dir):
     return B.dominant_state(table(spark, sf_dir, "documents"), STATES, "None").select("doc_id", "state")
 
 
-@query("meaningful_queries", "SELECT item_id, len(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''\\-]+'), lambda t: length(t) >= 3 AND t NOT IN ('the', 'and', 'that'))) > 3 AS ok FROM benchmark")
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+
+
+#: The first words of the benchmark's items and plain filler, as typed questions.
+ASKED_SQL = "a AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'hello please, what about the level?' ELSE concat(split_part(text, ' ', 1), ' is it') END AS q FROM benchmark)"
+
+
+@query("meaningful_queries", f"WITH {ASKED_SQL} SELECT item_id, len(list_filter(regexp_extract_all(lower(q), '[a-z][a-z''\\-]+'), lambda t: length(t) >= 3 AND t NOT IN ({_listed(L.DEFAULT.filler)}))) > 0 AS ok FROM a")
 def meaningful_queries(spark, sf_dir):
-    """B1's word count, with a filler list of three words."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z'\-]+)"), F.lit(1))
-    return table(spark, sf_dir, "benchmark").select("item_id", (F.size(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin("the", "and", "that"))) > 3).alias("ok"))
+    """B1: whole items, filler, and an item's first word with filler."""
+    k = F.col("item_id") % 3
+    q = F.when(k == 0, F.col("text")).when(k == 1, "hello please, what about the level?").otherwise(F.concat(F.substring_index("text", " ", 1), F.lit(" is it")))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.meaningful_query(q).alias("ok"))
 
 
 @query("first_wins", "SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
@@ -497,7 +495,7 @@ def page_titles(spark, sf_dir):
 
 
 @query("page_texts")
-def page_texts(spark, sf_dir):
+def page_sentences(spark, sf_dir):
     """Tests hold the extraction."""
     return C.page_text(table(spark, sf_dir, "pages")).select("page_id", "title", "published", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
@@ -508,11 +506,10 @@ def page_addresses(spark, sf_dir):
     return B.parse_address(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "query")
 
 
-@query("reachable_pages", """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey % 500 AS s, l_partkey % 500 AS t FROM lineitem WHERE l_quantity >= 49), r AS (SELECT 1::BIGINT AS page, 0 AS depth UNION SELECT l.t, r.depth + 1 FROM r JOIN l ON l.s = r.page WHERE r.depth < 3) SELECT page, min(depth) AS depth FROM r GROUP BY page""")
-def reachable_pages(spark, sf_dir, which="l_quantity >= 49", ids=500):
+@query("reachable_pages", """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS t FROM lineitem), r AS (SELECT 1::BIGINT AS page, 0 AS depth UNION SELECT l.t, r.depth + 1 FROM r JOIN l ON l.s = r.page WHERE r.depth < 3) SELECT page, min(depth) AS depth FROM r GROUP BY page""")
+def reachable_pages(spark, sf_dir):
     """Breadth-first traversal of a landed link table."""
-    source, target = (F.col(c) % ids if ids else F.col(c) for c in ("l_orderkey", "l_partkey"))
-    l = table(spark, sf_dir, "lineitem").where(which).select(source.alias("source"), target.alias("target")).distinct()  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).distinct()  # noqa: E741
     return C.reachable(l, spark.range(1, 2).select(F.col("id").alias("page")), 3)
 
 
@@ -561,43 +558,38 @@ def nearest_oversampled(spark, sf_dir):
     return V.nearest(*_near(spark, sf_dir), 5, "label in (1, 2, 3)", 6).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-TFIDF_SQL = r"""w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\b(\w\w+)\b', 1), lambda x: x NOT IN ('the', 'of')) AS w FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS text FROM documents WHERE lang = 'en')),
+TFIDF_SQL = r"""w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda x: x NOT IN ('the', 'of')) AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_concat(w, [concat(w[i], ' ', w[i + 1]) FOR i IN range(1, len(w))])) AS gram FROM w),
 t AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT gram, count(*) AS df FROM t GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM t),
 x AS (SELECT doc_id, gram, tf * (ln((1 + n) / (1 + df)) + 1) AS x, ln((1 + n) / (1 + df)) + 1 AS idf FROM t JOIN d USING (gram), n), s AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1)"""
 
 
-def _english(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-
-
 @query("tfidf_weights", f"WITH {TFIDF_SQL} SELECT doc_id, count(*) AS grams, round(sum(x / norm), 5) AS total, round(max(x / norm), 6) AS top FROM x JOIN s USING (doc_id) GROUP BY doc_id")
 def tfidf_weights(spark, sf_dir):
     """E18."""
-    index = V.tfidf(written(V.grams(_english(spark, sf_dir), ("the", "of")), "grams"))
+    index = V.tfidf(written(V.grams(table(spark, sf_dir, "documents"), ("the", "of")), "grams"))
     return index.groupBy("doc_id").agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
-@query("tfidf_search", f"""WITH {TFIDF_SQL}, qw AS (SELECT item_id, list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '\\b(\\w\\w+)\\b', 1), lambda z: z NOT IN ('the', 'of')) AS w FROM benchmark WHERE item_id < 20),
+@query("tfidf_search", f"""WITH {TFIDF_SQL}, qw AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda z: z NOT IN ('the', 'of')) AS w FROM benchmark),
 qg AS (SELECT item_id, unnest(list_concat(w, [concat(w[i], ' ', w[i + 1]) FOR i IN range(1, len(w))])) AS gram FROM qw), qt AS (SELECT item_id, gram, count(*) AS tf FROM qg GROUP BY ALL),
 qx AS (SELECT item_id, qt.gram, tf * idf AS x FROM qt JOIN (SELECT DISTINCT gram, idf FROM x) USING (gram)), qn AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM qx GROUP BY 1),
 sc AS (SELECT qx.item_id, x.doc_id, sum(x.x / s.norm * qx.x / qn.norm) AS score FROM qx JOIN qn USING (item_id) JOIN x ON x.gram = qx.gram JOIN s ON s.doc_id = x.doc_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id DESC) AS rank FROM sc WHERE score > 0) SELECT item_id AS query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def tfidf_search(spark, sf_dir, which="item_id < 20"):
-    """The first twenty benchmark items as questions."""
-    index = V.tfidf(written(V.grams(_english(spark, sf_dir), ("the", "of")), "grams"))
-    index = written(index, "tfidf")
-    q = table(spark, sf_dir, "benchmark").where(which).select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-    return V.search(index, q, 5, ("the", "of")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+def tfidf_search(spark, sf_dir):
+    """The benchmark items as questions."""
+    counts = written(V.grams(table(spark, sf_dir, "documents"), ("the", "of")), "grams")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return V.search(counts, q, 5, ("the", "of")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("cluster_relationship", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 3), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label AS cluster, list(x ORDER BY i) AS centre FROM v GROUP BY 1),
+@query("cluster_relationship", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label AS cluster, list(x ORDER BY i) AS centre FROM v GROUP BY 1),
 d AS (SELECT vec_id, cluster, list_distance(embedding::DOUBLE[], centre) AS d FROM embeddings, c), m AS (SELECT max(d) + 1e-6 AS top FROM d), n AS (SELECT vec_id, min(d) AS d, arg_min(cluster, d) AS cluster FROM d GROUP BY 1)
 SELECT vec_id, cluster, round(1 - d / top, 6) AS relationship FROM n, m""")
-def cluster_relationship(spark, sf_dir, which="label < 3"):
-    """J2's assignment and relationship with given centres (the means of three labels)."""
+def cluster_relationship(spark, sf_dir):
+    """J2's assignment and relationship with given centres (the means of the labels)."""
     v = table(spark, sf_dir, "embeddings")
-    means = v.where(which).groupBy("label").agg(*(F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"e{i}") for i in range(64))).select(F.col("label").alias("cluster"), F.array(*(f"e{i}" for i in range(64))).alias("centre"))
+    means = v.groupBy("label").agg(*(F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"e{i}") for i in range(64))).select(F.col("label").alias("cluster"), F.array(*(f"e{i}" for i in range(64))).alias("centre"))
     return K.relationship(v, means).select("vec_id", "cluster", F.round("relationship", 6).alias("relationship"))
 
 
@@ -624,9 +616,9 @@ def kmeans_clusters(spark, sf_dir):
 # ---- whole plans, streams ------------------------------------------------------------------------------------------
 
 @query("causal_maps")
-def causal_maps(spark, sf_dir, texts=sentences):
+def causal_maps(spark, sf_dir):
     """J6, J7, J9, J12 together on the synthetic sentences; goldens hold it."""
-    return M.build_maps(texts(spark, sf_dir)).select("map_key", "rank", "source", "target", "weight", "confidence", "edge_type")
+    return M.build_maps(sentences(spark, sf_dir)).select("map_key", "rank", "source", "target", "weight", "confidence", "edge_type")
 
 
 @query("cooccurrence_hits", """WITH p AS (SELECT conv_id AS map_key, turn AS pos, list_distinct(regexp_extract_all(lower(text), '\\b(that|with|from|this)\\b', 1)) AS k, CASE WHEN regexp_matches(text, '(?i)\\bwas\\b') THEN -1 ELSE 1 END AS pol FROM conversations),
@@ -648,12 +640,13 @@ def event_windows(spark, sf_dir):
     return ingest.windowed_counts(table(spark, sf_dir, "events"))
 
 
-@query("answers", f"WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY abs(weight) DESC, source, target) AS nth FROM b) SELECT map_key, CAST(count(*) AS INTEGER) + 2 AS lines FROM r WHERE nth <= 8 GROUP BY map_key")
+@query("answers", f"""WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY abs(weight) DESC, source, target) AS nth FROM b)
+SELECT map_key, concat('Query: what drives what?', chr(10), 'Main causal relations found from retrieved evidence:', chr(10), string_agg(concat('- ', source, CASE WHEN weight >= 0 THEN ' increases ' ELSE ' decreases ' END, target, ' (weight=', weight, ', confidence=', confidence, ')'), chr(10) ORDER BY nth)) AS answer FROM r WHERE nth <= 8 GROUP BY map_key""")
 def answers(spark, sf_dir):
-    """A heading, a query line and eight relations."""
+    """A query line, a heading and eight relations."""
     edges = graph(spark, sf_dir)
     maps = edges.select("map_key").distinct().withColumn("query", F.lit("what drives what?"))
-    return A.build_answer(maps, edges).select("map_key", F.size(F.split("answer", "\n")).alias("lines"))
+    return A.build_answer(maps, edges)
 
 
 # ---- more of the inventory, one operator each -----------------------------------------------------------------------
@@ -681,12 +674,12 @@ def lemma_heads(spark, sf_dir):
     return E.lemma_heads(names).select("concept", "head")
 
 
-@query("absorbed_subsets", """WITH a AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT concat(p_name, ' ', lower(p_type)) FROM part WHERE p_partkey % 23 = 0), t AS (SELECT name, list_distinct(string_split(lower(name), ' ')) AS w FROM a),
+@query("absorbed_subsets", """WITH a AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT concat(p_name, ' ', lower(p_type)) FROM part), t AS (SELECT name, list_distinct(string_split(lower(name), ' ')) AS w FROM a),
 p AS (SELECT x.name AS short, y.name AS long FROM t x JOIN t y ON x.name <> y.name AND len(x.w) < len(y.w) AND list_has_all(y.w, x.w)) SELECT short, min(long) AS long FROM p GROUP BY short HAVING count(*) = 1""")
-def absorbed_subsets(spark, sf_dir, which="p_partkey % 23 = 0"):
+def absorbed_subsets(spark, sf_dir):
     """Names whose words are a strict subset of exactly one other's."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_name").alias("head")).union(part.where(which).select(F.concat("p_name", F.lit(" "), F.lower("p_type")))).distinct()
+    names = part.select(F.col("p_name").alias("head")).union(part.select(F.concat("p_name", F.lit(" "), F.lower("p_type")))).distinct()
     return E.absorb_subsets(names.withColumn("map_key", F.lit("m"))).select("short", "long")
 
 
@@ -699,12 +692,12 @@ def sentence_polarity(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sentence_polarity("text", lexicon).alias("polarity"))
 
 
-@query("modulated_weights", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 10 AS w, CASE l_returnflag WHEN 'A' THEN 'may rise' WHEN 'N' THEN 'strongly rises' ELSE 'might sharply rise' END AS span FROM lineitem WHERE l_quantity >= 48),
+@query("modulated_weights", """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 10 AS w, CASE l_returnflag WHEN 'A' THEN 'may rise' WHEN 'N' THEN 'strongly rises' ELSE 'might sharply rise' END AS span FROM lineitem),
 f AS (SELECT *, CASE WHEN regexp_matches(span, 'strongly|sharply') THEN 1.18 ELSE 1.0 END::DOUBLE * CASE WHEN regexp_matches(span, 'may|might') THEN 0.62 ELSE 1.0 END::DOUBLE AS k FROM s) SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(-0.98, least(0.98, w * k)), 3) AS weight FROM f""")
-def modulated_weights(spark, sf_dir, which="l_quantity >= 48"):
+def modulated_weights(spark, sf_dir):
     """I7."""
     span = F.when(F.col("l_returnflag") == "A", "may rise").when(F.col("l_returnflag") == "N", "strongly rises").otherwise("might sharply rise")
-    return table(spark, sf_dir, "lineitem").where(which).select("l_orderkey", "l_linenumber", "l_partkey", T.modulated(F.col("l_discount") * 10, span).alias("weight"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.modulated(F.col("l_discount") * 10, span).alias("weight"))
 
 
 @query("edges_meta", f"WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY confidence * abs(weight) DESC, source, target) AS rank FROM b) SELECT map_key, CAST(rank AS INTEGER) AS rank, source, target, round(weight, 3) AS weight, round(confidence, 3) AS confidence FROM r")
@@ -720,17 +713,17 @@ def degree_centrality(spark, sf_dir):
     return G.importance(graph(spark, sf_dir)).select("map_key", "concept", F.round("degree", 6).alias("degree"))
 
 
-@query("centroid_proximity", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 4), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM v GROUP BY 1)
+@query("centroid_proximity", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM v GROUP BY 1)
 SELECT a.label AS i, b.label AS j, round(1 - list_distance(a.c, b.c) / (2 * sqrt(list_inner_product(a.c, a.c)) + 1e-6), 6) AS proximity FROM c a JOIN c b ON a.label <> b.label""")
-def centroid_proximity(spark, sf_dir, which="label < 4"):
+def centroid_proximity(spark, sf_dir):
     """J4."""
-    v = table(spark, sf_dir, "embeddings").where(which)
+    v = table(spark, sf_dir, "embeddings")
     means = v.groupBy("label").agg(*(F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"e{i}") for i in range(64))).select(F.col("label").alias("cluster"), F.array(*(f"e{i}" for i in range(64))).alias("centre"))
     return K.proximity(means).withColumn("proximity", F.round("proximity", 6))
 
 
 @query("thread_texts", """SELECT conv_id, md5(concat('# ', conv_id, chr(10), 'u', chr(10), chr(10), string_agg(concat('--- ', role, ' | ', turn, ' ---', chr(10), CASE WHEN turn % 5 = 4 THEN '[empty body]' ELSE trim(text) END), concat(chr(10), chr(10)) ORDER BY turn))) AS digest FROM conversations GROUP BY conv_id""")
-def thread_texts(spark, sf_dir):
+def thread_sentences(spark, sf_dir):
     """K3: conversations as threads, every fifth body empty."""
     from ..sources import writers as W
 
@@ -813,27 +806,3 @@ def question_bundles(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("text", F.concat(F.lit("passage "), F.col("vec_id").cast("string")))
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("question"))
     return M.question_chunks(q, v, 6).select("map_key", "text")
-
-
-# ---- the same operators over every row of their tables ---------------------------------------------------------------
-
-def _whole(f, *cuts: tuple[str, str], **given) -> None:
-    """Register ``f`` as *_whole, without its filter, and its SQL, if it has any, without those parts that state the filter."""
-    sql = ORACLES.get(f.__name__)
-    for cut, instead in cuts if sql else ():
-        assert cut in sql
-        sql = sql.replace(cut, instead)
-    query(f"{f.__name__}_whole", sql)(partial(f, **given))
-
-
-for _f in (sentence_split, causal_mentions, canonical_names, causal_maps):
-    _whole(_f, (SENTENCES_SQL, WHOLE_SENTENCES_SQL), texts=whole_sentences)
-# weights halfway between two thousandths go either way with the order of a sum: brute force with a tolerance holds these
-query("merged_edges_whole")(partial(merged_edges, texts=whole_sentences))
-query("strongest_edges_whole")(partial(strongest_edges, texts=whole_sentences))
-_whole(tfidf_search, (" WHERE item_id < 20", ""), which="true")
-_whole(modulated_weights, (" WHERE l_quantity >= 48", ""), which="true")
-_whole(centroid_proximity, (" WHERE label < 4", ""), which="true")
-_whole(cluster_relationship, (" WHERE label < 3", ""), which="true")
-_whole(absorbed_subsets, (" WHERE p_partkey % 23 = 0", ""), which="true")
-_whole(reachable_pages, (" WHERE l_quantity >= 49", ""), (" % 500", ""), which="true", ids=None)

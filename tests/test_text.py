@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from causeway.functions import text as T
-from causeway.functions.lexicons import DEFAULT, inflected, plural, third_person
+from causeway.functions.lexicons import DEFAULT
 
 NAMES = [
     ("the very high fish stock", "Fish Stock", True), ("fish stock high", "Fish Stock", True), ("How fish increase", "Fish Increase", False), ("fish how grow", "Fish How Grow", False),
@@ -17,10 +17,27 @@ def test_names(spark):
     assert got == [x[1:] for x in NAMES]
 
 
-def test_inflection():
-    assert inflected("stop") == {"stop", "stops", "stopped", "stopping"} and inflected("modify") == {"modify", "modifies", "modified", "modifying"}
-    assert inflected("drive") == {"drive", "drives", "drove", "driven", "driving"} and third_person("establish") == "establishes" and plural("analysis") == "analyses"
-    assert {"increases", "caused", "how"} <= DEFAULT.verb_first and "increases" in DEFAULT.anywhere and "use" not in DEFAULT.anywhere and "levels" in DEFAULT.vague
+def test_word_lists():
+    assert {"increases", "caused", "how", "controlled", "curbing", "means"} <= DEFAULT.verb_first and not {"mean", "affected", "led", "drove"} & DEFAULT.verb_first
+    assert {"increases", "design"} <= DEFAULT.anywhere and not {"use", "report", "assess"} & DEFAULT.anywhere
+    assert {"levels", "ratios"} <= DEFAULT.vague and "stuffs" not in DEFAULT.vague
+    assert (len(DEFAULT.verb_first), len(DEFAULT.vague), len(DEFAULT.anywhere)) == (645, 322, 357)
+
+
+def test_probed_names(spark):
+    names = [("Mean Temperature", True), ("Affected Area", True), ("Controlled Fishing", False), ("Curbed Fishing", False)]
+    df = spark.createDataFrame([(n,) for n, _ in names], "n string")
+    assert [(r.n, r.c) for r in df.select("n", T.clean_concept("n").alias("c")).collect()] == names
+
+
+def test_questions(spark):
+    asked = {"hello please": False, "what about it": False, "": False, "the levels": False, "red tide": True, "asdf": True, "ok okay testing": False}
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert {r.q: r.ok for r in df.select("q", T.meaningful_query("q").alias("ok")).collect()} == asked
+
+
+def test_rounding(spark):
+    assert spark.range(1).select(T.rounded(F.lit(0.3125), 3), T.rounded(F.lit(-0.0625), 3), T.rounded(F.lit(0.30000000000000004), 3)).first()[:] == (0.312, -0.062, 0.3)
 
 
 def one(spark, value, *columns):
