@@ -2,12 +2,16 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. A set of a features and one of similarity g or
 more differ in at most k = floor(a (1 - g)/g) features. The feature domain is partitioned by hash, as finely as the size
-band asks. A difference touches one partition, so of any k + 1 non-empty partitions of a set at least one is equal in
-the other. A signature is a band, a partition and the hash of its features (subsets of one partition, for which the
-method needs fewest signatures). Partitions are ordered by what they hold, those with most rare features first. An
-equal partition has the same place in the order of both sets' equal partitions, and at most k others can stand before
-the first, so every set signs its first k + 1, and similar sets of a band always share a signature. A set signs for its
-own band, and for the next if a partner may lie there; two sets meet in the band of the larger.
+band asks, and a signature is a band, a subset of partitions and the hash of the set's features in it. A set signs for
+its own band, and for the next if a partner may lie there; two sets meet in the band of the larger.
+
+In bands of small sets all subsets are enumerated: of k + 2 partitions, k at most of which a difference touches, every
+two. In larger bands a subset is a single partition (the enumeration's setting with the fewest signatures), and not all
+are needed: partitions are ordered by what they hold, those with most rare features first. An equal partition has the
+same place in the order of both sets' equal partitions, and at most k others can stand before the first, so every set
+signs its first k + 1. Subsets without features are not signed. Two similar sets whose equal subsets are all without
+features have both such subsets (or at most k partitions with features): sets of that kind sign single features, the
+rarest k + 1, for each other, of which one is equal. So similar sets of a band always share a signature.
 
 Partitions that hold frequent shingles alone would gather unrelated documents. Frequent shingles are found over all
 documents; a set with more than k partitions that hold a rarer shingle signs the first k + 1 of those. Two sets without
@@ -21,6 +25,9 @@ is never more than that of the sets. What the sketches leave is verified on the
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +43,8 @@ SIMILAR = (3, 4)
 #: bound, and any list gives the same pairs.
 FREQUENT_BATCH, FREQUENT, FREQUENT_MOST = 2, 8, 300_000
 BATCH_FEATURES = 4_000_000
-#: Bands of sets up to this size have a partition for every feature.
-SMALL = 128
+#: Bands (by powers of two) in which every two partitions are a subset: sets of at most 15 features.
+ENUMERATED = 4
 #: Sets of a signature group that are compared in one tile.
 TILE = 512
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -96,27 +103,44 @@ def bands(size: int, similar=SIMILAR) -> set[int]:
     return {size.bit_length(), (size * q // p).bit_length()}
 
 
+@lru_cache(maxsize=16)
+def _pairs(level: int, similar) -> np.ndarray:
+    """Every two of the partitions of a band of small sets, as rows of booleans."""
+    n = allowed((1 << level) - 1, similar) + 2
+    return np.array([[i in pair for i in range(n)] for pair in combinations(range(n), 2)])
+
+
 def signatures(features: np.ndarray, frequent: Frequent, similar=SIMILAR) -> list[np.ndarray]:
-    """Signatures of a set (its sorted hashes): for each band those for all sets, and of a weak set those for weak sets.
+    """Signatures of a set (its sorted hashes): for each band those for all sets, then those that sets of a kind sign for each other.
 
-    The partition of a feature is its leading bits: half as many partitions as the band's largest size, of which sets of
-    over 64 features leave too few to sign with probability below 1e-12.
+    Beyond the enumerated bands the partition of a feature is its leading bits: half as many partitions as the band's
+    largest size.
     """
     k, out = allowed(len(features), similar), []
     rare = frequent.rare(features).astype(np.int64)
     for level in bands(len(features), similar):
-        if 1 << level <= SMALL:
-            part, content, count, held = features, features, rare, np.ones(len(features), np.int64)
+        if level <= ENUMERATED:
+            pairs = _pairs(level, similar)
+            part = (features >> np.uint64(33)).astype(np.int64) % pairs.shape[1]
+            inside = pairs[:, part]
+            content = (inside * features).sum(1, dtype=np.uint64)
+            held = inside.any(1)
+            number = np.arange(len(pairs), dtype=np.uint64)
+            out.append(mixed(content + (number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))[held])
+            single = not held.all()
         else:
             part = features >> np.uint64(65 - level)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             part, content, count, held = part[first], np.add.reduceat(features, first), np.add.reduceat(rare, first), np.diff(first, append=len(features))
-        sign = mixed(content + part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
-        order = np.argsort(-count, kind="stable")
-        strong = int((count > 0).sum())
-        out.append(sign[order[: min(strong, k + 1)]])
-        if strong <= k:
-            out.append(mixed(sign[np.argsort(-held, kind="stable")[: k + 1]] ^ np.uint64(0xD6E8FEB86659FD93)))
+            sign = mixed(content + part * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
+            order = np.argsort(-count, kind="stable")
+            strong = int((count > 0).sum())
+            out.append(sign[order[: min(strong, k + 1)]])
+            if strong <= k:
+                out.append(mixed(sign[np.argsort(-held, kind="stable")[: k + 1]] ^ np.uint64(0xD6E8FEB86659FD93)))
+            single = len(first) <= k
+        if single:
+            out.append(mixed(features[np.argsort(-rare, kind="stable")[: k + 1]] ^ np.uint64(0xC2B2AE3D27D4EB00 + level)))
     return out
 
 

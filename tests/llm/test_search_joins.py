@@ -76,11 +76,11 @@ def test_frequent_lists_never_change_the_result(spark, monkeypatch):
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(2)
     no = jaccard.Frequent(np.empty(0, np.uint64))
-    for size in (4, 7, 16, 40, 64, 90, 128, 129, 200, 255, 256, 500, 1023, 1024, 3000):
-        for _ in range(20):
+    for size in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 16, 17, 20, 31, 32, 40, 64, 90, 128, 129, 200, 255, 256, 500, 1023, 1024, 3000):
+        for _ in range(200 if size < 64 else 20):
             a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
             drop = int(rng.integers(0, size // 7 + 1))
-            add = int(rng.integers(0, size // 10 + 1))
+            add = int(rng.integers(0, max(2, size // 5)))
             b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
             same = len(np.intersect1d(a, b))
             if 4 * same >= 3 * (len(a) + len(b) - same):
@@ -88,6 +88,29 @@ def test_similar_sets_share_a_signature():
                 assert jaccard.close(jaccard.sketch_of(a), jaccard.sketch_of(b), len(a), len(b))
 
 
+def test_sets_in_few_partitions_share_a_signature(monkeypatch):
+    """Sets whose features crowd in few partitions, so that no equal subset of them need hold any, still meet."""
+    rng, no = np.random.default_rng(3), jaccard.Frequent(np.empty(0, np.uint64))
+    met = 0
+    for _ in range(3000):
+        size = int(rng.integers(3, 48))
+        ends = rng.integers(0, 1 << 63, 2).astype(np.uint64) * np.uint64(2)
+        base = np.unique((ends[rng.integers(0, 2, size)] >> np.uint64(58) << np.uint64(58)) + (rng.integers(0, 4, size).astype(np.uint64) << np.uint64(33)) + rng.integers(0, 1 << 20, size).astype(np.uint64))
+        more = np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, 3)) :], (base[:1] >> np.uint64(34) << np.uint64(34)) + rng.integers(0, 1 << 20, int(rng.integers(0, 4))).astype(np.uint64)]))
+        same = len(np.intersect1d(base, more))
+        if 4 * same >= 3 * (len(base) + len(more) - same):
+            met += 1
+            assert set(np.concatenate(jaccard.signatures(base, no)).tolist()) & set(np.concatenate(jaccard.signatures(more, no)).tolist())
+    assert met > 500
+
+
+def test_small_sets_enumerate_subsets():
+    """A set of a small band signs every two of its k + 2 partitions that hold a feature."""
+    features = np.sort(np.random.default_rng(8).integers(1, 1 << 63, 7).astype(np.uint64))
+    own = jaccard._pairs(3, jaccard.SIMILAR)
+    assert own.shape == (6, 4) and (own.sum(1) == 2).all() and 3 <= len(np.concatenate(jaccard.signatures(features, jaccard.Frequent(np.empty(0, np.uint64)))))
+
+
 def test_one_of_each(spark, docs):
     text = " ".join(f"w{i}" for i in range(40))
     table = docs(text, text + " end", "other words here", None, "other words here", ids=[4, 2, 7, 8, 7])
