@@ -196,21 +196,64 @@ def test_chat_blocks_equal_one_pass(spark):
     model = chat.fit(raw, role="true_role")
     got = chat.parse(raw, model).orderBy("conv_id", "turn_no").collect()
     lines = [x for r in sorted((r for r in rows if r[0] == 1), key=lambda r: r[1]) for x in r[2].split("\n")]
-    states = model.path(lines, model.start, None)
+    states = model.paths([chat.codes(lines)])[0]
     want = [chat.STATES[s][0] for s in states if chat.STATES[s][1]]
     assert [r.role for r in got if r.conv_id == 1] == want
     assert [(r.turn_no, r.role, r.text) for r in got if r.conv_id == 2][:2] == [(0, "user", "q0?"), (1, "assistant", "a1")]
     assert got[-1].text == "" and got[-1].conv_id == 3 and got[0].rendered.startswith("<|") and chat.parse(raw.limit(0), model).count() == 0
 
 
+def test_paths_are_the_best_of_all():
+    """Against every sequence of states, by the plain sum of log-probabilities."""
+    import itertools
+
+    rng = np.random.default_rng(7)
+    emit = [np.log(rng.dirichlet(np.ones(len(v)), len(chat.STATES))) for v in chat.FEATURES]
+    start, step = np.log(rng.dirichlet(np.ones(6))), np.log(rng.dirichlet(np.ones(6), 6))
+    model = chat.Model(start, step, emit)
+    samples = ["User: hi?", "plain", "- item", "", "x" * 300, "### Assistant: yes", "[weird] : no"]
+    blocks = [[samples[i] for i in rng.integers(0, len(samples), rng.integers(1, 6))] for _ in range(25)]
+
+    def total(lines, states):
+        value = start[states[0]]
+        for n, (line, s) in enumerate(zip(lines, states)):
+            value += sum(emit[f][s, v] for f, v in enumerate(chat.features(line))) + (step[states[n - 1], s] if n else 0)
+        return value
+
+    for lines, states in zip(blocks, model.paths([chat.codes(x) for x in blocks])):
+        assert np.isclose(total(lines, states), max(total(lines, t) for t in itertools.product(range(6), repeat=len(lines))))
+
+
+def test_chat_edges(spark, monkeypatch):
+    """Null ids and numbers, repeated rows, equal numbers, a very long text, an empty table and clashing columns."""
+    rows = [(1, 0, "User: a"), (1, 1, "Bot: b"), (2, 0, "User: x"), (2, 0, "User: x"), (2, 0, "Bot: w"), (None, 0, "User: n"), (None, 5, "User: n"), (3, None, "Bot: z"), (3, 1, None), (4, 0, "User: " + "line\n" * 9000 + "Bot: end"), (5, -70, "User: p"), (5, 70, "Bot: q")]
+    raw = spark.createDataFrame([(*r, "r", "t", 9) for r in rows], "conv_id long, turn long, text string, role string, rendered string, block int")
+    labelled = spark.createDataFrame([(i, t, f"{r.title()}: {w}" if t < 2 else w, r) for i in range(30) for t, (r, w) in enumerate([("user", "line"), ("assistant", "b")])], "conv_id long, turn long, text string, true_role string")
+    model = chat.fit(labelled, role="true_role")
+    got = {}
+    for r in chat.parse(raw, model).collect():
+        got.setdefault(r.conv_id, []).append((r.turn_no, r.role, r.text))
+    assert sorted(got[1]) == [(0, "user", "a"), (1, "assistant", "b")] and sorted(got[2])[0] == (0, "assistant", "w") and sum(t[2].count("x") for t in got[2]) == 2
+    assert sorted(got[None]) == [(0, "user", "n"), (0, "user", "n")] and sorted(t[::2] for t in got[3]) == [(0, ""), (0, "z")]
+    assert sorted(got[5]) == [(0, "user", "p"), (1, "assistant", "q")] and sum(t[2].count("line") for t in got[4]) == 9000
+    whole = sorted(chat.parse(raw, model).collect(), key=str)
+    monkeypatch.setattr(chat, "LINES", 7)
+    assert sorted(chat.parse(raw, model).collect(), key=str) == whole
+    assert chat.parse(raw.limit(0), model).count() == 0 and chat.parse(raw, chat.fit(labelled.limit(0), role="true_role")).count() > 0
+
+
 def test_chat_query(spark):
+    """On transcripts that the model has not counted."""
     sf = SMALL.replace("0.001", "0.01")
-    got = queries.op1_chat_hmm(spark, sf)
-    true = spark.read.parquet(f"{sf}/conversations.parquet")
-    n = true.groupBy("conv_id").count().join(got.groupBy("conv_id").count().withColumnRenamed("count", "m"), "conv_id").collect()
-    assert len(n) == true.select("conv_id").distinct().count() and np.mean([r["count"] == r["m"] for r in n]) > 0.7
-    pairs = true.join(got.selectExpr("conv_id", "turn_no as turn", "role as found"), ["conv_id", "turn"]).collect()
-    assert np.mean([r.role == r.found for r in pairs]) > 0.95
+    raw = chat.as_transcripts(spark.read.parquet(f"{sf}/conversations.parquet"))
+    fold = chat.F.expr("pmod(xxhash64(conv_id, 'fold'), 2)")
+    held = raw.where(fold == 1)
+    got = chat.parse(held, chat.fit(raw.where(fold == 0), role="true_role"))
+    n = held.groupBy("conv_id").count().join(got.groupBy("conv_id").count().withColumnRenamed("count", "m"), "conv_id").collect()
+    assert len(n) == held.select("conv_id").distinct().count() and np.mean([r["count"] == r["m"] for r in n]) > 0.7
+    pairs = held.join(got.selectExpr("conv_id", "turn_no as turn", "role as found"), ["conv_id", "turn"]).collect()
+    assert np.mean([r.true_role == r.found for r in pairs]) > 0.95
+    assert queries.op1_chat_hmm(spark, sf).select("conv_id").distinct().count() == raw.select("conv_id").distinct().count()
 
 
 def _spelled(word, ratio, backoff):
