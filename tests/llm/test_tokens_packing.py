@@ -40,6 +40,22 @@ def test_automaton_equals_the_merge_loop(seed):
     shown = bpe.byte_symbols()
     vocabulary = {s: i for i, s in enumerate([*known, *(c for c in shown if c not in known), *(c + "</w>" for c in shown if c + "</w>" not in known)])}
     automaton = bpe.Automaton(vocabulary, merges)
+
+    def merged(parts):
+        for a, b in merges:
+            i = 0
+            while i < len(parts) - 1:
+                if (parts[i], parts[i + 1]) == (a, b):
+                    parts[i : i + 2] = [a + b]
+                i += 1
+        return parts
+
+    spelled = lambda t: [*t.removesuffix("</w>")[:-1], t.removesuffix("</w>")[-1] + "</w>"] if t.endswith("</w>") else [*t]
+    alone = [t for t in known if merged(spelled(t)) == [t]]
+    for t in alone:  # the table has an arc exactly where BPE keeps both tokens
+        for x in alone:
+            if not t.endswith("</w>"):
+                assert automaton.has_arc(vocabulary[t], vocabulary[x]) == (merged(spelled(t) + spelled(x)) == [t, x]), (t, x)
     for _ in range(60):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
         parts = [*word[:-1], word[-1] + "</w>"]
@@ -56,7 +72,7 @@ def test_token_query(spark):
     rows = {r.doc_id: r for r in queries.op7_bpe_automaton(spark, SMALL).collect()}
     import hashlib
 
-    for d in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect():
+    for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
         e = WORDS.encode(d.text, add_special_tokens=False)
         assert rows[d.doc_id].n_tokens == len(e.ids) and rows[d.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest()
         assert rows[d.doc_id].decoded_sha256 == hashlib.sha256(WORDS.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
@@ -68,6 +84,12 @@ def test_token_edges(spark, docs):
     assert bpe.encode_documents(docs("a").limit(0)).count() == 0
 
 
+def test_token_repeats_and_clashes(spark, docs):
+    table = docs("Ab ab", "Ab ab", "x" * 5000 + " y", ids=[3, 3, 4]).selectExpr("*", "1 as n_tokens", "'z' as ids")
+    rows = bpe.digest_documents(table).collect()
+    assert sorted(r.doc_id for r in rows) == [3, 3, 4] and len({r.ids_sha256 for r in rows}) == 2 and bpe.encode_documents(table).columns == ["doc_id", "ids", "decoded"]
+
+
 def places(rows):
     bins = {}
     for size, lo, hi, first, copies, offset in rows:
