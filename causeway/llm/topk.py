@@ -1,6 +1,6 @@
 """Exact top-k inner products by norm-bucketed retrieval (after Teflioudi, Gemulla and Mykytiuk, 2015).
 
-Vectors are grouped by length into buckets of bounded size. A query's k-th best score in the longest bucket is its first
+Vectors are grouped by length into buckets of bounded size. A query's k-th best score in the longest buckets is its first
 threshold. For each bucket the threshold gives a local one on the cosine: above 1 the bucket holds nothing; otherwise
 the task takes coordinate pruning where a focus coordinate leaves few vectors, and length pruning (a prefix of the
 vectors, longest first) where it does not. Inner products of all that is left are computed exactly.
@@ -8,6 +8,7 @@ vectors, longest first) where it does not. Inner products of all that is left ar
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -20,6 +21,8 @@ from .common import materialize, sliced
 
 SCALE = 1024
 BUCKET_ROWS, QUERY_ROWS = 16_384, 32_768
+#: Buckets that give the first thresholds, and the least rows of a bucket: smaller tables are spread over the cores.
+SEEDS, LEAST_ROWS = 4, 1024
 EXACT = 1 << 53
 LONG = (1 << 63) - 1
 
@@ -129,15 +132,21 @@ def search_bucket(ids: np.ndarray, v: np.ndarray, norms: np.ndarray, query_ids:
     return out
 
 
-def top_k(df: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(df: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", bucket_rows: int | None = None, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: of every row whose id ``every`` divides, the k highest integer inner products.
 
     All rows but the query's own are candidates; ties go to smaller ids. Vectors of unequal dimensions are compared as if
-    the shorter ended in zeros. Tasks hold one bucket and one block of queries, both of bounded size.
+    the shorter ended in zeros. Null vectors, ids and components take no part; an empty table has no rows; other columns
+    are not read. Ids are taken to be distinct: repeated ones are candidates each, but not of each other, and the queries
+    among them are one query with their lists together. Tasks hold one bucket and one block of queries, both of bounded
+    size (``bucket_rows``, by default from the rows and cores, BUCKET_ROWS at most).
     """
     vectors = materialize(scaled(df, key, vector), "vectors").withColumn("level", F.floor(F.log2(F.col("norm") + 1) * 4).cast("int"))
     counts = {r[0]: (r[1], r[2]) for r in vectors.groupBy("level").agg(F.count("*"), F.max("norm")).collect()}  # some hundred levels at most
     spark = df.sparkSession
+    if bucket_rows is None:
+        total = sum(n for n, _ in counts.values())
+        bucket_rows = max(LEAST_ROWS, min(BUCKET_ROWS, total // (2 * spark.sparkContext.defaultParallelism)))
     splits = {level: -(-n // bucket_rows) for level, (n, _) in counts.items()}
     table = spark.createDataFrame([(level, s) for level, s in splits.items()] or [(0, 1)], "level int, splits int")
     placed = vectors.join(F.broadcast(table), "level").withColumn("split", F.expr("cast(pmod(xxhash64(vec_id), splits) as int)")).drop("splits")
@@ -160,13 +169,18 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vec
 
         return run
 
-    longest = max(counts, key=lambda level: counts[level][1], default=0)
-    seed = placed.where((F.col("level") == longest) & (F.col("split") == 0)).withColumn("block", all_blocks)
-    first = seed.groupBy("block").cogroup(queries.groupBy("block")).applyInPandas(pruned(False), out)
-    floors = materialize(first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least").cast("double")).alias("floor")), "floors")
+    by_length = sorted(counts, key=lambda level: -counts[level][1])
+    seeds = [(level, part) for level in by_length[:SEEDS] for part in range(splits[level])][:SEEDS]
+    chosen = F.array(*(F.struct(F.lit(level).alias("level"), F.lit(part).alias("split")) for level, part in seeds)) if seeds else F.array().cast("array<struct<level:int,split:int>>")
+    seed = placed.where(F.array_contains(chosen, F.struct("level", "split"))).withColumn("block", all_blocks)
+    asked = queries.crossJoin(F.broadcast(spark.createDataFrame(seeds or [(0, 0)], "level int, split int")))  # SEEDS rows
+    first = seed.groupBy("level", "split", "block").cogroup(asked.groupBy("level", "split", "block")).applyInPandas(pruned(False), out)
+    nth = first.selectExpr("query_id", "score", "row_number() over (partition by query_id order by score desc) as nth").where(F.col("nth") == k)
+    floors = materialize(nth.select("query_id", F.col("score").cast("double").alias("floor")), "floors")
     queries = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    buckets = spark.createDataFrame([(level, s, counts[level][1]) for level, n in splits.items() for s in range(n)] or [(0, 0, 0.0)], "level int, split int, longest double")
-    sent = queries.join(F.broadcast(buckets), (F.col("floor") <= 0) | (F.col("qnorm") * F.col("longest") * (1 + 1e-9) >= F.col("floor")))
+    levels = F.from_json(F.lit(json.dumps([{"level": level, "splits": n, "longest": counts[level][1]} for level, n in splits.items()])), "array<struct<level:int,splits:int,longest:double>>")
+    reached = F.filter(levels, lambda x: (F.col("floor") <= 0) | (F.col("qnorm") * x["longest"] * (1 + 1e-9) >= F.col("floor")))
+    sent = queries.withColumn("x", F.explode(reached)).select("*", F.col("x.level").alias("level"), F.explode(F.sequence(F.lit(0), F.col("x.splits") - 1)).alias("split")).drop("x")
     keys = ["level", "split", "block"]
     found = placed.withColumn("block", all_blocks).groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(pruned(True), out)
     ranked = found.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank", "vec_id", "score")

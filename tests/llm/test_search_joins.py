@@ -157,6 +157,18 @@ def test_top_k_few_and_large(spark):
     assert got[(0, 1)] == (5, topk.LONG) and len(got) == 4 and topk.top_k(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_top_k_repeats(spark):
+    """Repeated ids are one query and candidates each; the seeds' thresholds lose nothing."""
+    rng = np.random.default_rng(12)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4)]) for i in [*range(300), 7, 7, 100]]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), bucket_rows=40).collect()
+    whole = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    for q in (0, 200):
+        best = sorted((-sum(a * b for a, b in zip(whole[q][1], v)), i) for i, v in whole if i != q)[:10]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == best
+    assert sum(r.query_id == 100 for r in got) == 10
+
+
 def test_coordinate_pruning_is_used_and_exact():
     rng = np.random.default_rng(6)
     v = np.floor(1000 * np.eye(8)[rng.integers(0, 8, 4000)] + rng.normal(size=(4000, 8)) * 30)
