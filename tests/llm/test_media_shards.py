@@ -50,6 +50,57 @@ def test_vbri_and_variable_rates():
     assert stream.table == "VBRI" and stream.table_frames == 3 and stream.table_bytes == 5000 and [h.kbits for h in stream.headers] == [64, 128, 320]
 
 
+    entries = frame(9, bytes(32) + b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (3).to_bytes(4, "big") + bytes([0, 2, 0, 3, 0, 2, 0, 1, 0, 50, 0, 70]))
+    assert media.parse(entries + frame(5) + frame(9)).seek_points == [417, 417 + 150]
+
+
+def test_info_table_gives_seek_points():
+    data = media.encode(media.padded(b"x" * 576 * 500))
+    stream = media.parse(data)
+    at = data.index(b"Info") - 4 - media.SIDE
+    assert stream.table == "Info" and len(stream.seek_points) == 100 and stream.seek_points[:2] == [at, at + 2 * 672 * 501 // 256] and max(stream.seek_points) < len(data)
+
+
+def crc_by_division(bits):
+    """The remainder of the bits, begun with ones, by the polynomial, as one long division."""
+    value = int("".join(map(str, bits)) + "0" * 16, 2) ^ 0xFFFF << len(bits)
+    for i in range(len(bits) + 15, 15, -1):
+        if value >> i & 1:
+            value ^= 0x18005 << i - 16
+    return value
+
+
+# header bytes, and the bits that the checksum covers after the header when the allocation is all zero, and when one subband's is one
+CASES = [
+    (b"\xff\xfe\x80\xc0", 128, 0),  # Layer I, mono: 32 subbands of 4 bits
+    (b"\xff\xfe\x80\x00", 256, 0),  # Layer I, stereo
+    (b"\xff\xfe\x80\x50", 4 * (2 * 8 + 24), 0),  # Layer I, joint stereo from subband 8
+    (b"\xff\xfc\xa4\x00", 2 * 88, 2),  # Layer II, 192 kbit/s at 48 kHz: 27 subbands
+    (b"\xff\xfc\xc0\x00", 2 * 94, 2),  # Layer II, 256 kbit/s at 44.1 kHz: 30 subbands
+    (b"\xff\xfc\x24\xc0", 26, 2),  # Layer II, 48 kbit/s mono at 48 kHz: 8 subbands
+    (b"\xff\xfc\x28\xc0", 38, 2),  # Layer II, 48 kbit/s mono at 32 kHz: 12 subbands
+    (b"\xff\xf4\x84\xc0", 75, 2),  # MPEG-2 Layer II, mono
+]
+
+
+@pytest.mark.parametrize("head, covered, selection", CASES)
+def test_checksums_of_layers_one_and_two(head, covered, selection):
+    h = media.header(head)
+    for first in (0, 1):
+        body = bytearray(h.length - 6)
+        body[0] = first << 4  # the first subband of the first channel
+        n = covered + selection * first
+        bits = [int(b) for b in f"{int.from_bytes(head[2:], 'big'):016b}" + "".join(f"{b:08b}" for b in body)[:n]]
+        frame = head + crc_by_division(bits).to_bytes(2, "big") + bytes(body)
+        stream = media.parse(frame * 3)
+        assert (stream.crc_checked, stream.crc_bad, len(stream.offsets)) == (3, 0, 3)
+        wrong = bytearray(frame * 3)
+        wrong[6 + (n - 1) // 8] ^= 128 >> (n - 1) % 8  # the last bit that is covered
+        beyond = bytearray(frame * 3)
+        beyond[6 + (n + 8) // 8] ^= 1
+        assert media.parse(bytes(wrong)).crc_bad == 1 and media.parse(bytes(beyond)).crc_bad == 0
+
+
 def test_media_columns(spark, docs):
     stored = media.store_texts(docs(None, "", "ünï" * 400, "ünï" * 400))
     read = {r.doc_id: r for r in media.read_media(stored.withColumnRenamed("n_bytes", "frames")).collect()}
