@@ -7,18 +7,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINTS = "spark.checkpoint.dir"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session has none, a temporary folder on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``, which every executor can read.
+
+    Only a session on one machine (tests) that names none gets a temporary folder; on a cluster that would be read by no
+    other machine, so it is an error.
+    """
+    found = spark.conf.get(CHECKPOINTS, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINTS} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.conf.set(CHECKPOINTS, found)
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/causeway/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back."""
-    path = f"{shared_dir(df.sparkSession)}/causeway/{tag}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder, read back: lineage ends there.
+
+    A lost executor costs only the tasks that were running on it.
+    """
+    path = f"{session_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> bool:
+    """Delete the tables that this application has written; results that read them have to be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

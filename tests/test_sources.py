@@ -137,3 +137,31 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert take() == [1, 3]
     whole = B.with_hits(spark.read.parquet(str(tmp_path / "in")).dropDuplicates(["doc_id"]), ["quota"], ["texas"]).where((F.size("policy_hits") > 0) & (F.size("gulf_hits") > 0))
     assert whole.count() == 2
+
+
+def test_written_tables_are_discarded(spark):
+    from causeway import shared
+
+    df = shared.written(spark.range(5), "five")
+    assert df.count() == 5 and shared.session_dir(spark).startswith(shared.shared_dir(spark))
+    other = spark.newSession()
+    assert shared.written(other.range(3), "three").count() == 3
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    import pytest
+
+    from causeway import shared
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
