@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import written as materialize  # noqa: F401  the operators' name for it
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Spark's reader resolves the path, wherever it is stored."""
@@ -16,29 +15,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, which every executor can read.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
-
-    A lost executor costs only the tasks that were running on it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/causeway/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows in a record batch that Spark hands to Python; long texts make large batches.
 ARROW_ROWS = 1000
 

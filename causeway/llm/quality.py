@@ -29,7 +29,7 @@ _RUNS = (re.compile("[a-zß-öø-ÿ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+"), re.comp
 def shape(word: str) -> str:
     """Runs of small letters, capitals and digits as a, A, 0; runs of another character as one."""
     small, capital, digit, other = _RUNS
-    return other.sub(r"\1", digit.sub("0", capital.sub("A", small.sub("a", word))))[:24]
+    return other.sub(r"\1", digit.sub("0", capital.sub("A", small.sub("a", word))))
 
 
 def repeats(words: list[str]) -> int:
@@ -95,8 +95,13 @@ def fit_rows(slots: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarr
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, bits: int = BITS) -> Model:
-    """Fit on at most ``max_rows`` rated documents. Null grades are unrated; grades are whole numbers from 0."""
-    sample = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(grade).cast("int").alias("_grade")).orderBy(F.xxhash64("_id"), "_id", "_grade").limit(max_rows)
+    """Fit on at most ``max_rows`` rated documents, those with the least hash of their id.
+
+    Null grades and ids are unrated; grades are whole numbers from 0. Of ratings that repeat an id the highest counts, of
+    documents that repeat one the least text, so each id is one row. Null and empty texts are rows without words.
+    """
+    rated = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(F.col(grade).cast("int")).alias("_grade"))
+    sample = rated.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
 
     def features(batches):
         slots = _slots(bits)
@@ -110,7 +115,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", key: str =
                 values.append((n / max(1, len(words))).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(grades, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], names=["grade", "slots", "counts"])
 
-    joined = docs.select(F.col(key).alias("_id"), whole_text(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_grade")
+    joined = docs.select(F.col(key).alias("_id"), whole_text(text).alias("_text")).join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_grade").alias("_grade")).select("_text", "_grade")
     found = joined.mapInArrow(features, "grade int, slots binary, counts binary").collect()  # at most max_rows
     found.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     grades = np.array([r[0] for r in found], np.int64)
@@ -142,7 +147,8 @@ NEW = ("expected_grade", "tail_probability", "keep")
 def score(df: DataFrame, model: Model, at_least: int = 1, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """``df`` with expected_grade, tail_probability (grade >= at_least) and keep (1 if that is >= threshold).
 
-    Null and empty texts get the thresholds' own probabilities. Columns of these names in ``df`` are replaced.
+    Null and empty texts get the thresholds' own probabilities. Texts of any length are read whole; rows with equal texts
+    get equal values. Columns of these names in ``df`` are replaced, all others stay. An empty table gives no rows.
     """
     kept = [f for f in df.schema.fields if f.name not in NEW]
     schema = StructType([*kept]).add("expected_grade", DoubleType()).add("tail_probability", DoubleType()).add("keep", IntegerType())

@@ -4,8 +4,9 @@ Two interpolated Kneser-Ney models, one of toxic and one of ordinary documents,
 characters (and shorter ones at a word's start) with class counts, lower orders with continuation counts. Below them both share one backoff, whose trigram
 counts are the distinct words of the whole corpus that hold a trigram; a rare expression, or one that neither class
 has seen, is scored by what the shared part and the contexts say, and alike in both where they say nothing. The
-log-likelihood ratios of a document's words are compared after division by its length; a logistic calibration on
-labelled documents that the models have not counted makes a probability of it.
+log-likelihoods of a document's words are compared after division by the length, over the whole document and over the
+stretches of some lengths in which toxic leads most (a long document may be toxic in one place); a logistic calibration
+on labelled documents that the models have not counted makes a probability of them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ LOW, HIGH = 4, 6
 CACHE = 100_000
 #: Longer chunks are not kept in a cache; characters that are scored at a time; texts that are.
 LONG, PIECE, TEXTS = 256, 1 << 16, 200
-DISCOUNT, CLEAR, FEATURES = 0.75, (1.5, 2.5), 6
+#: Lengths in words at which a document's stretches are compared, beside its whole.
+STRETCHES = (1, 4, 16, 64)
+DISCOUNT, FEATURES = 0.75, 2 + len(STRETCHES)
 START, END = "\x02", "\x03"
 EDGES = string.punctuation + "«»„“”‚‘’…–—¡¿·"
 
@@ -118,22 +121,23 @@ class Model:
         return Lookup(self)
 
     def features(self, texts: list[str], lookup: Lookup) -> np.ndarray:
-        """A row a text. Ratios by length: of the document, and of what is clearly toxic in it at two levels, by length and in all."""
+        """A row a text: the log-likelihood ratio divided by the length, of the whole document and of the stretches of each length in which it is highest; and the length."""
         rows = np.zeros((len(texts), FEATURES))
         for first in range(0, len(texts), TEXTS):
             split = [text.split() for text in texts[first : first + TEXTS]]
             lookup.fill(set().union(*split))
             for i, chunks in enumerate(split, first):
                 if chunks:
-                    ratio = np.fromiter(map(lookup.__getitem__, chunks), np.float64, len(chunks))
-                    clear = [np.maximum(ratio - level, 0) for level in CLEAR]
-                    rows[i] = [ratio.mean(), *(math.sqrt(c.mean()) for c in clear), *(math.log1p(c.sum()) for c in clear), math.log1p(len(ratio))]
+                    total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(lookup.__getitem__, chunks), np.float64, len(chunks)))])
+                    n = len(chunks)
+                    best = [(total[w:] - total[:-w]).max() / w for w in (min(w, n) for w in STRETCHES)]
+                    rows[i] = [total[-1] / n, *best, math.log1p(n)]
         return rows
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         """Calibrated scores; a text without words has the share of toxic documents among those of the calibration."""
         p = 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -500, 500)))
-        return np.where(features[:, -1] == 0, self.prior, p)
+        return np.round(np.where(features[:, -1] == 0, self.prior, p), 12)
 
 
 def _words(batches):
@@ -312,11 +316,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     """Fit on labelled documents whose crc32 of the id as text is not 1 modulo 3; other labels are never read.
 
     Two thirds of them give the classes' counts and one third the calibration. Without toxic labels every score is low.
+    Of labels that repeat an id the highest counts, of documents that repeat one the least text, so the sample is of
+    2 * ``max_docs`` documents at most. Null ids and labels are not read. The counts do not depend on the layout of rows.
     """
-    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col(key).cast("string")) % 3 != 1)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_toxic")).withColumn("_hash", F.xxhash64("_id"))
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col(key).cast("string")) % 3 != 1)).groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_toxic")).withColumn("_hash", F.xxhash64("_id"))
     picked = [usable.where(F.col("_toxic") == c).orderBy("_hash", "_id").limit(max_docs) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1]).withColumn("_fold", F.expr("pmod(_hash, 3)")).drop("_hash")
-    bodies = materialize(docs.select(F.col(key).alias("_id"), whole_text(text).alias("text")).join(F.broadcast(sample), "_id").select("text", F.col("_toxic").alias("toxic"), F.col("_fold").alias("fold")), "toxicity-sample")
+    bodies = materialize(docs.select(F.col(key).alias("_id"), whole_text(text).alias("text")).join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"), F.max("_fold").alias("fold")).drop("_id"), "toxicity-sample")
     words = bodies.where("fold > 0").select("text", "toxic").mapInArrow(_words, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     level = words.mapInArrow(_grams, "g string, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     level = materialize(level, "toxicity-grams")
@@ -331,8 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         grams = grams.unionByName(level)
     grams = materialize(grams, "toxicity-levels").withColumn("context", F.expr("substring(g, 1, length(g) - 1)"))
     totals = grams.groupBy("context").agg(F.sum("n0"), F.sum("n1"), F.count(F.when(F.col("n0") > 0, 1)), F.count(F.when(F.col("n1") > 0, 1)))
-    held = grams.select("g", "n0", "n1").toArrow()  # grows with the sample, of at most MAX_DOCS documents a class, alone
-    ratio, backoff = _ratios(held, totals.toArrow(), _shared(docs, text, held.column(0).to_pylist()))
+    held = grams.select("g", "n0", "n1").toArrow().sort_by("g")  # grows with the sample, of at most MAX_DOCS documents a class, alone
+    ratio, backoff = _ratios(held, totals.toArrow().sort_by("context"), _shared(docs, text, held.column(0).to_pylist()))
     model = Model(ratio, backoff, np.zeros(FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -372,9 +378,12 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
 
 
 def score_documents(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every row of ``df``, repeated ones too; other columns are not read.
+
+    Null texts are empty, and a null id is held out by no remainder: false. An empty table gives no rows.
+    """
     scored = score(df.select("doc_id", whole_text().alias("text")), fit(df, labels))
-    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def select(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -35,8 +35,47 @@ def test_quality_edges(spark, docs):
 
 
 def test_quality_query(spark):
-    rows = queries.op3_ordinal_quality(spark, SMALL.replace("0.001", "0.01")).join(spark.read.parquet(SMALL.replace("0.001", "0.01") + "/labels.parquet"), "doc_id").collect()
-    assert np.mean([r.keep == r.quality for r in rows]) > 0.97
+    """Held-out accuracy: half of the ratings are fitted, the other half scored."""
+    sf = SMALL.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    fold = quality.F.expr("pmod(xxhash64(doc_id, 'fold'), 2)")
+    rows = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels.where(fold == 0))).join(labels.where(fold == 1), "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r.keep == r.quality for r in rows]) > 0.95
+    assert queries.op3_ordinal_quality(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_quality_likelihood_against_a_search():
+    """The fitted model is better than its neighbours by the penalised likelihood, computed plainly."""
+    rng = np.random.default_rng(2)
+    slots = [np.array(sorted(rng.choice(6, 3, replace=False))) for _ in range(120)]
+    counts = [np.full(3, 1.0) for _ in slots]
+    grades = np.array([min(2, int((s < 3).sum() * 0.8 + rng.random())) for s in slots])
+    model = quality.fit_rows(slots, counts, grades, 3, bits=3, l2=0.01, steps=3000, rate=0.05)
+
+    def loss(w, cut):
+        total = 0.005 * (w * w).sum()
+        for s, c, g in zip(slots, counts, grades):
+            x = (w[s] * c).sum()
+            below = lambda k: 1.0 if k == 3 else 0.0 if k == 0 else 1 / (1 + np.exp(-(cut[k - 1] - x)))
+            total -= np.log(below(g + 1) - below(g)) / len(grades)
+        return total
+
+    best = loss(model.weights, model.thresholds)
+    for _ in range(200):
+        d, e = rng.normal(size=8) * 0.05, rng.normal(size=2) * 0.05
+        assert loss(model.weights + d * (model.weights != 0), model.thresholds + e) > best - 1e-4
+    assert model.thresholds[0] < model.thresholds[1]
+
+
+def test_quality_repeats_and_clashes(spark):
+    """Ids that repeat are one row of the fit; a very long text and columns of the result's names do no harm."""
+    rows = [(i, f"good {i} text" if i % 2 else "%%% bad") for i in range(40)] + [(1, "good 1 text")] * 50 + [(99, "w" * 100_000 + " good" * 50_000)]
+    docs = spark.createDataFrame([(*r, "c", "d") for r in rows], "doc_id long, text string, keep string, expected_grade string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(1, 1, 0)] * 9, LABEL)
+    once = quality.fit(docs.dropDuplicates(["doc_id"]), labels.dropDuplicates(["doc_id"]))
+    model = quality.fit(docs, labels)
+    assert np.array_equal(model.weights, once.weights) and quality.score(docs, model).columns == ["doc_id", "text", "expected_grade", "tail_probability", "keep"]
+    assert quality.score(docs, model).count() == len(rows)
 
 
 def test_toxicity(spark):
@@ -72,10 +111,89 @@ def test_kneser_ney_formula():
     base = (1 - 0.75) / 4 + 0.75 * 3 / 4 * two  # bca: one of four, three kinds after bc
     p0, p1 = (2 - 0.75) / 3 + 0.75 * 2 / 3 * base, (1 - 0.75) / 1 + 0.75 * base
     assert np.isclose(ratio["abca"], np.log(p1 / p0)) and np.isclose(backoff["abc"], np.log(0.75 / 0.5))
-    model = toxicity.Model(ratio, backoff, np.zeros(7))
+    model = toxicity.Model(ratio, backoff, np.zeros(toxicity.FEATURES + 1))
     assert model.word("") == 0.0 and model.word("zzz") == 0.0 and np.isclose(model.word("xabcz"), backoff["abc"])
 
 
+def test_stretches_are_compared_by_length():
+    """The ratio by length of the whole and of the best stretches, by their definition."""
+    model = toxicity.Model(toxicity.Grams(toxicity.hashes(["aaaa"]), np.array([2.0])), toxicity.Grams(toxicity.hashes(["aaa"]), np.array([0.0])), np.zeros(6))
+    words = ["b"] * 30 + ["xaaaa"] * 3 + ["b"] * 7 + ["aaaaa"] * 2
+    ratio = [model.word(w) for w in words]
+    assert max(ratio) > 0
+    want = [sum(ratio) / len(ratio)] + [max(sum(ratio[i : i + w]) for i in range(len(ratio) - w + 1)) / w for w in (1, 4, 16, len(ratio))] + [np.log1p(len(ratio))]
+    assert np.allclose(model.features([" ".join(words), ""], model.lookup()), [want, [0] * 6])
+
+
+def test_models_equal_brute_force(spark):
+    """Kneser-Ney by its recursion on strings, from the labelled texts and the corpus's distinct words, against the fitted tables."""
+    from collections import Counter
+
+    rng = random.Random(21)
+    ids = [i for i in range(150) if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = {i: " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(6)) for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], LABEL)
+    model = toxicity.fit(docs.repartition(5), labels)
+    fold = {r._id: r.f for r in docs.selectExpr("doc_id as _id", "pmod(xxhash64(doc_id), 3) as f").collect()}
+    S, E, D = toxicity.START, toxicity.END, toxicity.DISCOUNT
+    shared = Counter()
+    for w in {w for t in texts.values() for w in t.split()}:
+        spelled = S + w + E
+        for at in range(len(spelled) - 2):
+            shared[spelled[at : at + 3]] += 1  # every place of a distinct word
+    level = {c: {n: Counter() for n in range(2, 7)} for c in (0, 1)}
+    for i, t in texts.items():
+        if fold[i]:
+            for w in set(t.split()):
+                spelled = S + w + E
+                for end in range(2, len(spelled) + 1):
+                    g = spelled[max(0, end - 6) : end]
+                    if len(g) == 6 or g[0] == S:
+                        level[i % 2][len(g)][g] += 1
+    for c in (0, 1):  # lower orders: kinds of what stands before; at a word's start, documents
+        for n in (5, 4):
+            for g in level[c][n + 1]:
+                level[c][n][g[1:]] += 1
+
+    def backoff(g):
+        if len(g) == 1:
+            last, every = Counter(), sum(shared.values())
+            for x, k in shared.items():
+                last[x[2]] += k
+            return (last[g] + 1) / (every + len(last) + 256)
+        if len(g) == 2:
+            n = sum(k for x, k in shared.items() if x[:2] == g)
+            all_, kinds = sum(k for x, k in shared.items() if x[0] == g[0]), len({x[1] for x in shared if x[0] == g[0]})
+        else:
+            n, all_, kinds = shared[g], sum(k for x, k in shared.items() if x[:2] == g[:2]), len({x[2] for x in shared if x[:2] == g[:2]})
+        return max(n - D, 0) / all_ + D * kinds / all_ * backoff(g[1:]) if all_ else backoff(g[1:])
+
+    def p(c, g):
+        if len(g) < 4 and g[0] != S or len(g) == 1:
+            return backoff(g)
+        table = level[c][len(g)]
+        total, kinds = sum(k for x, k in table.items() if x[:-1] == g[:-1]), sum(x[:-1] == g[:-1] for x in table)
+        return max(table[g] - D, 0) / total + D * kinds / total * p(c, g[1:]) if total else p(c, g[1:])
+
+    grams = sorted({g for c in (0, 1) for n in level[c] for g in level[c][n]})
+    got, held = model.ratio.find(toxicity.hashes(grams))
+    assert held.all() and len(model.ratio) == len(grams)
+    some = [i for i in range(len(grams)) if i % 5 == 0 or len(grams[i]) < 5]
+    assert np.allclose(got[some], [np.log(p(1, grams[i]) / p(0, grams[i])) for i in some])
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    sf = SMALL
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    extra = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "word"), (7, "x" * 10_000 + " " + "y" * 70_000)], "doc_id long, text string")).withColumn("score", toxicity.F.lit("clash"))
+    found = []
+    for parts in (1, 7, 211):
+        rows = toxicity.score_documents(extra.repartition(parts), labels.repartition(3)).collect()
+        found.append(sorted((r.doc_id is None, r.doc_id or 0, r.score, r.predicted, r.held_out) for r in rows))
+    assert found[0] == found[1] == found[2] and sum(x[0] for x in found[0]) == 1 and not any(x[4] for x in found[0] if x[0])
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], LABEL)
     assert [r.predicted for r in toxicity.score_documents(docs("a b c", None), none).collect()] == [0, 0] and toxicity.score_documents(docs("a").limit(0), none).count() == 0
