@@ -187,12 +187,12 @@ def _surveyed(batches):
     for batch in sliced(batches):
         kind = batch.schema.field(0).type
         nodes, sizes, sketches = [], [], []
-        for body in batch.column(1).to_pylist():
+        for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             features = shingles(body)
-            node = node_of(features) if len(features) else None
+            node = node_of(features) if len(features) and doc is not None else None
             nodes.append(node)
             sizes.append(len(features))
-            sketches.append(sketch_of(features).tobytes() if len(features) else None)
+            sketches.append(sketch_of(features).tobytes() if node is not None else None)
             if node is not None and node not in held:
                 held[node] = features
                 size += len(features)
@@ -347,7 +347,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
 
     Texts without words, null ones included, have no shingles and are linked with nothing. Rows with equal sets are one
     node; so many copies cost no more than one. Every link between different sets is either verified or lies within a
-    component that other verified links join. The columns of ``df`` beside key and text are not read.
+    component that other verified links join. A row without an id is linked with nothing and has no component. The columns
+    of ``df`` beside key and text are not read, so their names may clash with anything. An empty table gives no rows.
     """
     spark = df.sparkSession
     p, q = similar
@@ -357,6 +358,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
     docs = survey.where("shingle is null").select("doc_id", "node", "n")
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
+    texts = texts.where("doc_id is not null")
     signed = texts.select("text").mapInArrow(_sign(frequent, similar), "sig long, node long, n int")
     # sets of a group that have another of fitting size beside them, when ordered by size
     near = signed.selectExpr("sig", "node", "n", "lag(struct(n, node)) over (partition by sig order by n, node) as before", "lead(struct(n, node)) over (partition by sig order by n, node) as after")

@@ -209,7 +209,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salt_rows: int = 200_000) ->
     keyed = cut.join(F.broadcast(salts), "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece), salts)"))
     sums = keyed.groupBy("length", "salt").count()
     before = sums.selectExpr("length", "salt", "sum(count) over (partition by length order by salt) - count as base")
-    ranked = keyed.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, start) - 1 as nth").join(before, ["length", "salt"]).withColumn("rank", F.col("nth") + F.col("base"))
+    ranked = keyed.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, start, ids_crc32) - 1 as nth").join(before, ["length", "salt"]).withColumn("rank", F.col("nth") + F.col("base"))
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(r[0], []).append({"hi": r[2], "lo": r[1], "seq": r[3], "copies": r[4], "off": r[5]})
@@ -219,5 +219,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salt_rows: int = 200_000) ->
 
 
 def pack_documents(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenize, cut and pack every row of ``df``; null texts are empty (the end id alone). Repeated rows are packed as often as they come."""
+    """Tokenize, cut and pack every row of ``df``, whole; null texts are empty (the end id alone).
+
+    Repeated rows are packed as often as they come; rows that share an id and differ in text are told apart by ids_crc32.
+    Other columns are not read. An empty table gives no rows.
+    """
     return pack(materialize(pieces(df, capacity, end_id, vocabulary, key, text), "pieces"), capacity)

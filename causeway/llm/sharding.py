@@ -56,10 +56,10 @@ def shard(df: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "tex
     """``key``, ``shard_id`` (bits; '' is the only shard), ``depth``, ``n_bytes`` of every row of ``df``.
 
     A null key counts as the empty string and a null text as empty. Rows of one key share a shard; a key that alone
-    exceeds the limit has a shard to itself. Empty input gives no rows. Other columns are not read, so their names
-    may clash with anything.
+    exceeds the limit has a shard to itself. Repeated rows count as often as they come. Empty input gives no rows. Other
+    columns are not read, so their names may clash with anything, and so may the key's.
     """
-    rows = df.select(F.col(key).alias(key), hash_bits(key).alias("h"), F.octet_length(whole_text(text)).cast("long").alias("bytes"))
+    rows = df.select(F.col(key).alias("_key"), hash_bits(key).alias("h"), F.octet_length(whole_text(text)).cast("long").alias("bytes"))
     rows = materialize(rows, "shard-sizes")
     leaves, bits = directory(rows.select("h", "bytes"), limit_bytes)
     leaves = materialize(leaves, "shard-leaves")
@@ -67,7 +67,7 @@ def shard(df: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "tex
     found = rows.join(leaves.where("not deep").select("cell", F.col("depth").alias("d0")), "cell", "left")
     found = found.join(leaves.where("deep").select(F.col("cell").alias("h"), F.col("depth").alias("d1")), "h", "left").withColumn("depth", F.coalesce("d0", "d1").cast("int"))
     bits_text = F.lpad(F.conv(F.col("h").cast("string"), 10, 2), BITS, "0")
-    return found.select(key, F.substring(bits_text, F.lit(1), F.col("depth")).alias("shard_id"), "depth", F.col("bytes").alias("n_bytes"))
+    return found.select(F.col("_key").alias(key), F.substring(bits_text, F.lit(1), F.col("depth")).alias("shard_id"), "depth", F.col("bytes").alias("n_bytes"))
 
 
 def write_shards(df: DataFrame, path: str, limit_bytes: int, key: str = "doc_id", text: str = "text") -> None:

@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply every stage to the documents table."""
+    """Apply every stage to the documents table.
+
+    Null texts are empty ones for every stage; repeated ids are rows of their own until near copies, which keep one row of
+    an id; a row with a null id is kept by the filters, meets no other row, and is packed. An empty table gives no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

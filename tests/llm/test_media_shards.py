@@ -108,6 +108,12 @@ def test_media_columns(spark, docs):
     assert media.read_media(stored.selectExpr("doc_id", "cast(null as binary) as media")).first().frames == 0 and media.digest_texts(docs("a").limit(0)).count() == 0
 
 
+def test_media_repeats_and_clashes(spark, docs):
+    table = docs("same", "same", "long " * 40_000, ids=[1, 1, 2]).selectExpr("*", "'x' as media_bytes", "1 as feature")
+    rows = media.digest_texts(table).collect()
+    assert len(rows) == 3 and len({r[1:] for r in rows}) == 2 and max(r.n_bytes for r in rows) == 200_000
+
+
 def test_media_query(spark):
     got = {r.doc_id: r for r in queries.op6_mpeg_media(spark, SMALL).collect()}
     for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
@@ -134,6 +140,8 @@ def test_sharding_edges(spark, docs, tmp_path):
     assert len(rows) == 7 and {r.n_bytes for r in rows if r.doc_id in (3, 4)} == {0} and len({r.shard_id for r in rows if r.doc_id == 6}) == 1
     assert len([r for r in rows if r.shard_id == next(x.shard_id for x in rows if x.doc_id == 1)]) == 1
     assert sharding.shard(table.limit(0), 20).count() == 0
+    for name in ("h", "cell", "bytes", "_id"):
+        assert sorted(r[:] for r in sharding.shard(table.withColumnRenamed("doc_id", name), 20, key=name).collect()) == sorted(r[:] for r in rows)
     sharding.write_shards(table, str(tmp_path / "out"), 1000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
 

@@ -36,3 +36,25 @@ def test_stages_against_brute_force(spark):
             break
         assert out.columns == columns
         docs = out
+
+
+def test_odd_rows_pass_all_stages(spark, docs):
+    """Null and repeated ids, null, empty and repeated texts and a further column, end to end; and an empty table."""
+    import corpus_pipeline as P
+
+    sf = SMALL.replace("0.001", "0.01")
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    good = [r.text for r in whole.where("length(text) between 300 and 2000").orderBy("doc_id").limit(40).collect()]
+    texts = [*good, None, "", None, good[0], good[1]]
+    ids = [*range(10**6, 10**6 + len(good)), 10**6 + 900, 10**6 + 901, None, None, 10**6 + 1]
+    table = docs(*texts, ids=ids).withColumn("node", quality.F.lit("clash"))
+    for empty in (False, True):
+        rows = table.limit(0) if empty else table
+        for name, stage in P.STAGES[:-1]:
+            rows = P.materialize(stage(spark, rows, sf), f"odd-{name}")
+            assert rows.columns == table.columns
+        kept = rows.collect()
+        out = P.packed(spark, rows, sf).collect()
+        assert {r.doc_id for r in out} == {r.doc_id for r in kept} and len({(r.sequence_id, r.offset) for r in out}) == len(out) and bool(kept) != empty
+        named = [r.doc_id for r in kept if r.doc_id is not None]
+        assert len(named) == len(set(named))

@@ -111,6 +111,16 @@ def test_small_sets_enumerate_subsets():
     assert own.shape == (6, 4) and (own.sum(1) == 2).all() and 3 <= len(np.concatenate(jaccard.signatures(features, jaccard.Frequent(np.empty(0, np.uint64)))))
 
 
+def test_classes_of_long_texts_and_clashing_columns(spark):
+    """Two near copies of 30,000 words, repeated rows, and columns named as the operator's own."""
+    words = [f"w{i * 7919 % 30011}" for i in range(30_000)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join(["new", *words[:-9]])), (2, " ".join(["new", *words[:-9]])), (3, " ".join(words[:15_000]))]
+    df = spark.createDataFrame([(*r, 5, "s", 0) for r in rows], "doc_id long, text string, node int, sig string, component_id int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.classes(df).collect())
+    assert got == [(0, 29_996, None), (1, 29_996, 1), (2, 29_988, 1), (2, 29_988, 1), (3, 14_996, 3)]
+    assert jaccard.one_of_each(df).columns == df.columns
+
+
 def test_one_of_each(spark, docs):
     text = " ".join(f"w{i}" for i in range(40))
     table = docs(text, text + " end", "other words here", None, "other words here", ids=[4, 2, 7, 8, 7])

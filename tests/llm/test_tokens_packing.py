@@ -157,6 +157,13 @@ def test_packing(spark, docs):
     assert len(rows) == 5 + len(long) and packing.pack_documents(table.limit(0)).count() == 0
 
 
+def test_packing_repeats_and_clashes(spark, docs):
+    """One id with two texts and a repeated row: every piece has one place."""
+    table = docs("one two", "six ten", "one two", ids=[7, 7, 7]).selectExpr("*", "9 as length", "'z' as offset", "1 as salt")
+    rows = packing.pack_documents(table).collect()
+    assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3 and len({r.ids_crc32 for r in rows}) == 2
+
+
 def test_packing_query(spark):
     rows = queries.op5_best_fit_packing(spark, SMALL).collect()
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
