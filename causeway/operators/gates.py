@@ -9,7 +9,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 
 
-def relevant(df: DataFrame, include, exclude=(), text: str = "text") -> DataFrame:
+def relevant(df: DataFrame, include=L.RELEVANCE, exclude=L.EXCLUDE, text: str = "text") -> DataFrame:
     """Rows whose text has an included keyword and no excluded one."""
     keep = T.any_keyword(text, include)
     return df.where(keep & ~T.any_keyword(text, exclude) if exclude else keep)

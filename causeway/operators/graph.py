@@ -49,6 +49,17 @@ def node_strength(edges: DataFrame) -> DataFrame:
     return sums.withColumn("total_strength", o + i).withColumn("role", role)
 
 
+def strongest_nodes(edges: DataFrame, n: int = 5) -> DataFrame:
+    """map_key, concept, total_strength, rank of the ``n`` strongest concepts of each map; ties go by name."""
+    nodes = node_strength(edges).withColumn("total_strength", T.rounded("total_strength", 6))
+    return nodes.selectExpr("map_key", "concept", "total_strength", "row_number() over (partition by map_key order by total_strength desc, concept) as rank").where(F.col("rank") <= n)
+
+
+def representatives(central: DataFrame) -> DataFrame:
+    """map_key, module, concept (the most important of the module, the first by name on ties), from :func:`importance`."""
+    return central.groupBy("map_key", "module").agg(F.min_by("concept", F.struct((-F.col("importance")).alias("i"), "concept")).alias("concept"))
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     """Nodes, edges, average degree 2m/n and density m/(n(n-1)) of each map."""
     n = nodes_of(edges).groupBy("map_key").agg(F.count("*").alias("num_nodes"))

@@ -21,6 +21,7 @@ from ..operators import retrieve as V
 from ..operators import simulate as Z
 from ..shared import written
 from ..streaming import ingest
+from . import hooks
 from . import maps as M
 from .registry import query
 
@@ -452,7 +453,7 @@ def topic_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.topic_label("text").alias("label"))
 
 
-@query("rendered_context", """WITH p AS (SELECT source AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, doc_id, lang, text FROM documents) SELECT query_id, CAST(length(string_agg(concat('[', rank, '] ', doc_id, ' (', lang, ')', chr(10), substr(text, 1, 1100)), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS INTEGER) AS chars, md5(string_agg(concat('[', rank, '] ', doc_id, ' (', lang, ')', chr(10), substr(text, 1, 1100)), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS digest FROM p WHERE rank <= 10 GROUP BY query_id""")
+@query("rendered_context", """WITH p AS (SELECT source AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rank, doc_id, lang, text FROM documents) SELECT query_id, CAST(length(string_agg(concat('[', rank, '] ', doc_id, '  (source type: ', lang, ')', chr(10), substr(text, 1, 1100)), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS INTEGER) AS chars, md5(string_agg(concat('[', rank, '] ', doc_id, '  (source type: ', lang, ')', chr(10), substr(text, 1, 1100)), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS digest FROM p WHERE rank <= 10 GROUP BY query_id""")
 def rendered_context(spark, sf_dir):
     """The first ten documents of each source as a prompt context."""
     d = table(spark, sf_dir, "documents").selectExpr("source as query_id", "row_number() over (partition by source order by doc_id) as rank", "cast(doc_id as string) as source", "lang as source_type", "'' as url", "text").where("rank <= 10")
@@ -613,6 +614,67 @@ def kmeans_clusters(spark, sf_dir):
     return K.assign(v, 3).join(K.project(v), "vec_id").select("vec_id", "cluster", "relationship", "kept", "x", "y")
 
 
+# Labels as clusters, every third vector kept, and documents of the same number as the passages.
+CLUSTER_SQL = """
+v AS (SELECT vec_id, label AS cluster, (vec_id % 7) / 10.0::DOUBLE AS relationship, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 3 = 0),
+p AS (SELECT doc_id AS vec_id, source, text, n_chars / 1000.0::DOUBLE AS score FROM documents),
+e AS (SELECT x.cluster, x.vec_id AS a, y.vec_id AS b, x.relationship AS ra, y.relationship AS rb, list_cosine_similarity(x.e, y.e) AS w FROM v x JOIN v y ON x.cluster = y.cluster AND x.vec_id < y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.3),
+o AS (SELECT cluster, w, CASE WHEN rb > ra THEN b ELSE a END AS s, CASE WHEN rb > ra THEN a ELSE b END AS t FROM e)"""
+
+
+def clustered(spark, sf_dir: str):
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", "label as cluster", "(vec_id % 7) / 10.0D as relationship", "vec_id % 3 = 0 as kept")
+    return vectors, table(spark, sf_dir, "documents").selectExpr("doc_id as vec_id", "source", "text", "n_chars / 1000.0D as score")
+
+
+@query("cluster_map_nodes", f"WITH {CLUSTER_SQL} SELECT concat('m_', vec_id) AS id, source AS label, concat('cluster_', cluster) AS cluster, score AS rag_score, relationship AS relationship_score FROM v JOIN p USING (vec_id)")
+def cluster_map_nodes(spark, sf_dir):
+    """J20."""
+    return K.map_nodes(*clustered(spark, sf_dir))
+
+
+@query("cluster_map_edges", f"WITH {CLUSTER_SQL} SELECT concat('m_', s) AS source_id, concat('m_', t) AS target_id, x.source, y.source AS target, round(w, 6) AS weight, concat('cluster_', cluster) AS cluster FROM o JOIN p x ON x.vec_id = s JOIN p y ON y.vec_id = t")
+def cluster_map_edges(spark, sf_dir):
+    """J20, D16."""
+    return K.map_edges(*clustered(spark, sf_dir), 0.3).withColumn("weight", F.round("weight", 6))
+
+
+@query("cluster_lines", f"WITH {CLUSTER_SQL}, g AS (SELECT cluster, count(*) AS n FROM o JOIN p x ON x.vec_id = s JOIN p y ON y.vec_id = t GROUP BY 1) SELECT concat('cluster_', cluster) AS cluster, count(*) AS size, coalesce(any_value(n), 0) AS relation_lines FROM v JOIN p USING (vec_id) LEFT JOIN g USING (cluster) GROUP BY cluster")
+def cluster_lines(spark, sf_dir):
+    """E14."""
+    vectors, passages = clustered(spark, sf_dir)
+    return K.summaries(vectors, passages, K.map_edges(vectors, passages, 0.3)).select("cluster", "size", "relation_lines")
+
+
+@query("drawn_points", f"""WITH {CLUSTER_SQL} SELECT concat('m_', vec_id) AS id, round(e[1], 6) AS x, round(e[2], 6) AS y, concat(substr(coalesce(text, ''), 1, 100), '...') AS text, source, concat('cluster_', cluster) AS cluster, CASE cluster WHEN 0 THEN '#056F73' WHEN 1 THEN '#27A798' WHEN 2 THEN '#013056' WHEN 3 THEN '#F4F7F6' ELSE '#056F73' END AS color, score AS relationship_score FROM v JOIN p USING (vec_id)""")
+def drawn_points(spark, sf_dir):
+    """C10, D17, with two coordinates as places."""
+    vectors, passages = clustered(spark, sf_dir)
+    return K.points(vectors, passages, vectors.selectExpr("vec_id", "round(cast(embedding[0] as double), 6) as x", "round(cast(embedding[1] as double), 6) as y"))
+
+
+@query("drawn_lines", f"""WITH {CLUSTER_SQL} SELECT round(c.e[1], 6) AS x0, round(c.e[2], 6) AS y0, round(d.e[1], 6) AS x1, round(d.e[2], 6) AS y1, round(w, 6) AS weight, x.source, y.source AS target, concat('cluster_', o.cluster) AS cluster FROM o JOIN p x ON x.vec_id = s JOIN p y ON y.vec_id = t JOIN v c ON c.vec_id = s JOIN v d ON d.vec_id = t""")
+def drawn_lines(spark, sf_dir):
+    """C10, D17."""
+    vectors, passages = clustered(spark, sf_dir)
+    places = K.points(vectors, passages, vectors.selectExpr("vec_id", "round(cast(embedding[0] as double), 6) as x", "round(cast(embedding[1] as double), 6) as y"))
+    return K.lines(K.map_edges(vectors, passages, 0.3), places).withColumn("weight", F.round("weight", 6))
+
+
+@query("strongest_nodes", f"WITH {GRAPH_SQL}, n AS (SELECT map_key, source AS concept, abs(weight) AS w FROM b UNION ALL SELECT map_key, target, abs(weight) FROM b), s AS (SELECT map_key, concept, round(sum(w), 6) AS total_strength FROM n GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY total_strength DESC, concept) AS rank FROM s) WHERE rank <= 5")
+def strongest_nodes(spark, sf_dir):
+    """G11, E9."""
+    return G.strongest_nodes(graph(spark, sf_dir))
+
+
+@query("string_ratios")
+def string_ratios(spark, sf_dir):
+    """Neighbouring part names; tests hold it against the library."""
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    after = names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("after"))
+    return names.join(after, "p_partkey").select("p_partkey", hooks.ratio("p_name", "after").alias("ratio"))
+
+
 # ---- whole plans, streams ------------------------------------------------------------------------------------------
 
 @query("causal_maps")
@@ -800,7 +862,7 @@ def run_summary(spark, sf_dir):
 
 
 @query("question_bundles", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(q::DOUBLE[], embedding::DOUBLE[]) DESC, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query_id)
-SELECT query_id AS map_key, concat('Question: q', query_id, chr(10), chr(10), 'Answer: ', chr(10), chr(10), 'Context:', chr(10), string_agg(concat('passage ', vec_id), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS text FROM s WHERE rank <= 6 GROUP BY query_id""")
+SELECT query_id AS map_key, concat('Question: q', query_id, chr(10), chr(10), 'Answer:', chr(10), chr(10), chr(10), 'Context:', chr(10), string_agg(concat('passage ', vec_id), concat(chr(10), chr(10)) ORDER BY rank)) AS text FROM s WHERE rank <= 6 GROUP BY query_id""")
 def question_bundles(spark, sf_dir):
     """C8, section 3.1: questions with their six nearest passages as the text of a map."""
     v = table(spark, sf_dir, "embeddings").withColumn("text", F.concat(F.lit("passage "), F.col("vec_id").cast("string")))
