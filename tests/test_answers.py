@@ -28,7 +28,7 @@ def test_vectors_have_unit_length(spark):
 
 
 def test_questions_to_maps(spark, passages):
-    asked = spark.createDataFrame([(1, "How does overfishing change fish biomass?"), (2, "hello please"), (3, None), (4, "What of warm water?")], "query_id long, question string")
+    asked = spark.createDataFrame([(1, "What of overfishing and fish biomass?"), (2, "hello please"), (3, None), (4, "What of warm water?")], "query_id long, question string")
     found = {r.query_id: r for r in maps.ask(asked, passages, embed, k=1).collect()}
     assert [found[i].error for i in (1, 2, 3, 4)] == [None, maps.NO_MEANING, maps.NO_TEXT, None]
     assert found[1].sources == ["s0"] and found[4].sources == ["s1"]
