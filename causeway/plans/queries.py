@@ -669,7 +669,7 @@ def strongest_nodes(spark, sf_dir):
 
 @query("string_ratios")
 def string_ratios(spark, sf_dir):
-    """Neighbouring part names; tests hold it against the library."""
+    """Neighbouring part names; a test holds the function to a known ratio."""
     names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     after = names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("after"))
     return names.join(after, "p_partkey").select("p_partkey", hooks.ratio("p_name", "after").alias("ratio"))
