@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, earley, jaccard, media, packing, periods, pii, quality, sharding, topk, toxicity
+from . import bloomlm, bpe, chat, earley, jaccard, media, packing, periods, pii, quality, sharding, topk, toxicity
 from .common import read_table
 
 #: Bytes of text in a shard of the query's tables.
@@ -52,6 +52,10 @@ def op9_extendible_sharding(spark, sf_dir):
     return sharding.shard(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_bloom_lm(spark, sf_dir):
+    return bloomlm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op12_earley_repair(spark, sf_dir):
     return earley.repair_conversations(read_table(spark, sf_dir, "conversations"))
 
@@ -60,5 +64,5 @@ def op13_periodic_runs(spark, sf_dir):
     return periods.digest_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_hmm, op2_bootstrapped_pii, op3_ordinal_quality, op4_norm_bucket_topk, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op8_partenum_jaccard, op9_extendible_sharding, op10_kneser_ney_toxicity, op12_earley_repair, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_hmm, op2_bootstrapped_pii, op3_ordinal_quality, op4_norm_bucket_topk, op5_best_fit_packing, op6_mpeg_media, op7_bpe_automaton, op8_partenum_jaccard, op9_extendible_sharding, op10_kneser_ney_toxicity, op11_bloom_lm, op12_earley_repair, op13_periodic_runs)}
 ORACLES = {"op4_norm_bucket_topk": topk.TOP_K_SQL, "op9_extendible_sharding": sharding.shard_sql(SHARD_BYTES)}
