@@ -31,6 +31,17 @@ def whole_text(col="text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` has it (letter case apart, as Spark resolves)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class BoundedCache(dict):
     """A dict that computes missing values and holds two generations of ``limit`` entries at most.
 

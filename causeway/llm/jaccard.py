@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, whole_text
+from .common import fresh_names, materialize, sliced, whole_text
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -418,12 +418,13 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", broadcas
     the tasks; beyond that the rows are shuffled by id.
     """
     found = materialize(classes(df, key, text), "classes")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    (name,) = fresh_names(df, "_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     few = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    kept = df.join(few(materialize(gone, "gone")), F.col(key) == F.col("_id"), "left_anti")
+    kept = df.join(few(materialize(gone, "gone")), F.col(key) == F.col(name), "left_anti")
     twice = materialize(twice, "twice")
     if not twice.limit(1).count():
         return kept
-    alone = kept.join(few(twice), F.col(key) == F.col("_id"), "left_anti")
-    return alone.unionByName(kept.join(few(twice), F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key, text]))
+    alone = kept.join(few(twice), F.col(key) == F.col(name), "left_anti")
+    return alone.unionByName(kept.join(few(twice), F.col(key) == F.col(name), "left_semi").dropDuplicates([key, text]))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, whole_text
+from .common import fresh_names, materialize, sliced, whole_text
 
 #: The kinds in their order at equal starts, and the fixed patterns of their parts.
 KINDS = ("email", "ip", "card", "phone")
@@ -335,11 +335,12 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
 
         return df.mapInArrow(lambda batches: (replaced(b, spans_of) for b in sliced(batches)), schema)
 
-    found = _with_spans(*learnt).where(F.size("base") + F.size("more") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("base", "more").alias("_all")).dropDuplicates(["_id", "_key"])
+    own, mark, every = fresh_names(df, "_id", "_key", "_all")
+    found = _with_spans(*learnt).where(F.size("base") + F.size("more") > 0).select(F.col("doc_id").alias(own), F.col("text_key").alias(mark), F.struct("base", "more").alias(every)).dropDuplicates([own, mark])
 
     def by_join(batches):
         for batch in sliced(batches):
             spans = [chosen([(x["start"], x["kind"], x["end"]) for x in row["base"]], [(x["c"], x["start"], x["kind"], x["end"]) for x in row["more"]]) if row and row["base"] is not None else [] for row in batch.column(len(names)).to_pylist()]
             yield replaced(batch, lambda i, _: spans[i])
 
-    return df.join(found, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text(text)) == F.col("_key")), "left").drop("_id", "_key").mapInArrow(by_join, schema)
+    return df.join(found, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(whole_text(text)) == F.col(mark)), "left").drop(own, mark).mapInArrow(by_join, schema)

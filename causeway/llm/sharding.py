@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import fresh_names, materialize, whole_text
 
 BITS = 60
 
@@ -72,8 +72,9 @@ def shard(df: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "tex
 
 def write_shards(df: DataFrame, path: str, limit_bytes: int, key: str = "doc_id", text: str = "text") -> None:
     """Write ``df`` as Parquet folders ``shard_id=<bits>``, each of at most ``limit_bytes`` of text (a larger single key apart)."""
-    placed = shard(df, limit_bytes, key, text).select(F.col(key).alias("_key"), F.concat(F.lit("b"), "shard_id").alias("shard_id")).distinct()
-    df.drop("shard_id").join(placed, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    (own,) = fresh_names(df, "_key")
+    placed = shard(df, limit_bytes, key, text).select(F.col(key).alias(own), F.concat(F.lit("b"), "shard_id").alias("shard_id")).distinct()
+    df.drop("shard_id").join(placed, F.col(key).eqNullSafe(F.col(own))).drop(own).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 
 def shard_sql(limit_bytes: int) -> str:
