@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import DEFAULT, Lexicon
+from ..shared import written
+from .segments import numbered, spread
 
 EDGE = ["map_key", "source", "target", "weight", "polarity", "confidence", "evidence", "evidence_doc_id", "edge_type", "hops", "seen"]
 
@@ -27,8 +29,8 @@ def _match(cue: int, weight: float, cause: str, effect: str):
     return lambda z, i: F.struct(F.lit(cue).alias("cue"), i.alias("nth"), F.lit(weight).alias("base"), z["span"].alias("span"), z[cause].alias("cause"), z[effect].alias("effect"))
 
 
-def mentions(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Every valid match of every cue (I2, I7, I8, B14): one row a mention, with its weight and confidence."""
+def cue_matches(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Every match of every cue (I2): sentence columns, cue, nth, base, span and the operands' texts, over all cores."""
     found = []
     for n, (cue, weight, reversed_) in enumerate(lexicon.cues):
         pattern = F.lit(rf"(?i){T.FIRST}\s+{cue}\s+{T.LAST}")
@@ -36,8 +38,33 @@ def mentions(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
         cause, effect = ("two", "one") if reversed_ else ("one", "two")
         # operands are sought only where the cue stands: the patterns backtrack over every word
         found.append(F.when(F.col("sentence").rlike(rf"(?i)\s{cue}\s"), F.transform(parts, _match(n, float(weight), cause, effect))).otherwise(F.array().cast(MATCH)))
-    rows = sentence_rows(chunks).withColumn("m", F.explode(F.concat(*found))).select("*", "m.*").drop("m")
-    rows = T.with_concepts(rows, lexicon, source="cause", target="effect").where(T.valid_pair("source", "target", lexicon))
+    return sentence_rows(spread(chunks)).withColumn("m", F.explode(F.concat(*found))).select("*", "m.*").drop("m")
+
+
+def operands(matches: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """phrase, concept, lemma, words of every distinct operand that is a clean concept (I3, I5, I6): each is judged once."""
+    phrases = spread(matches.select(F.explode(F.array("cause", "effect")).alias("phrase")).distinct())
+    named = T.with_concepts(phrases, lexicon, concept="phrase").where((F.col("concept") != "") & T.clean_concept("concept", lexicon))
+    return named.select("phrase", "concept", T.lemma_key("concept", lexicon).alias("lemma"), F.split(F.lower("concept"), " ").alias("words"))
+
+
+#: Bytes of operands that are sent to every task; more are joined in a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def mentions(chunks: DataFrame, lexicon: Lexicon = DEFAULT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every valid match of every cue (I2, I7, I8, B14): one row a mention, with its weight and confidence.
+
+    Matches are written once and their operands judged once each, however many mentions they have.
+    """
+    matches = written(cue_matches(chunks, lexicon), "cue-matches")
+    names = written(operands(matches, lexicon), "operands")
+    size = names.agg(F.coalesce(F.sum(F.octet_length("phrase") + F.octet_length("concept") * 3 + 64), F.lit(0))).first()[0]
+    names = F.broadcast(names) if size <= broadcast_bytes else names
+    of = lambda side, name: names.select(F.col("phrase").alias(side), F.col("concept").alias(name), F.col("lemma").alias(f"{name}_lemma"), F.col("words").alias(f"{name}_words"))
+    rows = matches.join(of("cause", "source"), "cause").join(of("effect", "target"), "effect")
+    apart = (F.size(F.array_except("source_words", "target_words")) > 0) & (F.size(F.array_except("target_words", "source_words")) > 0)
+    rows = rows.where((F.col("source_lemma") != F.col("target_lemma")) & apart)
     rows = rows.withColumn("weight", T.modulated("base", "span", lexicon)).where(F.abs("weight") >= 0.10)
     return rows.select(
         "map_key", "source", "target", "weight", F.least(F.lit(0.95), F.col("score") + 0.55).alias("confidence"), F.trim("sentence").alias("evidence"),
@@ -82,41 +109,56 @@ def merge_mentions(rows: DataFrame, evidence_limit: int | None = None) -> DataFr
 
 
 def keyword_rows(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """map_key, pos, sentence, polarity, keywords of every sentence that is not blank; ``pos`` counts through a map."""
-    rows = sentence_rows(chunks).where(F.trim("sentence") != "").select("map_key", "chunk_no", "sent_no", "sentence")
-    sums = rows.groupBy("map_key", "chunk_no").count().selectExpr("map_key", "chunk_no", "sum(count) over (partition by map_key order by chunk_no) - count as base")
-    rows = rows.selectExpr("*", "row_number() over (partition by map_key, chunk_no order by sent_no) - 1 as nth").join(sums, ["map_key", "chunk_no"])
+    """map_key, pos, sentence, polarity, keywords of every sentence that is not blank; ``pos`` counts through a map.
+
+    Sentences are in order of chunk, document and place, and numbered in blocks, so one map may be the whole corpus.
+    """
+    rows = sentence_rows(spread(chunks)).where(F.trim("sentence") != "").select("map_key", "chunk_no", "doc_id", "sent_no", "sentence")
     raw = F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit("(?i)" + lexicon.domain), F.lit(0)), lambda x: T.normalized_concept(x, lexicon)))
     good = F.filter(F.filter(raw, lambda k: (k != "") & (k.contains(" ") | (F.length(k) >= 6))), lambda k: T.clean_concept(k, lexicon))
-    return rows.select("map_key", (F.col("base") + F.col("nth")).alias("pos"), F.trim("sentence").alias("sentence"), T.sentence_polarity("sentence", lexicon).alias("polarity"), good.alias("keywords"))
+    rows = rows.select("map_key", "chunk_no", "doc_id", "sent_no", F.trim("sentence").alias("sentence"), T.sentence_polarity("sentence", lexicon).alias("polarity"), good.alias("keywords"))
+    return numbered(rows, ["map_key"], [F.col("chunk_no"), F.col("doc_id"), F.col("sent_no")], "pos").select("map_key", "pos", "sentence", "polarity", "keywords")
+
+
+#: Sentences of a map that one window covers; the next block's first ones come as a halo.
+SPAN = 4096
 
 
-def window_pairs(rows: DataFrame, window: int = 3) -> DataFrame:
+def window_pairs(rows: DataFrame, window: int = 3, span: int = SPAN) -> DataFrame:
     """Hits (map_key, source, target, pos, offset, negative, proximity, evidence) within ``window`` sentences.
 
     A band join as an equi-join on the sentence number. Polarity is sticky: negative if any sentence from the anchor on is.
+    Windows run over blocks of ``span`` numbers of a map, each with the ``window - 1`` sentences that follow it.
     """
-    order = "partition by map_key order by pos"
-    ahead = ", ".join(["polarity", *(f"lead(polarity, {o}, 1) over ({order})" for o in range(1, window))])
-    anchors = rows.selectExpr("map_key", "pos", "sentence", "keywords", f"array({ahead}) as ahead").where("size(keywords) > 0")
+    block = F.floor(F.col("pos") / span)
+    blocks = F.when((F.col("pos") % span < window - 1) & (window > 1), F.array(block - 1, block)).otherwise(F.array(block))
+    dealt = rows.withColumn("_block", F.explode(blocks))
+    frame = "min(polarity) over (partition by map_key, _block order by pos range between current row and {} following)"
+    ahead = ", ".join(["polarity", *(frame.format(o) for o in range(1, window))])
+    anchors = dealt.selectExpr("map_key", "pos", "sentence", "keywords", "_block", f"array({ahead}) as ahead").where((F.size("keywords") > 0) & (F.col("_block") == block)).drop("_block")
     anchors = anchors.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("at", F.col("pos") + F.col("offset"))
     near = rows.where("size(keywords) > 0").select("map_key", F.col("pos").alias("at"), F.col("keywords").alias("others"))
     hits = anchors.join(near, ["map_key", "at"]).withColumn("source", F.explode("keywords")).withColumn("target", F.explode("others"))
     hits = hits.where((F.col("source") != F.col("target")) & ((F.col("offset") > 0) | (F.col("source") < F.col("target"))))
-    return hits.select("map_key", "source", "target", "pos", "offset", (F.array_min(F.slice("ahead", F.lit(1), F.col("offset") + 1)) < 0).alias("negative"), (1.0 / (1 + F.col("offset"))).alias("proximity"), F.col("sentence").alias("evidence"))
+    return hits.select("map_key", "source", "target", "pos", "offset", (F.get("ahead", F.col("offset")) < 0).alias("negative"), (1.0 / (1 + F.col("offset"))).alias("proximity"), F.col("sentence").alias("evidence"))
 
 
 def cooccurrence(chunks: DataFrame, lexicon: Lexicon = DEFAULT, window: int = 3, cap: int = 25) -> DataFrame:
-    """Edges between domain keywords near each other (E4 to E6, G4, I10); ties of the cap by name."""
+    """Edges between domain keywords near each other (E4 to E6, G4, I10); ties of the cap by name.
+
+    The first two sentences of a pair and the first ``cap`` pairs of a map are chosen where they are before they meet.
+    """
     keys = ["map_key", "source", "target"]
-    hits = window_pairs(keyword_rows(chunks, lexicon), window)
+    hits = written(window_pairs(keyword_rows(chunks, lexicon), window), "keyword-pairs")
     sums = hits.groupBy(*keys).agg(T.exact_sum(F.when(F.col("negative"), F.col("proximity")).otherwise(0.0)).alias("neg"), T.exact_sum(F.when(F.col("negative"), 0.0).otherwise(F.col("proximity"))).alias("pos"), F.min(F.struct("pos", "offset")).alias("at"))
-    said = hits.selectExpr(*keys, "pos", "offset", "evidence", "row_number() over (partition by map_key, source, target order by pos, offset) as nth").where("nth <= 2")
-    said = said.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "offset", "evidence"))), lambda x: x["evidence"]), " || ").alias("evidence"))
-    ranked = sums.withColumn("count", F.col("pos") + F.col("neg")).selectExpr("*", "max(count) over (partition by map_key) as top", "row_number() over (partition by map_key order by count desc, source, target) as nth")
-    kept = ranked.where((F.col("nth") <= cap) & ((F.col("count") >= 0.5) | (F.col("top") < 0.5) & (F.col("nth") <= 8)))
+    sums = sums.withColumn("count", F.col("pos") + F.col("neg"))
+    first = sums.selectExpr("*", "row_number() over (partition by map_key order by count desc, source, target) as nth").where(F.col("nth") <= cap)
+    ranked = first.selectExpr("*", "max(count) over (partition by map_key) as top")  # the greatest count is among the first
+    kept = ranked.where((F.col("count") >= 0.5) | (F.col("top") < 0.5) & (F.col("nth") <= 8))
     size = 0.3 + 0.4 * F.col("count") / F.col("top")
     kept = kept.withColumn("weight", T.rounded(F.when(F.col("neg") > F.col("pos"), -size).otherwise(size), 3)).where((F.abs("weight") >= 0.10) & T.valid_pair("source", "target", lexicon))
+    said = hits.join(kept.select(*keys), keys, "left_semi").selectExpr(*keys, "pos", "offset", "evidence", "row_number() over (partition by map_key, source, target order by pos, offset) as nth").where("nth <= 2")
+    said = said.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "offset", "evidence"))), lambda x: x["evidence"]), " || ").alias("evidence"))
     return kept.join(said, keys).select(
         *keys, "weight", F.when(F.col("neg") > F.col("pos"), "negative").otherwise("positive").alias("polarity"), F.lit(0.40).alias("confidence"), "evidence", F.lit(None).cast("string").alias("evidence_doc_id"),
         F.lit("cooccurrence").alias("edge_type"), F.lit(1).alias("hops"), F.format_string("q.%09d.%d.%s", F.col("at.pos"), F.col("at.offset"), F.col("source")).alias("seen"),
@@ -144,23 +186,38 @@ def two_hops(edges: DataFrame, lexicon: Lexicon = DEFAULT, damping: float = 0.7,
     )
 
 
-def ranked(edges: DataFrame, interleaved: bool = False) -> DataFrame:
+def ranked(edges: DataFrame, interleaved: bool = False, segmented: bool = False) -> DataFrame:
     """G1, F1 and, if asked for, G3: ``rank`` within each map by confidence x |weight|; ties by name.
 
-    Interleaved, two positive edges alternate with one negative where a map has both signs.
+    Interleaved, two positive edges alternate with one negative where a map has both signs. ``segmented`` numbers the edges in
+    blocks, for maps too large for one task; a filter on the first ranks needs none, as each task keeps its first ones.
     """
+    score = F.expr("confidence * abs(weight)")
+    if segmented:
+        order = [score.desc(), F.col("source"), F.col("target")]
+        if not interleaved:
+            return numbered(edges, ["map_key"], order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+        by_sign = numbered(edges.withColumn("sign", F.col("weight") >= 0), ["map_key", "sign"], order, "r")
+        every = edges.groupBy("map_key").agg(F.count_if(F.col("weight") >= 0).alias("ups"), F.count_if(F.col("weight") < 0).alias("downs"))
+        # before the r-th of a sign stand all of the other sign whose slots are less: two up, one down, in turn
+        found = by_sign.join(every.withColumnRenamed("map_key", "_m"), F.col("map_key").eqNullSafe(F.col("_m"))).drop("_m")
+        return found.withColumn("rank", F.expr("cast(1 + r + case when sign then least(downs, r div 2) else least(ups, 2 * r + 2) end as int)")).drop("sign", "r", "ups", "downs")
     order = "partition by map_key{} order by confidence * abs(weight) desc, source, target"
     if not interleaved:
         return edges.selectExpr("*", f"row_number() over ({order.format('')}) as rank")
     by_sign = edges.selectExpr("*", f"row_number() over ({order.format(', weight >= 0')}) - 1 as r")
-    spread = by_sign.selectExpr("* except (r)", "case when weight >= 0 then (r div 2) * 3 + r % 2 else r * 3 + 2 end as slot")
-    return spread.selectExpr("* except (slot)", "row_number() over (partition by map_key order by slot) as rank")
+    spread_out = by_sign.selectExpr("* except (r)", "case when weight >= 0 then (r div 2) * 3 + r % 2 else r * 3 + 2 end as slot")
+    return spread_out.selectExpr("* except (slot)", "row_number() over (partition by map_key order by slot) as rank")
 
 
 def tiered(edges: DataFrame, limit: int = 6, threshold: float = 0.20, least: int = 5) -> DataFrame:
-    """Pattern edges first, then by score; edges under the threshold go unless fewer than ``least`` stay."""
+    """Pattern edges first, then by score; edges under the threshold go unless fewer than ``least`` stay.
+
+    With a ``limit`` each task keeps its first edges of a map before they meet.
+    """
+    sizes = edges.groupBy("map_key").agg(F.count_if(F.abs("weight") >= threshold).alias("_good"), F.count("*").alias("_every")).select(F.col("map_key").alias("_m"), (F.col("_good") < F.least(F.lit(least), F.col("_every"))).alias("_few"))
+    met = edges.join(sizes, F.col("map_key").eqNullSafe(F.col("_m"))).where((F.abs("weight") >= threshold) | F.col("_few"))
     order = "partition by map_key order by case when edge_type = 'pattern' then 0 else 1 end, confidence * abs(weight) desc, source, target"
-    r = edges.selectExpr("*", f"row_number() over ({order}) as place", f"count_if(abs(weight) >= {threshold}) over (partition by map_key) as good", "count(*) over (partition by map_key) as every")
-    r = r.where((F.abs("weight") >= threshold) & (F.col("good") >= F.least(F.lit(least), F.col("every"))) | (F.col("good") < F.least(F.lit(least), F.col("every"))) & (F.col("place") <= F.greatest(F.lit(least), F.col("good"))))
-    r = r.selectExpr("* except (place, good, every)", "row_number() over (partition by map_key order by place) as rank")
-    return r.where(F.col("rank") <= limit) if limit else r
+    r = met.selectExpr("*", f"row_number() over ({order}) as rank")
+    r = r.where(F.col("rank") <= limit) if limit else r
+    return r.where(~F.col("_few") | (F.col("rank") <= least)).drop("_m", "_few")

@@ -696,6 +696,33 @@ def cooccurrence_hits(spark, sf_dir):
     return hits.groupBy("source", "target").agg(F.round(F.sum(F.when(F.col("negative"), F.col("proximity")).otherwise(0.0)), 6).alias("neg"), F.round(F.sum(F.when(F.col("negative"), 0.0).otherwise(F.col("proximity"))), 6).alias("pos"))
 
 
+#: Words of the documents that stand for a domain, and for markers, where all documents are one map.
+CORPUS = L.Lexicon(domain=r"\b(thatin|ononst|inoran|hehely|orantion|thtion|attion|ertion|retion|thanea|antion|eriner)\b", negative=r"\b(?:was|from|be)\b", positive=r"\b(?:with|for)\b")
+CORPUS_SQL = rf"""t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', concat('\1', chr(31)), 'g'), chr(31)) AS ss FROM documents),
+u AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM t),
+p AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, list_distinct(list_transform(regexp_extract_all(lower(s), '{CORPUS.domain}'), lambda x: concat(upper(x[1]), x[2:]))) AS k, CASE WHEN len(regexp_extract_all(s, '(?i){CORPUS.negative}')) > len(regexp_extract_all(s, '(?i){CORPUS.positive}')) THEN -1 ELSE 1 END AS pol FROM u WHERE trim(s) <> ''),
+a AS (SELECT *, lead(pol, 1, 1) OVER w AS p1, lead(pol, 2, 1) OVER w AS p2 FROM p WINDOW w AS (ORDER BY pos)),
+o AS (SELECT unnest([0, 1, 2]) AS o), n AS (SELECT * FROM a WHERE len(k) > 0),
+h AS (SELECT unnest(n.k) AS source, b.k AS others, o.o, CASE o.o WHEN 0 THEN n.pol WHEN 1 THEN least(n.pol, n.p1) ELSE least(n.pol, n.p1, n.p2) END AS pol FROM n CROSS JOIN o JOIN n b ON b.pos = n.pos + o.o),
+x AS (SELECT source, unnest(others) AS target, o, pol FROM h),
+z AS (SELECT source, target, CAST(sum(CASE WHEN pol < 0 THEN CAST(1.0::DOUBLE / (1 + o) AS DECIMAL(28,12)) ELSE 0 END) AS DOUBLE) AS neg, CAST(sum(CASE WHEN pol < 0 THEN 0 ELSE CAST(1.0::DOUBLE / (1 + o) AS DECIMAL(28,12)) END) AS DOUBLE) AS pos FROM x WHERE source <> target AND (o > 0 OR source < target) GROUP BY 1, 2),
+r AS (SELECT *, neg + pos AS n, max(neg + pos) OVER () AS top, row_number() OVER (ORDER BY neg + pos DESC, source, target) AS nth FROM z)"""
+
+
+@query("corpus_cooccurrence", f"WITH {CORPUS_SQL} SELECT source, target, {_even('(CASE WHEN neg > pos THEN -1.0 ELSE 1.0 END * (0.3::DOUBLE + 0.4::DOUBLE * n / top))')} AS weight, CASE WHEN neg > pos THEN 'negative' ELSE 'positive' END AS polarity FROM r WHERE nth <= 25 AND (n >= 0.5 OR top < 0.5 AND nth <= 8)")
+def corpus_cooccurrence(spark, sf_dir):
+    """All documents as one map, numbered and windowed in blocks."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("map_key"), "doc_id", F.col("doc_id").alias("chunk_no"), "text", F.lit(1.0).alias("score"))
+    return R.cooccurrence(docs, CORPUS).select("source", "target", "weight", "polarity")
+
+
+@query("segmented_ranks", f"WITH {GRAPH_SQL}, e AS (SELECT concat(map_key, ': ', source) AS source, target, weight, confidence FROM b), q AS (SELECT *, row_number() OVER (PARTITION BY weight >= 0 ORDER BY confidence * abs(weight) DESC, source, target) - 1 AS r FROM e), s AS (SELECT *, CASE WHEN weight >= 0 THEN (r // 2) * 3 + r % 2 ELSE r * 3 + 2 END AS slot FROM q) SELECT source, target, weight, CAST(row_number() OVER (ORDER BY slot) AS INTEGER) AS rank FROM s")
+def segmented_ranks(spark, sf_dir):
+    """The edges of all maps as one map, ranked in blocks, two up and one down in turn."""
+    edges = graph(spark, sf_dir).withColumns({"source": F.concat("map_key", F.lit(": "), "source"), "map_key": F.lit("all")})
+    return R.ranked(edges, interleaved=True, segmented=True).select("source", "target", "weight", "rank")
+
+
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     """Section 2.10: the table twin of the windowed stream."""
