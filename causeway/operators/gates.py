@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keywords as K
 from ..functions import lexicons as L
 from ..functions import text as T
 
 
 def relevant(df: DataFrame, include=L.RELEVANCE, exclude=L.EXCLUDE, text: str = "text") -> DataFrame:
-    """Rows whose text has an included keyword and no excluded one."""
-    keep = T.any_keyword(text, include)
-    return df.where(keep & ~T.any_keyword(text, exclude) if exclude else keep)
+    """Rows whose text has an included keyword and no excluded one; both lists in one pass."""
+    found = df.withColumn("_hits", K.hits(text, {"include": include, "exclude": exclude or ()}))
+    return found.where((F.size("_hits.include") > 0) & (F.size("_hits.exclude") == 0)).drop("_hits")
 
 
 def with_hits(df: DataFrame, policy=L.POLICY, gulf=L.GULF, exclude=L.EXCLUDE, text: str = "text") -> DataFrame:
-    """policy_hits and gulf_hits in lexical order."""
-    return df.withColumn("policy_hits", T.keyword_hits(text, policy, exclude)).withColumn("gulf_hits", T.keyword_hits(text, gulf))
+    """policy_hits and gulf_hits in lexical order, from one pass; an excluded keyword empties the policy hits."""
+    found = df.withColumn("_hits", K.hits(text, {"policy": policy, "gulf": gulf, "exclude": exclude or ()}))
+    kept = F.when(F.size("_hits.exclude") == 0, F.col("_hits.policy")).otherwise(F.array().cast("array<string>"))
+    return found.withColumns({"policy_hits": kept, "gulf_hits": F.col("_hits.gulf")}).drop("_hits")
 
 
 def strong(df: DataFrame, weak_policy=L.WEAK_POLICY, weak_gulf=L.WEAK_GULF) -> DataFrame:
@@ -41,26 +44,7 @@ def funnel(df: DataFrame, *keys: str) -> DataFrame:
 
 def dominant_state(df: DataFrame, states=L.STATES, default: str = "Gulf Council", text: str = "text") -> DataFrame:
     """``state`` with most distinct signals; ties to the one that is named first; ``default`` for none."""
-
-    def best(low, words, joined):
-        def place(signal):
-            spaced = F.locate(signal.replace("-", " "), low)
-            return F.when(spaced > 0, spaced).otherwise(F.nullif(F.locate(signal, low), F.lit(0)))
-
-        scored = []
-        for order, (name, signals) in enumerate(states.items()):
-            # the place of each signal that matches, 0 if it is not in the text as such, else null
-            hits = F.array(*(F.when(T.matches_keyword(s, words, joined), F.coalesce(place(s), F.lit(0))) for s in signals))
-            scored.append(T.let(F.filter(hits, lambda x: x.isNotNull()), _score(order, name)))
-        return F.array_min(F.array(*scored))
-
-    def _score(order, name):
-        return lambda hits: F.struct((-F.size(hits)).alias("n"), F.coalesce(F.array_min(F.filter(hits, lambda x: x > 0)), F.lit(0)).alias("at"), F.lit(order).alias("order"), F.lit(name).alias("name"))
-
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = T.let(low, lambda a: T.let(T.tokens(a), lambda w: T.let(F.array_join(w, "-"), lambda j: best(a, w, j))))
-    named = T.let(found, lambda b: F.when(b["n"] < 0, b["name"]).otherwise(default))
-    return df.withColumn("state", named)
+    return df.withColumn("state", K.leading(text, states, default))
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:

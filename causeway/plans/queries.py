@@ -264,6 +264,13 @@ def canonical_names(spark, sf_dir):
     return E.canonical_names(R.merge_mentions(R.mentions(sentences(spark, sf_dir))))
 
 
+@query("similar_names")
+def similar_names(spark, sf_dir):
+    """All part names, with and without endings, as one map; a test holds it against the sequential rule."""
+    names = _names(spark, sf_dir).select(F.lit("all").alias("map_key"), F.col("concept").alias("head"), F.col("concept").alias("head_seen"))
+    return E.similar_heads(names).select("head", "chosen")
+
+
 # ---- simulation on a matrix of regions and segments ------------------------------------------------------------
 
 CELLS_SQL = """
@@ -397,6 +404,77 @@ def dominant_state(spark, sf_dir):
     return B.dominant_state(table(spark, sf_dir, "documents"), STATES, "None").select("doc_id", "state")
 
 
+# ---- the lists themselves, over documents in which their keywords are planted ------------------------------------------
+
+_STATE_WORDS = [w for words in L.STATES.values() for w in words]
+#: Planted lists, and the place of a document's keyword in each; places beyond a list plant nothing.
+PLANTED = ((L.POLICY, "doc_id % 80"), (L.GULF, "(doc_id // 3) % 150"), (L.EXCLUDE, "(doc_id // 7) % 60"), (L.RELEVANCE, "(doc_id // 2) % 400"), (_STATE_WORDS, "(doc_id // 5) % 90"), (_STATE_WORDS, "(doc_id // 11) % 50"))
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+PLANTED_SQL = "SELECT doc_id, source, concat(text, " + ", ".join(f"' ', coalesce(([{_quoted(words)}])[CAST({place} + 1 AS INTEGER)], '')" for words, place in PLANTED) + ") AS text FROM documents"
+PLANTED_SQL = f"d AS ({PLANTED_SQL}), t AS (SELECT *, {TOKENS_SQL} AS w, array_to_string({TOKENS_SQL}, '-') AS j FROM d)"
+
+
+def planted_documents(spark, sf_dir: str) -> DataFrame:
+    """The documents, each followed by keywords of the lists."""
+    more = [F.coalesce(F.get(F.array(*map(F.lit, words)), F.expr(place.replace("//", "div")).cast("int")), F.lit("")) for words, place in PLANTED]
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat_ws(" ", F.coalesce("text", F.lit("")), *more).alias("text"))
+
+
+def _found_sql(words) -> str:
+    """The sorted keywords of a list that a document holds, by a predicate each."""
+    tests = []
+    for word in dict.fromkeys(words):
+        parts = T._key_tokens(word)
+        test = f"list_contains(w, '{parts[0]}')" if len(parts) == 1 else f"contains(j, '{'-'.join(parts)}')"
+        tests.append(f"CASE WHEN {test} THEN {_quoted([word])} END")
+    return f"list_sort(list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL))"
+
+
+HITS_SQL = f"{PLANTED_SQL}, h AS (SELECT *, CASE WHEN len({_found_sql(L.EXCLUDE)}) > 0 THEN [] ELSE {_found_sql(L.POLICY)} END AS policy, {_found_sql(L.GULF)} AS gulf FROM t)"
+
+
+@query("policy_gulf_hits", f"WITH {HITS_SQL} SELECT doc_id, array_to_string(policy, ',') AS policy_hits, array_to_string(gulf, ',') AS gulf_hits FROM h")
+def policy_gulf_hits(spark, sf_dir):
+    """B2, B4, B5, D19 with the lists themselves."""
+    d = B.with_hits(planted_documents(spark, sf_dir))
+    return d.select("doc_id", F.array_join("policy_hits", ",").alias("policy_hits"), F.array_join("gulf_hits", ",").alias("gulf_hits"))
+
+
+@query("strong_documents", f"WITH {HITS_SQL} SELECT doc_id FROM h WHERE len(list_filter(policy, lambda x: x NOT IN ({_quoted(L.WEAK_POLICY)}))) > 0 AND len(list_filter(gulf, lambda x: x NOT IN ({_quoted(L.WEAK_GULF)}))) > 0")
+def strong_documents(spark, sf_dir):
+    """B6, H2 with the lists themselves."""
+    return B.strong(B.with_hits(planted_documents(spark, sf_dir))).select("doc_id")
+
+
+@query("relevant_threads", f"WITH {PLANTED_SQL} SELECT doc_id FROM t WHERE len({_found_sql(L.RELEVANCE)}) > 0 AND len({_found_sql(L.EXCLUDE)}) = 0")
+def relevant_threads(spark, sf_dir):
+    """B3 with the lists themselves."""
+    return B.relevant(planted_documents(spark, sf_dir)).select("doc_id")
+
+
+def _leading_sql() -> str:
+    scored = []
+    for order, (name, signals) in enumerate(L.STATES.items()):
+        places = []
+        for s in signals:
+            parts = T._key_tokens(s)
+            test = f"list_contains(w, '{parts[0]}')" if len(parts) == 1 else f"contains(j, '{'-'.join(parts)}')"
+            places.append(f"CASE WHEN {test} THEN coalesce(nullif(strpos(low, {s.replace('-', ' ')!r}), 0), nullif(strpos(low, {s!r}), 0), 0) END")
+        scored.append(f"SELECT doc_id, {order} AS ord, '{name}' AS state, len(list_filter(h, lambda x: x IS NOT NULL)) AS n, coalesce(list_min(list_filter(h, lambda x: x > 0)), 0) AS place FROM (SELECT doc_id, [{', '.join(places)}] AS h FROM (SELECT *, lower(text) AS low FROM t))")
+    return f"WITH {PLANTED_SQL}, s AS ({' UNION ALL '.join(scored)}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place, ord) AS k FROM s) SELECT doc_id, CASE WHEN n > 0 THEN state ELSE 'Gulf Council' END AS state FROM r WHERE k = 1"
+
+
+@query("document_states", _leading_sql())
+def document_states(spark, sf_dir):
+    """E7 with the signals themselves."""
+    return B.dominant_state(planted_documents(spark, sf_dir)).select("doc_id", "state")
+
+
 def _listed(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
 
