@@ -93,6 +93,64 @@ def strongest_edges(spark, sf_dir):
     return edges.where("rank <= 6").select("map_key", "rank", "source", "target", "weight", "confidence")
 
 
+# ---- every cue, between varied operands --------------------------------------------------------------------------------
+
+NOUNS = ("habitat", "shrimp", "NOAA", "snapper", "quota", "oyster", "CPUE", "permit")
+#: A phrase for each cue, the weight of its sentence and whether the effect stands first.
+PHRASES_OF_CUES = (
+    ("supports", 0.75, False), ("competes with", -0.75, False), ("adversely affects", -0.70, False), ("causes a decline in", -0.70, False), ("contributes to", 0.65, False),
+    ("strongly limits", -0.767, False),  # an intensifier: 0.65 x 1.18
+    ("likely influences", 0.341, False),  # a hedge: 0.55 x 0.62
+    ("is positively associated with", 0.50, False), ("are negatively linked to", -0.50, False), ("was increased by", 0.65, True), ("were threatened by", -0.65, True), ("due to", 0.60, True),
+)
+
+
+def _noun_concept(name: str, noun: str) -> str:
+    """SQL for a part name and a noun as a concept: leading sizes and ages go, acronyms are in capitals."""
+    title = lambda w: f"concat(upper(substr({w}, 1, 1)), substr({w}, 2))"
+    first, second = f"split_part({name}, ' ', 1)", f"split_part({name}, ' ', 2)"
+    return f"concat(CASE WHEN {first} IN ('small', 'large', 'new', 'old') THEN '' ELSE concat({title(first)}, ' ') END, {title(second)}, ' ', {title(noun)})"
+
+
+CUE_SQL = f"""k AS (SELECT l.l_orderkey AS doc_id, CAST((l.l_orderkey * 7 + l.l_linenumber) % 12 AS INTEGER) AS cue, p.p_name AS p, q.p_name AS q,
+  ([{", ".join(f"'{n}'" for n in NOUNS)}])[CAST((l.l_partkey + l.l_linenumber) % 8 AS INTEGER) + 1] AS n1, ([{", ".join(f"'{n}'" for n in NOUNS)}])[CAST((l.l_suppkey + l.l_orderkey) % 8 AS INTEGER) + 1] AS n2
+  FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN part q ON q.p_partkey = (l.l_partkey * 7 + l.l_suppkey) % (SELECT max(p_partkey) + 1 FROM part)),
+c AS (SELECT doc_id, cue, concat('the ', p, ' ', n1, ' ', ([{", ".join(f"'{c}'" for c, _, _ in PHRASES_OF_CUES)}])[cue + 1], ' ', q, ' ', n2, ' high.') AS text, {_noun_concept('p', 'n1')} AS one, {_noun_concept('q', 'n2')} AS two FROM k),
+f AS (SELECT doc_id, text, cue, CASE WHEN cue >= 9 THEN two ELSE one END AS source, CASE WHEN cue >= 9 THEN one ELSE two END AS target, ([{", ".join(str(w) for _, w, _ in PHRASES_OF_CUES)}])[cue + 1]::DOUBLE AS weight FROM c
+  UNION ALL SELECT doc_id, text, 6, concat(one, ' Adversely'), two, 0.55::DOUBLE FROM c WHERE cue = 2),
+m AS (SELECT 'cues' AS map_key, * FROM f WHERE NOT list_has_all(string_split(source, ' '), string_split(target, ' ')) AND NOT list_has_all(string_split(target, ' '), string_split(source, ' ')))"""
+
+
+def cue_sentences(spark, sf_dir: str) -> DataFrame:
+    """A sentence a line, with a cue and nouns that the line's numbers choose; all are one map."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    parts = part.agg((F.max("p_partkey") + 1).alias("parts"))
+    pick = lambda words, at: F.get(F.array(*map(F.lit, words)), at.cast("int"))
+    line = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(parts)).select(
+        "l_orderkey", "l_partkey", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("parts")).alias("k2"),
+        pick([c for c, _, _ in PHRASES_OF_CUES], (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 12).alias("cue"),
+        pick(NOUNS, (F.col("l_partkey") + F.col("l_linenumber")) % 8).alias("n1"), pick(NOUNS, (F.col("l_suppkey") + F.col("l_orderkey")) % 8).alias("n2"),
+    )
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(part.select(F.col("p_partkey").alias("k2"), F.col("p_name").alias("q")), "k2")
+    text = F.concat(F.lit("the "), "p_name", F.lit(" "), "n1", F.lit(" "), "cue", F.lit(" "), "q", F.lit(" "), "n2", F.lit(" high."))
+    return rows.select(F.lit("cues").alias("map_key"), F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("chunk_no"), text.alias("text"), F.lit(1.0).alias("score"))
+
+
+@query("cue_mentions", f"WITH {CUE_SQL} SELECT cue, source, target, weight, count(*) AS n FROM m GROUP BY ALL")
+def cue_mentions(spark, sf_dir):
+    """P1 to P12, I2 to I8, B12 to B14, with acronyms, intensifiers, hedges and both orders."""
+    return R.mentions(cue_sentences(spark, sf_dir)).groupBy(F.col("at.cue").alias("cue"), "source", "target", "weight").agg(F.count("*").alias("n"))
+
+
+@query("cue_edges", f"""WITH {CUE_SQL}, z AS (SELECT source, target, CAST(sum(CAST(weight * 0.95::DOUBLE AS DECIMAL(28,12))) AS DOUBLE) / CAST(count(*) * CAST(0.95 AS DECIMAL(28,12)) AS DOUBLE) AS mean, count(DISTINCT text) AS d, string_agg(DISTINCT text, ' ' ORDER BY text) AS said FROM m GROUP BY ALL)
+SELECT source, target, {_even('mean')} AS weight, CASE WHEN mean >= 0 THEN 'positive' ELSE 'negative' END AS polarity, {_even('least(0.98, 0.95 + least(0.15, 0.03 * (d - 1)))')} AS confidence, md5(said) AS said FROM z""")
+def cue_edges(spark, sf_dir):
+    """All sentences as one map, with an edge's distinct evidence."""
+    edges = R.merge_mentions(R.mentions(cue_sentences(spark, sf_dir)))
+    said = F.md5(F.array_join(F.array_sort(F.split("evidence", r" \| ")), " "))
+    return edges.select("source", "target", "weight", "polarity", "confidence", said.alias("said"))
+
+
 # ---- a signed graph with known cells: order priorities and return flags by part type ------------------------------
 
 GRAPH_SQL = """
@@ -237,6 +295,15 @@ def map_response(spark, sf_dir):
     return A.response(R.ranked(graph(spark, sf_dir)), 10).select("map_key", "positive_edges", "negative_edges", "relation_length", "max_edges")
 
 
+@query("whole_responses", f"""WITH {GRAPH_SQL}, e AS (SELECT concat(map_key, ' ', source) AS map_key, source, target, weight, confidence, CASE WHEN confidence > 0.45 THEN 'pattern' ELSE 'cooccurrence' END AS edge_type FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY confidence * abs(weight) DESC, source, target) AS rank FROM e)
+SELECT map_key, count(*) FILTER (weight >= 0) AS positive_edges, count(*) FILTER (weight < 0) AS negative_edges, count(*) AS relation_length, 4 AS max_edges, array_to_string(list_sort(list(DISTINCT edge_type)), ',') AS edge_types,
+concat(CASE WHEN count(*) FILTER (weight < 0) = 0 THEN 'The map has no negative relations: check whether the text has none or the extraction missed them.' ELSE '' END, CASE WHEN count(*) FILTER (weight >= 0) = 0 THEN 'The map has no positive relations: check whether the text has none or the extraction missed them.' ELSE '' END) AS warnings FROM r WHERE rank <= 4 GROUP BY map_key""")
+def whole_responses(spark, sf_dir):
+    """K8, with the edge types and the warnings of maps whose edges have one sign."""
+    edges = graph(spark, sf_dir).withColumns({"map_key": F.concat_ws(" ", "map_key", "source"), "edge_type": F.when(F.col("confidence") > 0.45, "pattern").otherwise("cooccurrence")})
+    return A.response(R.ranked(edges), 4).withColumns({c: F.array_join(c, "," if c == "edge_types" else "") for c in ("edge_types", "warnings")})
+
+
 @query("confident_edges", f"WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY map_key ORDER BY confidence * abs(weight) DESC, source, target) AS place FROM b WHERE confidence >= 0.42 AND abs(weight) >= 0.02) SELECT map_key, source, target, weight FROM r WHERE place <= 60")
 def confident_edges(spark, sf_dir):
     """The limit is clamped to 60."""
@@ -865,6 +932,17 @@ def absorbed_subsets(spark, sf_dir):
     return E.absorb_subsets(names.withColumn("map_key", F.lit("m"))).select("short", "long")
 
 
+@query("absorbed_names", """WITH a AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT concat(p_name, ' habitat') FROM part WHERE length(p_name) % 3 <> 1 UNION SELECT DISTINCT concat('coastal ', p_name) FROM part WHERE length(p_name) % 3 = 0 UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT 'coastal zone'), t AS (SELECT name, list_distinct(string_split(lower(name), ' ')) AS w FROM a),
+p AS (SELECT x.name AS short, y.name AS long FROM t x JOIN t y ON x.name <> y.name AND len(x.w) < len(y.w) AND list_has_all(y.w, x.w)) SELECT short, min(long) AS long FROM p GROUP BY short HAVING count(*) = 1""")
+def absorbed_names(spark, sf_dir):
+    """D10, H3, with names that have no longer one, one, or several."""
+    part = table(spark, sf_dir, "part")
+    size = F.length("p_name") % 3
+    names = part.select(F.col("p_name").alias("head")).union(part.where(size != 1).select(F.concat("p_name", F.lit(" habitat")))).union(part.where(size == 0).select(F.concat(F.lit("coastal "), "p_name")))
+    names = names.union(part.select(F.element_at(F.split("p_name", " "), 2))).union(part.limit(1).select(F.lit("coastal zone"))).distinct()
+    return E.absorb_subsets(names.withColumn("map_key", F.lit("m"))).select("short", "long")
+
+
 @query("sentence_polarity", "SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '(?i)\\b(?:the|was\\w*)\\b')) > len(regexp_extract_all(text, '(?i)\\b(?:of|that)\\b')) THEN -1 ELSE 1 END AS polarity FROM conversations")
 def sentence_polarity(spark, sf_dir):
     """E8, with test markers."""
@@ -932,6 +1010,15 @@ def graph_lines(spark, sf_dir):
     return W.gexf_rows(graph(spark, sf_dir)).where("part = 3").select("map_key", "n", F.regexp_extract("value", "^(.*)weight=", 1).alias("head"))
 
 
+@query("graph_weights", f"WITH {GRAPH_SQL} SELECT map_key, row_number() OVER (PARTITION BY map_key ORDER BY source, target) AS n, source, target, weight FROM b")
+def graph_weights(spark, sf_dir):
+    """K5: what a reader of the GEXF edge lines gets back, weights included."""
+    from ..sources import writers as W
+
+    field = lambda name: F.regexp_extract("value", f'{name}="([^"]*)"', 1).alias(name)
+    return W.gexf_rows(graph(spark, sf_dir)).where("part = 3").select("map_key", "n", field("source"), field("target"), field("weight").cast("double").alias("weight"))
+
+
 @query("scanned_bodies", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest FROM documents WHERE trim(text) <> ''")
 def scanned_bodies(spark, sf_dir):
     """A2: documents written as JSON lines under one of the body keys and read back."""
