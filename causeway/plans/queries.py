@@ -22,6 +22,7 @@ from ..operators import relations as R
 from ..operators import resolve as E
 from ..operators import retrieve as V
 from ..operators import simulate as Z
+from ..operators import vectors as W
 from ..shared import session_dir, written
 from ..streaming import ingest
 from . import hooks
@@ -701,6 +702,22 @@ def nearest_filtered(spark, sf_dir):
     return V.nearest(*_near(spark, sf_dir), 5, "label in (1, 2, 3)").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _store(spark, sf_dir):
+    return W.build(table(spark, sf_dir, "embeddings"), f"{session_dir(spark)}/vectors-{uuid.uuid4().hex}")
+
+
+@query("stored_passages", NEAR_SQL.format(where="") + " SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 6")
+def stored_passages(spark, sf_dir):
+    """A3, D4, G8 over a stored index."""
+    return _store(spark, sf_dir).search(_near(spark, sf_dir)[0], 6).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("stored_filtered", NEAR_SQL.format(where="WHERE label IN (1, 2, 3)") + " SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5")
+def stored_filtered(spark, sf_dir):
+    """B17 over a stored index: the filter reaches the files."""
+    return _store(spark, sf_dir).search(_near(spark, sf_dir)[0], 5, "label in (1, 2, 3)").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("nearest_oversampled", NEAR_SQL.format(where="") + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM r WHERE rank <= 30 AND label IN (1, 2, 3)) SELECT query_id, vec_id, CAST(place AS INTEGER) AS rank, round(score, 6) AS score FROM k WHERE place <= 5")
 def nearest_oversampled(spark, sf_dir):
     """B17, oversampled: may give fewer than asked for."""
@@ -1013,10 +1030,10 @@ def graph_lines(spark, sf_dir):
 @query("graph_weights", f"WITH {GRAPH_SQL} SELECT map_key, row_number() OVER (PARTITION BY map_key ORDER BY source, target) AS n, source, target, weight FROM b")
 def graph_weights(spark, sf_dir):
     """K5: what a reader of the GEXF edge lines gets back, weights included."""
-    from ..sources import writers as W
+    from ..sources import writers
 
     field = lambda name: F.regexp_extract("value", f'{name}="([^"]*)"', 1).alias(name)
-    return W.gexf_rows(graph(spark, sf_dir)).where("part = 3").select("map_key", "n", field("source"), field("target"), field("weight").cast("double").alias("weight"))
+    return writers.gexf_rows(graph(spark, sf_dir)).where("part = 3").select("map_key", "n", field("source"), field("target"), field("weight").cast("double").alias("weight"))
 
 
 @query("scanned_bodies", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest FROM documents WHERE trim(text) <> ''")
