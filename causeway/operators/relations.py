@@ -77,37 +77,53 @@ def boost(distinct):
     return F.least(F.lit(0.15), 0.03 * F.greatest(F.lit(0), distinct - 1))
 
 
-def _said(rows: DataFrame) -> DataFrame:
+def said_rows(rows: DataFrame) -> DataFrame:
     """map_key, source, target, evidence, at: every distinct sentence of every edge and its first place."""
     return rows.groupBy("map_key", "source", "target", "evidence").agg(F.min("at").alias("at"))
 
 
 def evidence_rows(rows: DataFrame) -> DataFrame:
     """map_key, source, target, nth, evidence: every distinct sentence of every edge, the earliest first (from 1), ties by text."""
-    return _said(rows).selectExpr("map_key", "source", "target", "row_number() over (partition by map_key, source, target order by at, evidence) as nth", "evidence")
+    return said_rows(rows).selectExpr("map_key", "source", "target", "row_number() over (partition by map_key, source, target order by at, evidence) as nth", "evidence")
 
 
-def merge_mentions(rows: DataFrame, evidence_limit: int | None = None) -> DataFrame:
-    """One edge for each (source, target) of a map; weights by confidence, distinct sentences raise confidence.
+def partial_sums(rows: DataFrame) -> DataFrame:
+    """map_key, source, target, wc, c, n, first of mentions: sums that add up, in twelve places, and the earliest mention."""
+    place = lambda c: c.cast("decimal(28,12)")
+    return rows.groupBy("map_key", "source", "target").agg(F.sum(place(F.col("weight") * F.col("confidence"))).alias("wc"), F.sum(place(F.col("confidence"))).alias("c"), F.count("*").alias("n"), F.min(F.struct("at", "evidence_doc_id")).alias("first"))
 
-    ``evidence`` joins all distinct sentences; for display, ``evidence_limit`` keeps the earliest. :func:`evidence_rows` has
-    them a row each.
-    """
+
+def added_sums(sums: DataFrame) -> DataFrame:
+    """The sums of several parts of :func:`partial_sums` as one."""
+    return sums.groupBy("map_key", "source", "target").agg(*(F.sum(c).alias(c) for c in ("wc", "c", "n")), F.min("first").alias("first"))
+
+
+def edges_of(numbers: DataFrame, said: DataFrame, evidence_limit: int | None = None) -> DataFrame:
+    """Edges from the sums of their mentions and their distinct sentences (:func:`said_rows`)."""
     keys = ["map_key", "source", "target"]
-    numbers = rows.groupBy(*keys).agg(T.exact_sum(F.col("weight") * F.col("confidence")).alias("wc"), T.exact_sum("confidence").alias("c"), F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("evidence_doc_id", "at").alias("evidence_doc_id"))
-    said = _said(rows).withColumn("distinct_n", F.lit(1))
+    said = said.withColumn("distinct_n", F.lit(1))
     if evidence_limit is not None:
         window = "partition by map_key, source, target"
         said = said.selectExpr("* except (distinct_n)", f"row_number() over ({window} order by at, evidence) as nth", f"count(*) over ({window}) as every").where(F.col("nth") <= evidence_limit).withColumn("distinct_n", F.when(F.col("nth") == 1, F.col("every")).otherwise(0))
     said = said.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: x["evidence"]), " | ").alias("evidence"), F.sum("distinct_n").alias("distinct_n"))
-    mean = F.col("wc") / F.col("c")
+    wc, c, at = F.col("wc").cast("double"), F.col("c").cast("double"), F.col("first.at")
+    mean = wc / c
     return numbers.join(said, keys).select(
         *keys, T.rounded(mean, 3).alias("weight"), F.when(mean >= 0, "positive").otherwise("negative").alias("polarity"),
-        T.rounded(F.least(F.lit(0.98), F.col("c") / F.col("n") + boost(F.col("distinct_n"))), 3).alias("confidence"), "evidence", "evidence_doc_id",
-        F.lit("pattern").alias("edge_type"), F.lit(1).alias("hops"), F.concat_ws(".", F.lit("p"), F.format_string("%09d.%06d.%02d.%04d", F.col("at.chunk_no"), F.col("at.sent_no"), F.col("at.cue"), F.col("at.nth"))).alias("seen"),
+        T.rounded(F.least(F.lit(0.98), c / F.col("n") + boost(F.col("distinct_n"))), 3).alias("confidence"), "evidence", F.col("first.evidence_doc_id").alias("evidence_doc_id"),
+        F.lit("pattern").alias("edge_type"), F.lit(1).alias("hops"), F.concat_ws(".", F.lit("p"), F.format_string("%09d.%06d.%02d.%04d", at["chunk_no"], at["sent_no"], at["cue"], at["nth"])).alias("seen"),
     )
 
 
+def merge_mentions(rows: DataFrame, evidence_limit: int | None = None) -> DataFrame:
+    """One edge for each (source, target) of a map; weights by confidence, distinct sentences raise confidence.
+
+    ``evidence`` joins all distinct sentences; for display, ``evidence_limit`` keeps the earliest. :func:`evidence_rows` has
+    them a row each.
+    """
+    return edges_of(partial_sums(rows), said_rows(rows), evidence_limit)
+
+
 def keyword_rows(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """map_key, pos, sentence, polarity, keywords of every sentence that is not blank; ``pos`` counts through a map.
 

@@ -1065,6 +1065,17 @@ def streamed_documents(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("streamed_edges", f"WITH {EDGES_SQL} SELECT map_key, source, target, weight, confidence FROM e")
+def streamed_edges(spark, sf_dir):
+    """Section 2.10: the sentences come as files, three a batch, and every batch is merged into the table of edges."""
+    root = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sentences(spark, sf_dir).repartition(6).write.parquet(f"{root}/in")
+    files = spark.read.parquet(f"{root}/in").schema
+    stream = spark.readStream.schema(files).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
+    ingest.merge_edges(stream, f"{root}/edges", f"{root}/state")
+    return ingest.edges(spark, f"{root}/edges").select("map_key", "source", "target", "weight", "confidence")
+
+
 @query("allowed_sources", "SELECT source, count(*) AS n FROM documents WHERE source IN ('src1', 'src7') GROUP BY source")
 def allowed_sources(spark, sf_dir):
     """Exact names; prefixes need a '-'."""

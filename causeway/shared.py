@@ -40,6 +40,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished_folders(spark: SparkSession, root: str, mark: str = "_SUCCESS") -> list[int]:
+    """The numbers n, in order, of the folders ``root/n`` that hold ``mark``: what a failure left half-written is not among them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(root)):
+        return []
+    return sorted(int(s.getPath().getName()) for s in files.listStatus(path(root)) if s.getPath().getName().isdigit() and files.exists(path(s.getPath(), mark)))
+
+
 def discard(spark: SparkSession) -> bool:
     """Delete the tables that this application has written; results that read them have to be stored before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))

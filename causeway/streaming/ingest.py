@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import gates
+from ..operators import gates, relations
+from ..shared import finished_folders, written
 
 
 def documents(spark: SparkSession, path: str, schema: StructType, key: str = "doc_id", files_per_batch: int | None = None) -> DataFrame:
@@ -33,13 +34,47 @@ def hits(stream: DataFrame, policy, gulf, exclude=()) -> DataFrame:
     return gates.with_hits(stream, policy, gulf, exclude).where((F.size("policy_hits") > 0) & (F.size("gulf_hits") > 0))
 
 
-def merge_edges(stream: DataFrame, table: str, checkpoint: str, extract) -> None:
-    """foreachBatch: the edges of each batch's new documents are appended as one folder a batch; a repeated batch replaces its own."""
+def merge_edges(stream: DataFrame, table: str, checkpoint: str, find=relations.mentions, compact_every: int = 16) -> None:
+    """Merge the mentions of a stream of chunks into a table of edges, each batch once; :func:`edges` reads it.
 
-    def append(batch: DataFrame, number: int) -> None:
-        extract(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+    A batch writes what it adds, the sums and distinct sentences of its edges, to a folder of its number; a batch that is
+    repeated after a failure replaces its own. Every ``compact_every`` batches all folders so far are added up to a base, from
+    which readers go on, so what a read adds up stays bounded by the edges and the last batches. Mentions of an edge are
+    summed where they are found before they meet, so a common edge is no hot spot.
+    """
 
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = written(find(batch), "mentions")
+        relations.partial_sums(rows).write.mode("overwrite").parquet(f"{table}/sums/{number}")
+        relations.said_rows(rows).write.mode("overwrite").parquet(f"{table}/said/{number}")
+        if (number + 1) % compact_every == 0:
+            sums, said = _state(spark, table, number)
+            said.write.mode("overwrite").parquet(f"{table}/base-said/{number}")
+            sums.write.mode("overwrite").parquet(f"{table}/base-sums/{number}")  # last: a base without sums is not there
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _state(spark: SparkSession, table: str, upto: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sums and sentences of all finished batches (up to a number): the last base before it and the batches since."""
+    numbers = [n for n in finished_folders(spark, f"{table}/said") if upto is None or n <= upto]
+    base = max((n for n in finished_folders(spark, f"{table}/base-sums") if upto is None or n < upto), default=None)
+    after = [n for n in numbers if base is None or n > base]
+
+    def read(name: str) -> DataFrame:
+        paths = [f"{table}/{name}/{n}" for n in after] + ([f"{table}/base-{name}/{base}"] if base is not None else [])
+        if not paths:
+            raise ValueError(f"no batch has been merged into {table}")
+        return spark.read.parquet(*paths)
+
+    said = read("said").groupBy("map_key", "source", "target", "evidence").agg(F.min("at").alias("at"))
+    return relations.added_sums(read("sums")), said
+
+
+def edges(spark: SparkSession, table: str, evidence_limit: int | None = None) -> DataFrame:
+    """The merged edges (E1, E3) of all batches that :func:`merge_edges` has finished."""
+    return relations.edges_of(*_state(spark, table), evidence_limit)
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
