@@ -32,7 +32,7 @@ from .common import materialize, whole_text
 #: Bits and probes of an item, and the weight of the words' probabilities in those of pairs.
 BITS, PROBES, MU = 8, 4, 300.0
 #: Tokens that a task adds up before it sends them, and that a segment of the filter is made from.
-HELD, SEGMENT_TOKENS = 1 << 20, 1 << 21
+HELD, SEGMENT_TOKENS = 1 << 19, 1 << 21
 #: Words whose exact counts are broadcast (16 bytes each).
 FREQUENT = 2_000_000
 #: A larger filter stays in Spark.
@@ -132,16 +132,19 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def _texts(batches, size: int = 1 << 20):
+def _texts(batches, size: int = 1 << 19):
     """Slices of record batches with about ``size`` bytes in their last column (texts), one row at least."""
-    for batch in batches:
-        column = batch.column(batch.num_columns - 1).cast(pa.large_string())
-        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1).cast(pa.large_string())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+                yield batch.slice(at, to - at)
+                at = to
+    finally:  # workers serve many tasks: what this one took goes back
+        pa.default_memory_pool().release_unused()
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
