@@ -127,12 +127,14 @@ def merge_mentions(rows: DataFrame, evidence_limit: int | None = None) -> DataFr
 def keyword_rows(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """map_key, pos, sentence, polarity, keywords of every sentence that is not blank; ``pos`` counts through a map.
 
-    Sentences are in order of chunk, document and place, and numbered in blocks, so one map may be the whole corpus.
+    Sentences are in order of chunk, document and place, and numbered in blocks, so one map may be the whole corpus. Only
+    sentences with keywords carry their text; others are there for their place and polarity, and have null.
     """
     rows = sentence_rows(spread(chunks)).where(F.trim("sentence") != "").select("map_key", "chunk_no", "doc_id", "sent_no", "sentence")
     raw = F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit("(?i)" + lexicon.domain), F.lit(0)), lambda x: T.normalized_concept(x, lexicon)))
     good = F.filter(F.filter(raw, lambda k: (k != "") & (k.contains(" ") | (F.length(k) >= 6))), lambda k: T.clean_concept(k, lexicon))
-    rows = rows.select("map_key", "chunk_no", "doc_id", "sent_no", F.trim("sentence").alias("sentence"), T.sentence_polarity("sentence", lexicon).alias("polarity"), good.alias("keywords"))
+    rows = rows.withColumns({"polarity": T.sentence_polarity("sentence", lexicon).cast("byte"), "keywords": good})
+    rows = rows.withColumn("sentence", F.when(F.size("keywords") > 0, F.trim("sentence")))
     return numbered(rows, ["map_key"], [F.col("chunk_no"), F.col("doc_id"), F.col("sent_no")], "pos").select("map_key", "pos", "sentence", "polarity", "keywords")
 
 

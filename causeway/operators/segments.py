@@ -9,16 +9,16 @@ from ..shared import written
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores, if all that it scans is less than one scan partition a core; else as it is.
+    """``df`` dealt to all cores, if all that it scans is too little for Spark to make a task a core of it; else as it is.
 
-    Small tables come in few tasks, however much work a row is. What a large table would pay for, a shuffle, is bounded
-    here by the bytes of one scan partition a core; only the plan's estimates are read.
+    Files are cut to pieces of no less than the bytes that opening one costs, so a table below those bytes a core comes in few
+    tasks, however much work a row is. The shuffle is bounded by them too; only the plan's estimates are read.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if scanned < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    return df.repartition(cores) if scanned < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else df
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
