@@ -1,10 +1,7 @@
-"""Signed weighted graphs: matrices, node and graph figures, themes, centrality and communities."""
+"""Signed weighted graphs: matrices, node and graph figures, themes."""
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +53,7 @@ def strongest_nodes(edges: DataFrame, n: int = 5) -> DataFrame:
 
 
 def representatives(central: DataFrame) -> DataFrame:
-    """map_key, module, concept (the most important of the module, the first by name on ties), from :func:`importance`."""
+    """map_key, module, concept (the most important of the module, the first by name on ties), from rows with module and importance."""
     return central.groupBy("map_key", "module").agg(F.min_by("concept", F.struct((-F.col("importance")).alias("i"), "concept")).alias("concept"))
 
 
@@ -102,87 +99,6 @@ def from_matrix(cells: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(nodes: list, arcs: list) -> dict:
-    """Brandes' algorithm on an unweighted directed graph, divided by (n - 1)(n - 2)."""
-    out = {v: [] for v in nodes}
-    for s, t in arcs:
-        out[s].append(t)
-    total = dict.fromkeys(nodes, 0.0)
-    for s in nodes:
-        order, before, paths, far = [], {v: [] for v in nodes}, dict.fromkeys(nodes, 0), {s: 0}
-        paths[s] = 1
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in out[v]:
-                if w not in far:
-                    far[w] = far[v] + 1
-                    queue.append(w)
-                if far[w] == far[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        share = dict.fromkeys(nodes, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-            if w != s:
-                total[w] += share[w]
-    n = len(nodes)
-    return {v: x / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v, x in total.items()}
-
-
-def modules(nodes: list, arcs: list) -> dict:
-    """Greedy modularity on the undirected unweighted graph: repeatedly join the two communities that gain most.
-
-    Communities are numbered by size, then by their first name; equal gains are taken in lexical order.
-    """
-    links = {tuple(sorted(a)) for a in arcs if a[0] != a[1]}
-    m = len(links)
-    group = {v: [v] for v in sorted(nodes)}
-    if m:
-        home, degree, between = {v: v for v in nodes}, dict.fromkeys(nodes, 0), {}
-        for a, b in links:
-            degree[a] += 1
-            degree[b] += 1
-            between[a, b] = between.get((a, b), 0) + 1
-        while between:
-            gain, pair = max(((n / m - degree[a] * degree[b] / (2 * m * m), (a, b)) for (a, b), n in between.items()), key=lambda x: (round(x[0], 12), [-ord(c) for c in x[1][0] + "\0" + x[1][1]]))
-            if gain <= 0:
-                break
-            a, b = pair
-            group[a] += group.pop(b)
-            degree[a] += degree.pop(b)
-            joined = {}
-            for (x, y), n in between.items():
-                x, y = sorted((a if x == b else x, a if y == b else y))
-                if x != y:
-                    joined[x, y] = joined.get((x, y), 0) + n
-            between = joined
-            home.update((v, a) for v in group[a])
-    ordered = sorted(group.values(), key=lambda g: (-len(g), min(g)))
-    return {v: i for i, g in enumerate(ordered) for v in g}
-
-
-def importance(edges: DataFrame) -> DataFrame:
-    """map_key, concept, betweenness, degree, importance (0.55 b + 0.45 d over its largest), module.
-
-    One task a map: maps hold the few edges that ranking leaves. Larger graphs keep to :func:`node_strength`.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        arcs = sorted(set(zip(group["source"], group["target"])))
-        nodes = sorted({v for a in arcs for v in a})
-        b, c = betweenness(nodes, arcs), modules(nodes, arcs)
-        degree = {v: (sum(v == s for s, _ in arcs) + sum(v == t for _, t in arcs)) / max(1, len(nodes) - 1) for v in nodes}
-        raw = {v: 0.55 * b[v] + 0.45 * degree[v] for v in nodes}
-        top = max(raw.values()) or 1.0
-        return pd.DataFrame({"map_key": group["map_key"].iloc[0], "concept": nodes, "betweenness": [b[v] for v in nodes], "degree": [degree[v] for v in nodes], "importance": [raw[v] / max(top, 1e-9) for v in nodes], "module": [c[v] for v in nodes]})
-
-    kind = edges.schema["map_key"].dataType.simpleString()
-    return edges.select("map_key", "source", "target").groupBy("map_key").applyInPandas(run, f"map_key {kind}, concept string, betweenness double, degree double, importance double, module int")
-
-
 def two_step_reach(edges: DataFrame) -> DataFrame:
     """Nodes reached in one or two steps from each node of each map, with the fewest steps."""
     one = edges.select("map_key", "source", "target").distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import answer as A
+from ..operators import central as Y
 from ..operators import chunk as C
 from ..operators import cluster as K
 from ..operators import gates as B
@@ -323,10 +324,33 @@ def two_step_reach(spark, sf_dir):
     return G.two_step_reach(graph(spark, sf_dir))
 
 
-@query("centrality")
+#: betweenness by walks: those of a pair's least length are its shortest paths. A path between five priorities and the nations has at most ten steps
+CENTRALITY_SQL = f"""WITH RECURSIVE {GRAPH_SQL}, {STRENGTH}, a AS (SELECT DISTINCT map_key, source, target FROM b),
+w AS (SELECT map_key, concept AS s, concept AS v, 0 AS d, 1.0::DOUBLE AS n FROM n
+  UNION ALL SELECT w.map_key, w.s, a.target, w.d + 1, sum(w.n) FROM w JOIN a ON a.map_key = w.map_key AND a.source = w.v WHERE w.d < 10 GROUP BY ALL),
+p AS (SELECT map_key, s, v, min(d) AS d, arg_min(n, d) AS n FROM w GROUP BY ALL),
+x AS (SELECT f.map_key, f.v, sum(f.n * l.n / p.n) AS y FROM p f JOIN p l ON l.map_key = f.map_key AND l.s = f.v JOIN p ON p.map_key = f.map_key AND p.s = f.s AND p.v = l.v AND p.d = f.d + l.d WHERE f.s <> f.v AND l.v <> f.v AND f.s <> l.v GROUP BY ALL),
+z AS (SELECT map_key, count(*) AS k FROM n GROUP BY 1),
+c AS (SELECT n.map_key, n.concept, CASE WHEN k > 2 THEN coalesce(y, 0) / ((k - 1) * (k - 2)) ELSE 0 END AS bt, (od + id) / greatest(1, k - 1) AS dg FROM n JOIN z USING (map_key) LEFT JOIN x ON x.map_key = n.map_key AND x.v = n.concept)
+SELECT map_key, concept, round(bt, 9) AS betweenness, round(dg, 9) AS degree, round((0.55 * bt + 0.45 * dg) / max(0.55 * bt + 0.45 * dg) OVER (PARTITION BY map_key), 9) AS importance FROM c"""
+
+
+@query("centrality", CENTRALITY_SQL)
 def centrality(spark, sf_dir):
-    """Tests hold it against brute force."""
-    return G.importance(graph(spark, sf_dir))
+    """J14, E20."""
+    return Y.importance(graph(spark, sf_dir)).select("map_key", "concept", *(F.round(c, 9).alias(c) for c in ("betweenness", "degree", "importance")))
+
+
+@query("greedy_modules")
+def greedy_modules(spark, sf_dir):
+    """J15 by the greedy rule, a map a task: tests hold it against known graphs."""
+    return Y.greedy_modules(graph(spark, sf_dir))
+
+
+@query("communities")
+def communities(spark, sf_dir):
+    """J15 in rounds of joins: tests hold its modularity against the greedy rule."""
+    return Y.communities(graph(spark, sf_dir))
 
 
 @query("canonical_names")
@@ -987,7 +1011,7 @@ def edges_meta(spark, sf_dir):
 @query("degree_centrality", f"WITH {GRAPH_SQL}, {STRENGTH}, z AS (SELECT map_key, count(*) AS k FROM n GROUP BY 1) SELECT map_key, concept, round((od + id) / (k - 1), 6) AS degree FROM n JOIN z USING (map_key)")
 def degree_centrality(spark, sf_dir):
     """J14's degree part."""
-    return G.importance(graph(spark, sf_dir)).select("map_key", "concept", F.round("degree", 6).alias("degree"))
+    return Y.degree(graph(spark, sf_dir)).select("map_key", "concept", F.round("degree", 6).alias("degree"))
 
 
 @query("centroid_proximity", """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), v AS (SELECT label, i, avg(x::DOUBLE) AS x FROM u GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS c FROM v GROUP BY 1)

@@ -72,38 +72,6 @@ def test_ranks(spark):
     assert R.tiered(weak, 0, 0.2).count() == 5
 
 
-def brute_betweenness(nodes, arcs):
-    def paths(s, t):
-        level, found = [[s]], []
-        while level and not found:
-            level = [p + [b] for p in level for a, b in arcs if a == p[-1] and b not in p]
-            found = [p for p in level if p[-1] == t]
-        return found
-
-    out = dict.fromkeys(nodes, 0.0)
-    for s in nodes:
-        for t in nodes:
-            if s != t and (p := paths(s, t)):
-                for v in nodes:
-                    if v not in (s, t):
-                        out[v] += sum(v in x for x in p) / len(p)
-    n = len(nodes)
-    return {v: x / ((n - 1) * (n - 2)) for v, x in out.items()}
-
-
-def test_centrality(spark):
-    arcs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("d", "e"), ("b", "e"), ("f", "a"), ("e", "a")]
-    got = {r.concept: r for r in G.importance(edges(spark, *((s, t, 1, 1.0) for s, t in arcs))).collect()}
-    want = brute_betweenness("abcdef", arcs)
-    assert all(math.isclose(got[v].betweenness, want[v], abs_tol=1e-12) for v in want)
-    assert got["a"].degree == 4 / 5 and max(r.importance for r in got.values()) == 1.0
-
-
-def test_modules():
-    arcs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("a", "x")]
-    assert G.modules("abcxyz", arcs) == {"a": 0, "b": 0, "c": 0, "x": 1, "y": 1, "z": 1} and G.modules("ab", []) == {"a": 0, "b": 1}
-
-
 def test_matrix_with_repeats_and_roles(spark):
     e = edges(spark, ("A", "B", 0.5, 0.9), ("A", "B", 0.7, 0.9), ("B", "C", 0.1, 0.9))
     m = G.dense_matrix(e).first()
