@@ -742,6 +742,20 @@ def stored_filtered(spark, sf_dir):
     return _store(spark, sf_dir).search(_near(spark, sf_dir)[0], 5, "label in (1, 2, 3)").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("stored_rows", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS width, CAST(list_sum(list_transform(embedding, lambda x, i: i * floor(1024 * x::DOUBLE))) AS BIGINT) AS digest FROM embeddings WHERE NOT list_contains(list_transform(embedding, lambda x: x IS NULL), true)")
+def stored_rows(spark, sf_dir):
+    """Rows written as a store's shards, vectors in index files, and read back; only whole vectors can be stored."""
+    from ..sources import store
+
+    store.register(spark)
+    path = f"{session_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<float>").alias("vector"))
+    rows.where("vector is not null and not exists(vector, x -> x is null)").write.format("causeway_store").mode("overwrite").save(path)
+    back = spark.read.format("causeway_store").schema("vec_id bigint, label int, vector array<float>").load(path)
+    placed = F.transform("vector", lambda x, i: (i + 1) * F.floor(1024 * x.cast("double")))
+    return back.select("vec_id", "label", F.size("vector").alias("width"), F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("digest"))
+
+
 @query("nearest_oversampled", NEAR_SQL.format(where="") + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM r WHERE rank <= 30 AND label IN (1, 2, 3)) SELECT query_id, vec_id, CAST(place AS INTEGER) AS rank, round(score, 6) AS score FROM k WHERE place <= 5")
 def nearest_oversampled(spark, sf_dir):
     """B17, oversampled: may give fewer than asked for."""
@@ -1051,6 +1065,16 @@ def graph_lines(spark, sf_dir):
     return W.gexf_rows(graph(spark, sf_dir)).where("part = 3").select("map_key", "n", F.regexp_extract("value", "^(.*)weight=", 1).alias("head"))
 
 
+@query("matrix_files", f"WITH {GRAPH_SQL}, v AS ({ENDS}) SELECT x.map_key, x.concept AS source, y.concept AS target, coalesce(b.weight, 0.0) AS weight FROM v x JOIN v y ON x.map_key = y.map_key LEFT JOIN b ON b.map_key = x.map_key AND b.source = x.concept AND b.target = y.concept")
+def matrix_files(spark, sf_dir):
+    """Every map as an adjacency file, and what a reader of the files gets back."""
+    from ..sources import readers, writers
+
+    path = f"{session_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    writers.matrix_csv(graph(spark, sf_dir), path)
+    return readers.matrices(spark, path, r"\.txt$")
+
+
 @query("graph_weights", f"WITH {GRAPH_SQL} SELECT map_key, row_number() OVER (PARTITION BY map_key ORDER BY source, target) AS n, source, target, weight FROM b")
 def graph_weights(spark, sf_dir):
     """K5: what a reader of the GEXF edge lines gets back, weights included."""

@@ -146,13 +146,15 @@ def uploads(spark: SparkSession, path: str, limit: int = 20, max_bytes: int = MA
     return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "ending", F.col("r.text").alias("text"), F.coalesce("early", "r.error", late).alias("error"))
 
 
-def matrices(spark: SparkSession, path: str) -> DataFrame:
-    """map_key (file name), source, target, weight of adjacency CSV and XLSX files.
+def matrices(spark: SparkSession, path: str, ending: str = r"\.(?:csv|xlsx)$") -> DataFrame:
+    """map_key, source, target, weight of adjacency CSV and XLSX files, those whose lower-case path meets ``ending``.
 
+    ``map_key`` is the file's name, or the value of its folder where folders are named map_key=value, as the writer names them.
     A file counts if its first cell is blank and it has a row for each named column. Rows stand for the columns' names in
     order, whatever their own labels; cells that are no numbers, and missing ones, are 0.
     """
-    files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(?:csv|xlsx)$")).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(ending))
+    key = F.col("map_key") if "map_key" in files.columns else F.regexp_extract("path", r"([^/]+)$", 1)
 
     @F.pandas_udf("array<struct<source:string,target:string,weight:double>>")
     def cells(content: pd.Series, name: pd.Series) -> pd.Series:
@@ -178,7 +180,7 @@ def matrices(spark: SparkSession, path: str) -> DataFrame:
 
         return pd.Series([parse(c, p) for c, p in zip(content, name)])
 
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("map_key"), F.explode(cells("content", "path")).alias("c")).select("map_key", "c.*")
+    return files.select(key.alias("map_key"), F.explode(cells("content", "path")).alias("c")).select("map_key", "c.*")
 
 
 def feeds(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

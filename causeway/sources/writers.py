@@ -35,7 +35,7 @@ def metadata_csv(metadata: DataFrame, path: str) -> None:
 
 def matrix_csv(edges: DataFrame, path: str, places: int = 3) -> None:
     """One adjacency CSV a map: a row a concept, rounded cells, labels quoted; partitioned by map."""
-    cells = F.transform("row", lambda x: F.format_number(x, places))
+    cells = F.transform("row", lambda x: F.replace(F.format_number(x, places), F.lit(",")))
     rows = G.dense_matrix(edges).select("map_key", "concepts", F.posexplode("matrix").alias("i", "row"))
     line = F.concat_ws(",", F.concat(F.lit('"'), F.regexp_replace(F.get("concepts", F.col("i")), '"', '""'), F.lit('"')), F.array_join(cells, ","))
     head = G.dense_matrix(edges).select("map_key", F.lit(-1).alias("i"), F.concat(F.lit('"",'), F.array_join(F.transform("concepts", lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))), ",")).alias("value"))

@@ -63,6 +63,13 @@ def test_uploads(spark, tmp_path):
     assert got["e.docx"][1].startswith("unreadable") and got["f.pdf"][1] == "no PDF reader" and got["g.md"][1] == "no text"
 
 
+def test_large_weights_keep_to_their_cells(spark, tmp_path):
+    edges = spark.createDataFrame([("m,1", "A, b", 'C "d"', 1234567.5, "x"), ("m,1", 'C "d"', "A, b", -2000.0, "y")], "map_key string, source string, target string, weight double, seen string")
+    W.matrix_csv(edges, str(tmp_path / "m"))
+    got = {(r.map_key, r.source, r.target): r.weight for r in S.matrices(spark, str(tmp_path / "m"), r"\.txt$").collect()}
+    assert got == {("m,1", "A, b", "A, b"): 0.0, ("m,1", "A, b", 'C "d"'): 1234567.5, ("m,1", 'C "d"', "A, b"): -2000.0, ("m,1", 'C "d"', 'C "d"'): 0.0}
+
+
 def test_matrices(spark, tmp_path):
     (tmp_path / "a.csv").write_text('"",Fish,"Reef, old"\nx,0,0.5\ny,bad\n')
     (tmp_path / "b.csv").write_text("name,a\nb,1\n")
