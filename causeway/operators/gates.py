@@ -65,6 +65,31 @@ def allowed(df: DataFrame, names, column: str) -> DataFrame:
     return df.where(c.isin([*names]) | F.regexp_replace(c, "-[^-]*$", "").isin([*names]) | F.exists(listed, lambda n: c.startswith(F.concat(n, F.lit("-")))))
 
 
+#: fixed values: what a failed fetch says, and its outcome; anything else is an error
+FAILURES = ((r"sign in|not a bot", "ip_blocked"), (r"unavailable|private", "video_na"), (r"disabled", "disabled"))
+
+
+def transcripts(videos: DataFrame, tracks: DataFrame, failures: DataFrame, min_chars: int = 400) -> DataFrame:
+    """Id, text, outcome of every distinct id of ``videos``, from landed tracks (id, name, content) and failures (id, message).
+
+    Tracks made by hand go before automatic ones (``auto`` in the name), which count only where there are none by hand; the
+    first by name that has words is the text. Outcomes: ok, too_short (the text is kept), or for an id without words the
+    outcome of its first message by code, or not_found. Null ids, and tracks and failures of no listed id, take no part.
+    """
+    auto = F.coalesce(F.lower("name").contains("auto"), F.lit(False))
+    read = tracks.where("id is not null").select("id", "name", auto.alias("auto"), T.transcript_text("content").alias("words"))
+    first = lambda which: F.min(F.when((F.col("words") != "") & which, F.struct(F.coalesce("name", F.lit("")).alias("name"), "words")))
+    best = read.groupBy("id").agg(F.bool_or(~F.col("auto")).alias("manual"), first(~F.col("auto")).alias("m"), first(F.col("auto")).alias("a"))
+    best = best.select("id", F.when(F.col("manual"), F.col("m.words")).otherwise(F.col("a.words")).alias("words"))
+    said, code = F.lower(F.coalesce("message", F.lit(""))), F.lit("error")
+    for pattern, outcome in reversed(FAILURES):
+        code = F.when(said.rlike(pattern), outcome).otherwise(code)
+    failed = failures.where("id is not null").groupBy("id").agg(F.min(code).alias("failed"))
+    rows = videos.select("id").dropna().distinct().join(best, "id", "left").join(failed, "id", "left")
+    found = F.when(F.length("words") >= min_chars, "ok").when(F.col("words").isNotNull(), "too_short").otherwise(F.coalesce("failed", F.lit("not_found")))
+    return rows.select("id", F.coalesce("words", F.lit("")).alias("text"), found.alias("outcome"))
+
+
 def parse_address(df: DataFrame, url: str = "url") -> DataFrame:
     """Host, path and query of an address, lower-cased host."""
     return df.withColumns({"host": F.lower(F.try_parse_url(url, F.lit("HOST"))), "path": F.try_parse_url(url, F.lit("PATH")), "query": F.try_parse_url(url, F.lit("QUERY"))})

@@ -239,3 +239,23 @@ def tiered(edges: DataFrame, limit: int = 6, threshold: float = 0.20, least: int
     r = met.selectExpr("*", f"row_number() over ({order}) as rank")
     r = r.where(F.col("rank") <= limit) if limit else r
     return r.where(~F.col("_few") | (F.col("rank") <= least)).drop("_m", "_few")
+
+
+#: fixed value: one to three plain words of four letters or more
+PHRASE = r"(?U)\b[A-Za-z][A-Za-z\-/]{3,}\b(?:\s+[A-Za-z][A-Za-z\-/]{3,}\b){0,2}"
+
+
+def fallback_phrases(chunks: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+    """map_key, nth, phrase: the first ``most`` phrases of each map of ``chunks`` that has no row in ``edges``.
+
+    Chunks follow by chunk_no, then doc_id; a phrase ends with its chunk. Null texts have none; null maps take no part. Each
+    chunk offers its own first ones, and tasks keep the first of a map before they meet.
+    """
+    bare = chunks.where("map_key is not null").join(edges.select("map_key").distinct(), "map_key", "left_anti")
+    found = bare.select("map_key", "chunk_no", "doc_id", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(PHRASE), F.lit(0)), 1, most)).alias("at", "phrase"))
+    return found.selectExpr("map_key", "row_number() over (partition by map_key order by chunk_no, doc_id, at, phrase) as nth", "phrase").where(F.col("nth") <= most)
+
+
+def fallback_concepts(chunks: DataFrame, edges: DataFrame, lexicon: Lexicon = DEFAULT, most: int = 12) -> DataFrame:
+    """map_key, concept: the named phrases of :func:`fallback_phrases`, nodes of maps that no relation was found in."""
+    return T.with_concepts(fallback_phrases(chunks, edges, most), lexicon, concept="phrase").where("concept <> ''").select("map_key", "concept").distinct()

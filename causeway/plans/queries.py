@@ -693,6 +693,37 @@ def clean_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_lines("text")).alias("digest"))
 
 
+MESSAGES = ("Sign in to confirm that you are not a bot", "Private video", "Video unavailable", "Captions are DISABLED here", "HTTP 500")
+
+
+@query("transcript_outcomes", r"""WITH w AS (SELECT concat('c', conv_id) AS id, role <> 'user' AS auto, concat(conv_id, '.', lpad(CAST(turn AS VARCHAR), 6, '0'), CASE WHEN role <> 'user' THEN '.auto.vtt' ELSE '.en.vtt' END) AS name,
+    list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^(WEBVTT|Kind:|Language:|NOTE)|-->|^[0-9]+$'))) AS l FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT id, auto, name, CASE WHEN len(l) > 0 THEN list_sum(list_transform(l, lambda x: length(x))) + len(l) - 1 ELSE 0 END AS n FROM w),
+b AS (SELECT id, CASE WHEN bool_or(NOT auto) THEN arg_min(n, name) FILTER (n > 0 AND NOT auto) ELSE arg_min(n, name) FILTER (n > 0) END AS n FROM n GROUP BY id)
+SELECT id, CAST(coalesce(n, 0) AS INTEGER) AS n_chars, CASE WHEN n >= 400 THEN 'ok' WHEN n > 0 THEN 'too_short' ELSE 'not_found' END AS outcome FROM b
+UNION ALL SELECT concat('d', doc_id), 0, CASE doc_id % 5 WHEN 0 THEN 'ip_blocked' WHEN 1 THEN 'video_na' WHEN 2 THEN 'video_na' WHEN 3 THEN 'disabled' ELSE 'error' END FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)""")
+def transcript_outcomes(spark, sf_dir):
+    """Turns as caption tracks, the user's by hand; documents as videos whose fetch failed."""
+    turns, docs = table(spark, sf_dir, "conversations").where("conv_id is not null"), table(spark, sf_dir, "documents").where("doc_id is not null")
+    auto = F.col("role") != "user"
+    tracks = turns.select(F.concat(F.lit("c"), "conv_id").alias("id"), F.concat("conv_id", F.lit("."), F.lpad(F.col("turn").cast("string"), 6, "0"), F.when(auto, ".auto.vtt").otherwise(".en.vtt")).alias("name"), F.concat(F.lit("WEBVTT\n\n00:00.000 --> 00:01.000\n"), "text").alias("content"))
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    failures = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), message.alias("message"))
+    found = B.transcripts(tracks.select("id").unionAll(failures.select("id")), tracks, failures)
+    return found.select("id", F.length("text").alias("n_chars"), "outcome")
+
+
+PHRASE_SQL = r"regexp_extract_all(regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}]', '0', 'g'), '\b[A-Za-z][A-Za-z\-/]{3,}\b(?:\s+[A-Za-z][A-Za-z\-/]{3,}\b){0,2}')[1:12]"
+
+
+#: SQL's word boundary knows ASCII alone, so other letters are digits there, which no phrase holds
+@query("fallback_phrases", f"SELECT doc_id AS map_key, CAST(generate_subscripts(p, 1) AS INTEGER) AS nth, unnest(p) AS phrase FROM (SELECT doc_id, {PHRASE_SQL} AS p FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))")
+def fallback_phrases(spark, sf_dir):
+    """A map a document; those with labels stand for the maps that have edges."""
+    chunks = table(spark, sf_dir, "documents").selectExpr("doc_id as map_key", "doc_id", "0 as chunk_no", "text")
+    return R.fallback_phrases(chunks, table(spark, sf_dir, "labels").selectExpr("doc_id as map_key"))
+
+
 @query("caption_text", "WITH t AS (SELECT conv_id, list_distinct(flatten(list(string_split(text, chr(10)) ORDER BY turn))) AS l FROM conversations GROUP BY conv_id) SELECT conv_id, len(list_filter(l, lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '^[0-9]+$'))) AS lines FROM t")
 def caption_text(spark, sf_dir):
     """Conversations as captions; a repeated line counts once."""

@@ -199,6 +199,12 @@ def videos(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("upload_date", T.upload_date("upload_date")).dropDuplicates(["id"])
 
 
+def caption_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """Id, name, content of landed caption files, named id.language.vtt or .srt, for :func:`gates.transcripts`."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    return files.where(F.lower("name").rlike(r"\.(?:vtt|srt)$")).select(F.regexp_extract("name", r"^([^.]*)", 1).alias("id"), "name", "content")
+
+
 def ready(spark: SparkSession, path: str, min_rows: int = 1) -> bool:
     """Is there a readable store of at least so many rows?"""
     try:
