@@ -64,3 +64,15 @@ def test_odd_vectors_rank_as_before(spark):
     queries = spark.createDataFrame([(6, [1.0, 0.0]), (9, None), (None, [1.0, 0.0])], "query_id long, q array<double>")
     got = sorted((x.query_id, x["rank"], x.vec_id) for x in V.nearest(queries, df, 9).collect())
     assert got == [(6, 1, 3), (6, 2, 1), (6, 3, 2), (6, 4, 4), (9, 1, 1), (9, 2, 2), (9, 3, 3), (9, 4, 4), (9, 5, 6)]
+
+
+def test_bundles_take_their_passages_from_matrices(spark, many):
+    from causeway.plans import maps
+
+    df = spark.createDataFrame([(i, p, f"passage {i}") for i, p in many], "vec_id long, embedding array<double>, text string")
+    asked = [many[7], many[333]]
+    queries = spark.createDataFrame([(i, p, f"q{i}") for i, p in asked], "query_id long, q array<double>, question string")
+    chunks = maps.question_chunks(queries, df, 3)
+    assert "MapInArrow" in chunks._jdf.queryExecution().toString()
+    want = {q: [i for n, _, i, _ in plain(asked, many, 3) if n == q] for q, _ in asked}
+    assert {r.map_key: r.text for r in chunks.collect()} == {q: f"Question: q{q}\n\nAnswer:\n\n\nContext:\n" + "\n\n".join(f"passage {i}" for i in found) for q, found in want.items()}
