@@ -16,18 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .retrieve import dot
+from . import scores as S
+from .retrieve import QUERY_BYTES, dot, finite, named
 
 #: Pivots, and rings of a cell: what the driver holds of an index is their product's rows at most.
 PIVOTS, RINGS = 64, 8
 SLACK = 1e-9
 
 
-def _finite(c) -> F.Column:
-    bad = F.exists(c, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.col(c).isNotNull() & (F.size(c) > 0) & ~F.coalesce(bad, F.lit(True))
-
-
 def build(vectors: DataFrame, path: str, pivots: int = PIVOTS, rings: int = RINGS) -> VectorStore:
     """Write ``vectors`` (vec_id, embedding, ...), all of one length, as an index; rows with null or not finite components go.
 
@@ -37,7 +33,7 @@ def build(vectors: DataFrame, path: str, pivots: int = PIVOTS, rings: int = RING
     spark = vectors.sparkSession
     if {"cell", "ring", "r"} & {c.lower() for c in vectors.columns}:
         raise ValueError("cell, ring and r name the index's own columns")
-    good = vectors.where(_finite("embedding"))
+    good = vectors.where(finite("embedding"))
     chosen = good.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     points = np.array([x[0] for x in chosen], np.float64)
     held = spark.sparkContext.broadcast(points)
@@ -81,8 +77,11 @@ class VectorStore:
         bound = F.least((F.col("qq") + F.col("longest") * F.col("longest") - least * least) / 2, F.col("qp") + F.sqrt("qq") * F.col("high"), F.sqrt("qq") * F.col("longest"))
         return met.select("query_id", "q", "cell", "ring", "n", (bound + SLACK * (1 + F.sqrt("qq") * F.col("longest"))).alias("bound"))
 
-    def _scored(self, wanted: DataFrame, where: str | None) -> DataFrame:
-        """query_id, vec_id, score of the vectors in the wanted (query_id, q, cell, ring); other folders are not listed."""
+    def _scored(self, wanted: DataFrame, where: str | None, k: int | None = None) -> DataFrame:
+        """query_id, vec_id, score of the vectors in the wanted (query_id, q, cell, ring); other folders are not listed.
+
+        With ``k`` only the best of each task's rows; queries of more than QUERY_BYTES are joined.
+        """
         folders = [(r[0], r[1]) for r in wanted.select("cell", "ring").distinct().collect()]  # PIVOTS x RINGS at most
         by_cell: dict[int, list[int]] = {}
         for cell, ring in folders:
@@ -93,15 +92,43 @@ class VectorStore:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
         rows = self.spark.read.schema(f"{fields}, cell int, ring int").parquet(f"{self.path}/vectors").where(inside)
         rows = rows.where(where) if where else rows
+        if k is not None and wanted.select("query_id", F.size("q").alias("n")).distinct().agg(F.coalesce(F.sum(F.col("n") * 8 + 64), F.lit(0))).first()[0] <= QUERY_BYTES:
+            return self._best(wanted, rows, k)
         return rows.select("vec_id", "embedding", "cell", "ring").join(wanted.select("query_id", "q", "cell", "ring"), ["cell", "ring"]).where("query_id <> vec_id").select("query_id", "vec_id", dot("embedding", "q").alias("score"))
 
+    def _best(self, wanted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+        """The best ``k`` of each query in a task's rows: all queries that want a folder meet its vectors as matrices."""
+        queries, rows, schema = named(wanted.select("query_id", F.col("q").cast("array<double>").alias("q")).distinct(), rows)
+        asked = queries.toArrow().combine_chunks()
+        if not len(asked):
+            return self.spark.createDataFrame([], schema).select("query_id", "vec_id", "score")
+        ids = {x: i for i, x in enumerate(asked["query_id"].to_pylist())}
+        meant: dict[tuple[int, int], np.ndarray] = {}
+        # a row a folder, PIVOTS x RINGS at most, of the queries that want it
+        for cell, ring, names in wanted.groupBy("cell", "ring").agg(F.collect_list("query_id")).toLocalIterator():
+            meant[cell, ring] = np.array(sorted(ids[x] for x in names), np.int32)
+        held = self.spark.sparkContext.broadcast((asked["name"].chunk(0), asked["query_id"].chunk(0), S.matrix(asked["q"]), meant))
+
+        def blocks(batches):
+            for batch in batches:
+                table, places = pa.Table.from_batches([batch]), np.stack([batch.column(i).to_numpy() for i in (3, 4)], axis=1)
+                for cell, ring in np.unique(places, axis=0).tolist() if len(places) else []:
+                    here = table.take(pa.array(np.flatnonzero((places == (cell, ring)).all(1))))
+                    yield here.select(["name", "vec_id", "ok"]), S.matrix(here["embedding"]), held.value[3].get((cell, ring), np.zeros(0, np.int32))
+
+        def run(batches):
+            yield from S.best(*held.value[:3], k, blocks(batches))
+
+        rows = rows.where("name is not null").select("name", "vec_id", F.lit(True).alias("ok"), "cell", "ring", F.col("embedding").cast("array<double>").alias("embedding"))
+        return rows.mapInArrow(run, schema).select("query_id", "vec_id", "score")
+
     def wanted(self, queries: DataFrame, k: int, where: str | None = None) -> DataFrame:
         """query_id, q, cell, ring: what a search has to read; the rest cannot hold one of a query's best ``k``."""
         bounds = written(self.bounds(queries), "bounds")
         order = "partition by query_id order by bound desc, cell, ring"
         # one vector more than k: the query's own may be among them
         first = bounds.selectExpr("*", f"sum(n) over ({order} rows between unbounded preceding and 1 preceding) as before").where(F.coalesce(F.col("before"), F.lit(0)) <= k)
-        best = self._scored(written(first, "first"), where).selectExpr("query_id", "score", "row_number() over (partition by query_id order by score desc) as nth").where(F.col("nth") <= k)
+        best = self._scored(written(first, "first"), where, k).selectExpr("query_id", "score", "row_number() over (partition by query_id order by score desc) as nth").where(F.col("nth") <= k)
         least = best.where(F.col("nth") == k).select("query_id", F.col("score").alias("least"))
         return bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("query_id", "q", "cell", "ring")
 
@@ -111,6 +138,6 @@ class VectorStore:
         Queries are a stated set with distinct ids. A query that is null, or of another length, has no result.
         """
         size = self.spark.read.parquet(f"{self.path}/rings").agg(F.max(F.size("pivot"))).first()[0]
-        asked = queries.where(_finite("q") & (F.size("q") == F.lit(size)) if size else F.lit(False))
-        found = self._scored(written(self.wanted(asked, k, where), "wanted"), where)
+        asked = queries.where(finite("q") & (F.size("q") == F.lit(size)) if size else F.lit(False))
+        found = self._scored(written(self.wanted(asked, k, where), "wanted"), where, k)
         return found.selectExpr("query_id", "vec_id", "score", "row_number() over (partition by query_id order by score desc, vec_id) as rank").where(F.col("rank") <= k)
