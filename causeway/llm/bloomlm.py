@@ -11,9 +11,9 @@ its words, which undoes most false finds.
     P(w|v) = (c(vw) + MU P(w)) / (c(v) + MU)            (Dirichlet smoothing; v is the end before a first word)
 
 The filter is made of segments of bounded size, one a task; it grows with the distinct n-grams of the corpus. Up to
-``broadcast_bytes`` it goes to the workers as it is. Beyond, the n-grams go to the segments: each task of a segment reads the
-levels for the blocks of hashes that the document tasks ask for, and the answers return to the documents. Both ways give the
-same scores. The base score needs exact counts of words: the most frequent (FREQUENT at most) are broadcast, the documents'
+``broadcast_bytes`` it goes to the workers as it is. Beyond, the n-grams go to the segments: blocks of documents ask each
+segment for their distinct hashes in order, its task reads the levels of all blocks at once, and a byte a hash returns to the
+documents. Both ways give the same scores. The base score needs exact counts of words: the most frequent (FREQUENT at most) are broadcast, the documents'
 other words are joined with the table of counts.
 """
 
@@ -35,8 +35,10 @@ BITS, PROBES, MU = 8, 4, 300.0
 HELD, SEGMENT_TOKENS = 1 << 19, 1 << 21
 #: Words whose exact counts are broadcast (16 bytes each).
 FREQUENT = 2_000_000
-#: A larger filter stays in Spark.
-BROADCAST_BYTES = 128 << 20
+#: A larger filter stays in Spark; documents ask it in blocks of about so many bytes of text.
+BROADCAST_BYTES, BLOCK_BYTES = 128 << 20, 4 << 20
+#: Hashes that a segment looks up at once.
+LOOKED_UP = 1 << 20
 #: The end of a document: no word hashes to it but by chance, as to any other word.
 END = wordhash.mixed(np.array([0xE0D], np.uint64))[0]
 _U = np.uint64
@@ -287,9 +289,10 @@ class _Scorer:
         else:
             base[~known] = 0.0
             at = np.flatnonzero(~known)
-            codes, met = np.unique(np.stack([np.searchsorted(starts, at, side="right") - 1, which[at]]), axis=1, return_counts=True)
-            edges = np.searchsorted(codes[0], np.arange(len(counts) + 1))
-            names = distinct[codes[1]].view(np.int64)
+            # one number a (document, word): sorting rows of two takes ten times as long
+            codes, met = np.unique((np.searchsorted(starts, at, side="right") - 1) * len(distinct) + which[at], return_counts=True)
+            edges = np.searchsorted(codes, np.arange(len(counts) + 1) * len(distinct))
+            names = distinct[codes % max(1, len(distinct))].view(np.int64)
             other = [names[edges[i] : edges[i + 1]] for i in range(len(counts))]
             times = [met[edges[i] : edges[i + 1]] for i in range(len(counts))]
         return [counts, _sums(known.astype(np.int64), counts), _sums(base, counts), _sums(score, counts), other, times]
@@ -325,24 +328,25 @@ def _direct(held):
 
 
 def _cut(batches):
-    """Blocks of documents: number, keys, tokens and token counts."""
+    """Blocks of documents: number, keys and texts."""
     row = _numbered()
-    for batch in _texts(batches):
-        tokens, counts = tokens_of(batch.column(1))
-        keys = batch.column(0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([row], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([tokens.tobytes()], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())],
-            names=["block", "doc_keys", "tokens", "counts"],
-        )
-        row += len(counts)
+    for batch in _texts(batches, BLOCK_BYTES):
+        listed = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), listed(batch.column(0)), listed(batch.column(1).cast(pa.string()))], names=["block", "doc_keys", "texts"])
+        row += batch.num_rows
+
+
+def _keys_of(scorer: _Scorer, tokens: np.ndarray) -> np.ndarray:
+    """What a block asks for: its distinct keys in order, which is the order of segments too."""
+    *_, words, pairs = scorer.asked(tokens)
+    return np.unique(np.concatenate([words, pairs]))
 
 
 def _asks(scorer, segments: int):
     def run(batches):
         for batch in batches:
-            for block, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-                *_, words, pairs = scorer.value.asked(np.frombuffer(tokens.as_py(), np.uint64))
-                keys = np.unique(np.concatenate([words, pairs]))
+            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = _keys_of(scorer.value, tokens_of(texts.values)[0])
                 for cut in _blocks(segments)(keys, np.zeros(len(keys), np.int8)):
                     yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([block] * len(cut), pa.int64()), cut.column(1)], names=["segment", "block", "keys"])
 
@@ -350,20 +354,28 @@ def _asks(scorer, segments: int):
 
 
 def _answers(asks: pa.Table, data: pa.Table) -> pa.Table:
-    """The levels of all keys that blocks ask of one segment (a segment by itself holds every key asked of it)."""
-    blocks, keys = asks.column("block").to_pylist(), asks.column("keys").to_pylist()
+    """The levels of all keys that blocks ask of one segment (a segment by itself holds every key asked of it).
+
+    Blocks ask for few keys each and often for the same: many blocks' keys are looked up at once, each once.
+    """
     here = Filter.of(data.column("data").to_pylist())
-    levels = [here.levels(np.frombuffer(k, np.uint64)).tobytes() for k in keys]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(keys, pa.binary()), "levels": pa.array(levels, pa.binary())})
+    keys = [np.frombuffer(k, np.uint64) for k in asks.column("keys").to_pylist()]
+    ends, levels, at = np.cumsum([0, *map(len, keys)]), [], 0
+    while at < len(keys):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + LOOKED_UP, side="right")) - 1)
+        distinct, which = np.unique(np.concatenate(keys[at:to]), return_inverse=True)
+        found = here.levels(distinct)[which]
+        levels += [found[ends[i] - ends[at] : ends[i + 1] - ends[at]].tobytes() for i in range(at, to)]
+        at = to
+    return pa.table({"block": asks.column("block"), "segment": asks.column("segment"), "levels": pa.array(levels, pa.binary())})
 
 
 def _answered(scorer):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in answers.column("keys").to_pylist())])
-        levels = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(v, np.uint8) for v in answers.column("levels").to_pylist())])
-        order = np.argsort(keys)
-        keys, levels = keys[order], levels[order]
-        tokens, counts = (np.frombuffer(blocks.column(c)[0].as_py(), kind) for c, kind in (("tokens", np.uint64), ("counts", np.int64)))
+        blocks, answers = blocks.combine_chunks(), answers.sort_by("segment")
+        levels = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        tokens, counts = tokens_of(blocks.column("texts").chunk(0).flatten())
+        keys = _keys_of(scorer.value, tokens)
         found = scorer.value.rows(tokens, counts, lambda asked: levels[np.searchsorted(keys, asked)])
         return pa.Table.from_batches([_batch(blocks.column("block")[0].as_py(), blocks.column("doc_keys").chunk(0).flatten(), found)])
 
@@ -389,9 +401,9 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         found = texts.mapInArrow(_direct(held), schema)
     else:
         held = spark.sparkContext.broadcast(scorer)
-        blocks = materialize(texts.mapInArrow(_cut, f"block long, doc_keys array<{kind}>, tokens binary, counts binary"), "token-blocks")
-        asks = blocks.select("block", "tokens").mapInArrow(_asks(held, model.count), "segment int, block long, keys binary")
-        answers = asks.groupBy("segment").cogroup(model.segments.groupBy("segment")).applyInArrow(_answers, "block long, keys binary, levels binary")
+        blocks = materialize(texts.mapInArrow(_cut, f"block long, doc_keys array<{kind}>, texts array<string>"), "text-blocks", "zstd")
+        asks = blocks.select("block", "texts").mapInArrow(_asks(held, model.count), "segment int, block long, keys binary")
+        answers = asks.groupBy("segment").cogroup(model.segments.groupBy("segment")).applyInArrow(_answers, "block long, segment int, levels binary")
         found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answered(held), schema)
     columns = ["row", "key", "n_tokens", "n_known", "base_score", "score"]
     if not scorer.all_held:

@@ -113,6 +113,22 @@ def test_probes_sent_to_segments_give_the_same(spark, docs, monkeypatch):
     assert all(a[:3] == b[:3] and a[4] == b[4] and abs(a[3] - b[3]) < 1e-6 for a, b in zip(few, direct))
 
 
+def test_a_segment_looks_up_many_blocks_at_once(spark, docs, monkeypatch):
+    """A look-up a block of each segment took most of the time of a filter of many segments: their number grows with both."""
+    keys = np.unique(np.random.default_rng(6).integers(0, 2**63, 3000).astype(np.uint64))
+    data = B.filled(keys, np.arange(1, len(keys) + 1)).tobytes()
+    asked = [keys[i % 7 :: 7] for i in range(40)]
+    calls, levels = [], B.Filter.levels
+    monkeypatch.setattr(B.Filter, "levels", lambda self, k: calls.append(len(k)) or levels(self, k))
+    asks = pa.table({"segment": pa.array([0] * 40, pa.int32()), "block": list(range(40)), "keys": pa.array([k.tobytes() for k in asked], pa.binary())})
+    for most, times in ((B.LOOKED_UP, 1), (1000, 20)):
+        monkeypatch.setattr(B, "LOOKED_UP", most)
+        calls.clear()
+        got = B._answers(asks, pa.table({"data": pa.array([data], pa.binary())}))
+        assert len(calls) <= times and got.column("block").to_pylist() == list(range(40))
+        assert got.column("levels").to_pylist() == [levels(B.Filter.of([data]), k).tobytes() for k in asked]
+
+
 def test_model_prefers_held_out_copies_of_the_language(docs):
     r = random.Random(8)
     follow = {f"w{i}": [f"w{r.randrange(60)}" for _ in range(3)] for i in range(60)}
