@@ -31,6 +31,8 @@ LOW, HIGH = 4, 6
 CACHE = 100_000
 #: Longer chunks are not kept in a cache; characters that are scored at a time; texts that are.
 LONG, PIECE, TEXTS = 256, 1 << 16, 200
+#: N-grams of the fit that are strings of Python at a time.
+BLOCK = 1 << 15
 #: Lengths in words at which a document's stretches are compared, beside its whole.
 STRETCHES = (1, 4, 16, 64)
 DISCOUNT, FEATURES = 0.75, 2 + len(STRETCHES)
@@ -239,10 +241,11 @@ def _trigrams(docs: DataFrame, text: str) -> DataFrame:
     return words.mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _shared(docs: DataFrame, text: str, grams: list[str]) -> Shared:
+def _shared(docs: DataFrame, text: str, grams: list[str] | pa.ChunkedArray) -> Shared:
     """The shared counts of the whole corpus that the n-grams of the labelled sample ask for; the others stay in their table."""
     spark, mask = docs.sparkSession, (1 << 21) - 1
-    c = points("".join(g[-3:] for g in grams if len(g) > 2)).astype(np.int64).reshape(-1, 3)
+    ends = set().union(*({g[-3:] for g in some if len(g) > 2} for some in _blocks(grams)))
+    c = points("".join(ends)).astype(np.int64).reshape(-1, 3)
     three = np.unique(_code(c[:, 0], c[:, 1], c[:, 2]))
     two = np.unique(np.concatenate([three >> 21, three & (1 << 42) - 1]))
     table = materialize(_trigrams(docs, text), "toxicity-shared")
@@ -276,13 +279,15 @@ def _ratios(grams, contexts, shared: Shared | dict[str, int]) -> tuple[Grams, Gr
     """Interpolated Kneser-Ney probabilities of both classes as ratios: of n-grams, and of the weight below each context.
 
     ``grams`` has an n-gram and both counts, ``contexts`` a context, its counts and its kinds, as rows or Arrow tables.
+    Their strings are made and hashed BLOCK at a time; numbers alone are held of all.
     """
     if isinstance(shared, dict):
         shared = Shared.of(shared)
     texts, n = _columns(grams, 2)
     names, t = _columns([(c, *x) for c, x in contexts.items()] if isinstance(contexts, dict) else contexts, 4)
     weight = np.where(t[:2] > 0, DISCOUNT * t[2:] / np.maximum(t[:2], 1), 1.0)
-    row, context = Grams(hashes(texts), np.arange(len(texts))), Grams(hashes(names), np.arange(len(names)))
+    every, below = _hashes(texts), _hashes(names)
+    row, context = Grams(every, np.arange(len(every))), Grams(below, np.arange(len(below)))
 
     def at(table: Grams, columns: np.ndarray, keys: list[str], missing: float) -> np.ndarray:
         i, held = table.find(hashes(keys))
@@ -301,14 +306,25 @@ def _ratios(grams, contexts, shared: Shared | dict[str, int]) -> tuple[Grams, Gr
             out[:, ~plain] = at(context, weight, before, 1.0) * probability([g[1:] for g in rest]) + np.where(seen > 0, np.maximum(at(row, n, rest, 0.0) - DISCOUNT, 0) / np.maximum(seen, 1), 0)
         return out
 
-    p = probability(texts)
-    return Grams(hashes(texts), np.log(p[1] / p[0])), Grams(hashes(names), np.log(weight[1] / weight[0]))
+    p = np.concatenate([np.zeros((2, 0)), *map(probability, _blocks(texts))], 1)
+    return Grams(every, np.log(p[1] / p[0])), Grams(below, np.log(weight[1] / weight[0]))
 
 
-def _columns(rows, width: int) -> tuple[list[str], np.ndarray]:
+def _blocks(texts: list[str] | pa.ChunkedArray):
+    """The strings, in lists of at most BLOCK."""
+    for at in range(0, len(texts), BLOCK):
+        some = texts[at : at + BLOCK]
+        yield some if isinstance(some, list) else some.to_pylist()
+
+
+def _hashes(texts: list[str] | pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *map(hashes, _blocks(texts))])
+
+
+def _columns(rows, width: int) -> tuple[list[str] | pa.ChunkedArray, np.ndarray]:
     """The strings and the numbers (a row a column) of rows or of an Arrow table."""
     if isinstance(rows, pa.Table):
-        return rows.column(0).to_pylist(), np.array([c.to_numpy() for c in rows.columns[1:]], float).reshape(width, -1)
+        return rows.column(0), np.array([c.to_numpy() for c in rows.columns[1:]], float).reshape(width, -1)
     return [r[0] for r in rows], np.array([r[1:] for r in rows], float).reshape(-1, width).T
 
 
@@ -337,8 +353,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         grams = grams.unionByName(level)
     grams = materialize(grams, "toxicity-levels").withColumn("context", F.expr("substring(g, 1, length(g) - 1)"))
     totals = grams.groupBy("context").agg(F.sum("n0"), F.sum("n1"), F.count(F.when(F.col("n0") > 0, 1)), F.count(F.when(F.col("n1") > 0, 1)))
-    held = grams.select("g", "n0", "n1").toArrow().sort_by("g")  # grows with the sample, of at most MAX_DOCS documents a class, alone
-    ratio, backoff = _ratios(held, totals.toArrow().sort_by("context"), _shared(docs, text, held.column(0).to_pylist()))
+    held = grams.select("g", "n0", "n1").toArrow()  # grows with the sample, of at most MAX_DOCS documents a class, alone
+    common = _shared(docs, text, held.column(0))
+    ratio, backoff = _ratios(held, totals.toArrow(), common)
+    del held, common
+    pa.default_memory_pool().release_unused()
     model = Model(ratio, backoff, np.zeros(FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -349,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(FEATURES)), batch.column(1)], names=[*map("f{}".format, range(FEATURES)), "toxic"])
 
     seen = np.array(sorted(tuple(r) for r in bodies.where("fold = 0").select("text", "toxic").mapInArrow(measured, ", ".join(f"f{i} double" for i in range(FEATURES)) + ", toxic int").collect()), float).reshape(-1, FEATURES + 1)
-    shared.unpersist()  # workers would keep this copy beside the scoring one
+    shared.destroy()  # workers and the driver would keep this copy beside the scoring one
     model.weights, model.prior = _logistic(seen[:, :-1], seen[:, -1]), float((seen[:, -1].sum() + 1) / (len(seen) + 2)) if len(seen) else 0.01
     return model
 

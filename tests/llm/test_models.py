@@ -427,3 +427,26 @@ def test_grams_seen_once_are_held(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in ids], LABEL))
     alone = toxicity.hashes([words[i][1:7] for i in ids])
     assert model.ratio.find(alone)[1].mean() > 0.5
+
+
+def test_toxicity_fit_holds_numbers_of_all_and_strings_of_a_block(monkeypatch):
+    """What the driver takes grows by less than 200 bytes an n-gram, and no block changes a ratio."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = random.Random(3), 200_000
+    grams = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)})
+    contexts = list({g[:-1] for g in grams})
+    numbers = lambda k, of: [pa.array([rng.randrange(1, 3) for _ in of]) for _ in range(k)]
+    held, totals = pa.table([pa.array(grams), *numbers(2, grams)], names=["g", "n0", "n1"]), pa.table([pa.array(contexts), *numbers(4, contexts)], names=["c", "t0", "t1", "k0", "k1"])
+    common = toxicity.Shared.of({g[-3:]: 1 for g in grams})
+    tracemalloc.start()
+    ratio, backoff = toxicity._ratios(held, totals, common)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 * (len(grams) + len(contexts)), most
+    for block in (1 << 30, 1000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        again = toxicity._ratios(held, totals, common)
+        assert all((a.keys == b.keys).all() and (a.values == b.values).all() for a, b in zip((ratio, backoff), again))
