@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Queries and vectors whose products are taken at once, and products that are scored again at once.
-QUERIES, VECTORS, AGAIN = 1024, 2048, 1 << 16
+QUERIES, VECTORS, AGAIN = 512, 2048, 1 << 16
+#: Longest queries and vectors whose products are taken in single precision; others are taken in doubles.
+SINGLE = 1e6
 
 
 def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,6 +34,7 @@ class Best:
         self.names, self.queries, self.k = names, queries, k
         self.codes = pc.index_in(names, names.unique()).to_numpy()
         self.lengths = np.sqrt((queries * queries).sum(1))
+        self.single = queries.astype(np.float32) if self.lengths.max(initial=0.0) < SINGLE else None
         self.least = np.full(len(queries), -np.inf)
         self.parts: list[pa.Table] = []
         self.held, self.room = 0, 1 << 17
@@ -48,15 +51,25 @@ class Best:
                 self._choose(meant[at : at + QUERIES], here, block, own, at_own, longest)
 
     def _choose(self, asked, here, block, own, at_own, longest) -> None:
-        products = self.queries[asked] @ block.T
-        if len(at_own):
-            products[:, at_own] = np.where(self.codes[asked][:, None] == own[at_own], -np.inf, products[:, at_own])
-        # more than two orders of adding can differ by
-        slack = 1e-15 * (block.shape[1] + 4) * self.lengths[asked] * longest
+        """Keep the pairs that the products of a block cannot exclude: a product differs from its score by less than ``slack``."""
+        if single := self.single is not None and longest < SINGLE:
+            products = self.single[asked] @ block.astype(np.float32).T
+        else:
+            products = self.queries[asked] @ block.T
+        # more than two orders of adding, and roundings of the components, can differ by; at last what numbers near 0 lose
+        slack = (1.3e-7 if single else 1e-15) * (block.shape[1] + 4) * self.lengths[asked] * longest + (1e-25 if single else 0.0)
         if self.k < len(block) and np.isneginf(self.least[asked]).any():
+            if len(at_own):
+                products[:, at_own] = np.where(self.codes[asked][:, None] == own[at_own], -np.inf, products[:, at_own])
             nth = np.partition(products, len(block) - self.k, axis=1)[:, len(block) - self.k]
             self.least[asked] = np.maximum(self.least[asked], nth - slack)
-        q, v = np.nonzero((products >= (self.least[asked] - slack)[:, None]) & ~np.isneginf(products) if len(at_own) else products >= (self.least[asked] - slack)[:, None])
+        bound = np.nextafter((self.least[asked] - slack).astype(products.dtype), -np.inf, dtype=products.dtype)
+        # most queries have no pair to keep in most blocks; doubles of any length may overflow, and a row's maximum is then no number
+        hit = np.flatnonzero(products.max(1) >= bound) if single else np.arange(len(asked))
+        q, v = np.divmod(np.flatnonzero(products[hit] >= bound[hit][:, None]), len(block))
+        q = hit[q]
+        other = self.codes[asked[q]] != own[v]
+        q, v = q[other], v[other]
         for cut in range(0, len(q), AGAIN):
             self._keep(asked[q[cut : cut + AGAIN]], v[cut : cut + AGAIN], here, block)
 

@@ -76,3 +76,31 @@ def test_bundles_take_their_passages_from_matrices(spark, many):
     assert "MapInArrow" in chunks._jdf.queryExecution().toString()
     want = {q: [i for n, _, i, _ in plain(asked, many, 3) if n == q] for q, _ in asked}
     assert {r.map_key: r.text for r in chunks.collect()} == {q: f"Question: q{q}\n\nAnswer:\n\n\nContext:\n" + "\n\n".join(f"passage {i}" for i in found) for q, found in want.items()}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e9])
+def test_single_precision_only_chooses(scale):
+    """Scores that differ far below single precision rank by doubles, of vectors too long for it and of tiny ones too."""
+    r = np.random.default_rng(9)
+    points = scale * (r.normal(size=8) + 1e-9 * r.normal(size=(400, 8)))
+    many = list(enumerate(points.tolist()))
+    ids, asked = pa.array(range(400)), [3, 77, 250]
+    best = S.Best(ids.take(pa.array(asked)), points[asked], 5)
+    assert (best.single is None) == (scale == 1e9)
+    for at in range(0, 400, 90):
+        best.add(pa.table({"name": ids.slice(at, 90), "vec_id": ids.slice(at, 90)}), points[at : at + 90])
+    got = best.rows().to_pylist()
+    assert sorted((asked[x["q"]], x["vec_id"], x["score"]) for x in got) == sorted((q, i, s) for q, _, i, s in plain([many[i] for i in asked], many, 5))
+
+
+def test_vectors_are_not_read_for_each_partition_of_queries(spark, many):
+    """Without a table small enough for Spark's own broadcast, as of large tables, no product of partitions is planned."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for odd in ([], [(9_000, [1.0]), (9_001, None)]):
+            df = spark.createDataFrame([*many, *odd], "vec_id long, embedding array<double>")
+            found = V.nearest(spark.createDataFrame([*many[::100], *odd], "query_id long, q array<double>"), df, 3)
+            assert "CartesianProduct" not in found._jdf.queryExecution().toString() and found.where("query_id < 9000").count() == 21
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
