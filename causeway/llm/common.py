@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import counted  # noqa: F401
 from ..shared import written as materialize  # noqa: F401  the operators' name for it
 
 

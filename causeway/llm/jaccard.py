@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, materialize, sliced, whole_text
+from .common import counted, fresh_names, materialize, sliced, whole_text
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -238,24 +238,31 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "features"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the least node that the edges (a, b) reach from each of their nodes.
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, comp): the least node that the edges (a, b), and those that gave ``known``, reach from each of their nodes.
 
     Labels spread to neighbours and then jump to their labels' labels, so long chains shorten by halves; every round is
-    written in the shared folder, and only the number of changes reaches the driver.
+    written in the shared folder, and only the number of changes reaches the driver. Of the components ``known`` from
+    earlier edges only those that the new edges join are labelled anew.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = materialize(both, "links")
+    if known is not None:
+        of = lambda name: known.select(F.col("node").alias(name), F.col("comp").alias(f"_{name}"))
+        edges = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    both, n = counted(edges.where("a <> b").selectExpr("inline(array(struct(a, b), struct(b as a, a as b)))").distinct(), "links")
+    if known is not None and not n:
+        return known
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    while True:
+    changed = n
+    while changed:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        after = materialize(lower.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"), "labels")
-        changed = after.where("comp <> old").limit(1).count()
+        after, changed = counted(lower.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"), "labels", F.col("comp") != F.col("old"))
         labels = after.select("node", "comp")
-        if not changed:
-            return labels
+    if known is None:
+        return labels
+    moved = known.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return materialize(moved.unionByName(labels.join(known, "node", "left_anti")), "labels")
 
 
 def _verify(pairs: DataFrame, features: DataFrame, similar) -> DataFrame:
@@ -371,11 +378,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
 
     fits = lambda m, n: q * F.least(m, n) >= p * F.greatest(m, n)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar; the sets of their nodes alone are made again."""
+    def verified(pairs: DataFrame, n: int) -> DataFrame:
+        """Of ``n`` pairs those whose sets are similar; the sets of their nodes alone are made again."""
+        if not n:
+            return pairs
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        needed = materialize(nodes.join(first, "node").select("doc_id"), "needed")
-        needed = F.broadcast(needed) if needed.count() <= broadcast_ids else needed
+        needed, n = counted(nodes.join(first, "node").select("doc_id"), "needed")
+        needed = F.broadcast(needed) if n <= broadcast_ids else needed
         features = materialize(texts.join(needed, "doc_id", "left_semi").select("text").mapInArrow(_features, "node long, features binary"), "features").dropDuplicates(["node"])
         return materialize(_verify(pairs, features, similar), "verified")
 
@@ -386,24 +395,22 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similar=SIMI
     hubs = materialize(hubs.selectExpr("sig", "node", "n", "size", "score", "hub.node as hub", "hub.n as m", "hub.score as hub_score"), "hubs")
     met = hubs.where((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("m")))
     pairs = met.groupBy(F.col("node").alias("b")).agg(F.max_by("hub", F.struct("hub_score", "hub")).alias("a")).select("a", "b")
-    pairs = materialize(_sketched(pairs, sketches, similar), "pairs")
-    links = verified(pairs)
-    labels = components(links)
+    pairs, n = counted(_sketched(pairs, sketches, similar), "pairs")
+    labels = components(verified(pairs, n))
     of = lambda name, comp: labels.select(F.col("node").alias(name), F.col("comp").alias(comp))
     apart = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    second = materialize(_sketched(apart.join(pairs, ["a", "b"], "left_anti"), sketches, similar), "pairs")
-    links = materialize(links.unionByName(verified(second)), "verified")
+    second, n = counted(_sketched(apart.join(pairs, ["a", "b"], "left_anti"), sketches, similar), "pairs")
     tried = pairs.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    labels = components(links)
+    labels = components(verified(second, n), labels)
     # every fitting pair with a hub has been looked at: a group needs two other nodes of different components
     grouped = hubs.where((F.col("size") > 2) & (F.col("node") != F.col("hub"))).select("sig", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     grouped = grouped.selectExpr("*", "min(comp) over (partition by sig) as lo", "max(comp) over (partition by sig) as hi", "count(*) over (partition by sig) as size", "row_number() over (partition by sig order by n, node) as nth").where("lo <> hi")
     tiles = grouped.selectExpr("sig", "node", "comp", f"cast((nth - 1) div {TILE} as int) as mine", f"cast((size - 1) div {TILE} as int) as most").withColumn("with", F.explode(F.expr("sequence(0, most)")))
     tiles = tiles.selectExpr("sig", "least(mine, with) as tile", "greatest(mine, with) as other", "mine", "node", "comp").join(sketches, "node").select("sig", "tile", "other", "mine", "node", "n", "comp", "sketch")
     left = tiles.repartition("sig", "tile", "other").sortWithinPartitions("sig", "tile", "other").mapInArrow(_resolve(similar), "a long, b long").distinct()
-    more = verified(materialize(left.join(tried, ["a", "b"], "left_anti"), "pairs"))
-    labels = components(links.unionByName(more))
+    more = verified(*counted(left.join(tried, ["a", "b"], "left_anti"), "pairs"))
+    labels = components(more, labels)
 
     comp = first.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     least = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -421,10 +428,11 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", broadcas
     (name,) = fresh_names(df, "_id")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
-    few = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    kept = df.join(few(materialize(gone, "gone")), F.col(key) == F.col(name), "left_anti")
-    twice = materialize(twice, "twice")
-    if not twice.limit(1).count():
+    (gone, n), (twice, m) = counted(gone, "gone"), counted(twice, "twice")
+    few = lambda ids, n: F.broadcast(ids) if n <= broadcast_ids else ids
+    kept = df.join(few(gone, n), F.col(key) == F.col(name), "left_anti")
+    if not m:
         return kept
-    alone = kept.join(few(twice), F.col(key) == F.col(name), "left_anti")
-    return alone.unionByName(kept.join(few(twice), F.col(key) == F.col(name), "left_semi").dropDuplicates([key, text]))
+    twice = few(twice, m)
+    alone = kept.join(twice, F.col(key) == F.col(name), "left_anti")
+    return alone.unionByName(kept.join(twice, F.col(key) == F.col(name), "left_semi").dropDuplicates([key, text]))

@@ -200,3 +200,28 @@ def test_class_query(spark):
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_partenum_jaccard(spark, SMALL).collect()}
     assert got == brute_classes(docs) and isinstance(pd.Series(got), pd.Series)
+
+
+def test_known_components_are_joined_not_made_again(spark):
+    """New edges move the components that they join, and edges within components cost one written table and no round."""
+
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    rng = np.random.default_rng(5)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 300, (220, 2))]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = jaccard.components(table(edges[:120]))
+    whole = {(r.node, r.comp) for r in jaccard.components(table(edges)).collect()}
+    assert {(r.node, r.comp) for r in jaccard.components(table(edges[120:]), known).collect()} == whole
+    assert {(r.node, r.comp) for r in jaccard.components(table(edges), jaccard.components(table([]))).collect()} == whole
+    before = jobs()
+    again = jaccard.components(table(edges[:60]), known)
+    assert jobs() - before <= 6 and again is known
+
+
+def test_near_copies_without_candidates_run_few_jobs(spark):
+    """Texts that share no signature: nothing is compared, labelled or counted in jobs of its own."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(20)], "doc_id long, text string")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert jaccard.one_of_each(docs).count() == 20
+    assert jobs() - before <= 55
