@@ -51,6 +51,11 @@ def opened(data: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
+def columns(kind: str) -> str:
+    """The columns of packs of documents with ids of this type."""
+    return f"pack long, ids array<{kind}>, rows array<int>, sizes array<int>, n_words long, n_docs long, lexicon binary, n_bytes long, codes binary"
+
+
 def packs(docs: DataFrame, stop_words=()) -> DataFrame:
     """pack, ids, rows, sizes, n_words, n_docs, lexicon, codes: ``docs`` (doc_id, text) as packs; rows of one id have to be adjacent.
 
@@ -98,7 +103,7 @@ def packs(docs: DataFrame, stop_words=()) -> DataFrame:
         if held:
             yield pack(number, held)
 
-    made = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").mapInArrow(run, f"pack long, ids array<{kind}>, rows array<int>, sizes array<int>, n_words long, n_docs long, lexicon binary, n_bytes long, codes binary")
+    made = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").mapInArrow(run, columns(kind))
     return made.where("n_words > 0")
 
 

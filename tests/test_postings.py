@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from causeway.operators import index as I
 from causeway.operators import postings as P
 from causeway.operators import retrieve as V
 
@@ -58,3 +59,19 @@ def test_equal_hashes_are_told_apart():
     assert [sorted(x.tolist()) for x in np.split(order, begins[1:])] == [[2, 4], [1], [0, 3]]
     place, at = P.found(a[[1, 2, 0]], np.array([1, 7, 9], np.uint16), np.array([1, 5, 5], np.uint64), np.array([7, 1, 2], np.uint16))
     assert sorted(zip(place.tolist(), at.tolist())) == [(0, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_an_index_holds_words_and_rounded_weights(spark, tmp_path, corpus, small, monkeypatch, kind):
+    """Parts held a row a gram; weights of blocks only bound, in several rounds, and ids of any type."""
+    for name, value in (("ROUND", 2000), ("TASK", 2000), ("HOT", 30), ("BLOCK", 8)):
+        monkeypatch.setattr(I, name, value)
+    docs = spark.createDataFrame(corpus, DOC).where("doc_id is not null and text <> 'wörd1 once more'").withColumn("doc_id", F.col("doc_id").cast(kind))
+    queries = spark.createDataFrame([(i, (t or "")[:60]) for i, t in corpus[:20]], "query_id long, text string")
+    index = I.Index(spark, f"file://{tmp_path}/i").append(docs)
+    counts, shown = V.grams(docs), lambda df: sorted((x.query_id, x["rank"], str(x.doc_id), round(x.score, 9)) for x in df.collect())
+    assert shown(index.search(queries, 3)) == shown(V.search(counts, queries, 3)) != []
+    assert "gram" not in spark.read.parquet(str(tmp_path / "i/counts/0")).columns
+    held = index._table("blocks").select("gram", F.explode(F.arrays_zip("docs", "weights")).alias("p")).select("gram", F.col("p.docs").alias("doc_id"), F.col("p.weights").alias("bound"))
+    both = V.tfidf(counts).join(held, ["gram", "doc_id"], "full")
+    assert both.where(f"not coalesce(bound >= weight and bound * {1 - I.ROUGH} <= weight, false)").count() == 0
